@@ -1,13 +1,15 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from sluicegate.llm import line_dedup, warc_index
+from sluicegate.llm import line_dedup, quality_rules, warc_index
 
 QUERIES = {
     "op1_warc_index": warc_index.op1_warc_index,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
 }
 
 SQL = {
     "op1_warc_index": warc_index.OP1_SQL,
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
 }
