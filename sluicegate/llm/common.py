@@ -86,12 +86,13 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), at[offsets]
 
 
-def hash_words(flat: pa.Array) -> np.ndarray:
-    """A 64-bit hash for each word; each distinct word of the slice is hashed once."""
+def hash_words(flat: pa.Array, strip: str | None = None) -> np.ndarray:
+    """A 64-bit hash for each word (without the characters of ``strip`` at its ends); each distinct word of the
+    slice is hashed once."""
     from xxhash import xxh64_intdigest
 
     coded = flat.dictionary_encode()
-    own = np.fromiter((xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    own = np.fromiter((xxh64_intdigest(w.strip(strip) if strip else w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     return own[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
 
 

@@ -33,10 +33,10 @@ END, BEGIN = np.uint64(0x5EED000000000001), np.uint64(0x5EED000000000002)
 HELD = 2_000_000
 
 
-def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_hashes(texts: pa.Array, strip: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the tokens (words and an end) of all texts, those of their contexts, and the texts' offsets."""
     flat, at = words(texts)
-    own, n = hash_words(flat), np.diff(at)
+    own, n = hash_words(flat, strip), np.diff(at)
     offsets = at + np.arange(len(at))
     tokens = np.full(len(own) + len(n), END)
     tokens[np.arange(len(own)) + np.repeat(np.arange(len(n)), n)] = own
@@ -68,7 +68,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit().to_batches()
 
 
-def _discounts(row: dict | None) -> tuple[float, float, float]:
+def discounts(row: dict | None) -> tuple[float, float, float]:
     """Modified Kneser-Ney's D1, D2, D3+ from the counts of counts; 0.5, 1, 1.5 where these are zero."""
     n1, n2, n3, n4 = (float((row or {}).get(f"n{k}") or 0) for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3 and n4):
@@ -77,11 +77,11 @@ def _discounts(row: dict | None) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.0), float(k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def _of_counts(col: str) -> list:
+def of_counts(col: str) -> list:
     return [F.sum((F.col(col) == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
 
 
-def _write_arrays(rows: DataFrame, key: str, values: dict[str, str], folder: str) -> list[dict]:
+def write_arrays(rows: DataFrame, key: str, values: dict[str, str], folder: str) -> list[dict]:
     """Writes (key, values) as sorted arrays, a shard for each range; what comes back is a line for each shard."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,21 +111,21 @@ def train(docs: DataFrame, folder: str | None = None) -> str:
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "kn-model")
     pairs = materialise(docs.select("text").mapInArrow(_counts, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), "kn-bigrams")
-    d = _discounts(pairs.agg(*_of_counts("n")).first().asDict())
+    d = discounts(pairs.agg(*of_counts("n")).first().asDict())
     context = pairs.groupBy("v").agg(F.sum("n").alias("c"), *[F.sum((F.col("n") == k).cast("long")).alias(f"m{k}") for k in (1, 2)], F.sum((F.col("n") > 2).cast("long")).alias("m3"))
     context = context.select("v", "c", ((d[0] * F.col("m1") + d[1] * F.col("m2") + d[2] * F.col("m3")) / F.col("c")).alias("g"))
     unigrams = materialise(pairs.groupBy("w").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("n")), "kn-words")
-    u = unigrams.agg(*_of_counts("n"), F.sum("n").alias("types"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") > 2).cast("long")).alias("m3")).first().asDict()
-    e, types, v = _discounts(u), float(u["types"] or 0), u["v"] or 0
+    u = unigrams.agg(*of_counts("n"), F.sum("n").alias("types"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") > 2).cast("long")).alias("m3")).first().asDict()
+    e, types, v = discounts(u), float(u["types"] or 0), u["v"] or 0
     rest = (e[0] * u["n1"] + e[1] * u["n2"] + e[2] * u["m3"]) / types / (v + 1) if types else 1.0
     cut = F.when(F.col("n") == 1, e[0]).when(F.col("n") == 2, e[1]).otherwise(e[2])
     unigrams = unigrams.select("w", "c", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.lit(types or 1.0) + F.lit(rest)).alias("p"))
     key = F.xxhash64(F.col("v"), F.col("w"))
     model = {
         "d": d, "rest": rest, "train_tokens": int(u["total"] or 0), "vocabulary": int(v),
-        "pairs": _write_arrays(pairs.select(key.alias("k"), F.col("n").alias("n")), "k", {"n": "<u4"}, f"{folder}/pairs"),
-        "contexts": _write_arrays(context, "v", {"c": "<i8", "g": "<f4"}, f"{folder}/contexts"),
-        "words": _write_arrays(unigrams, "w", {"c": "<i8", "p": "<f8"}, f"{folder}/words"),
+        "pairs": write_arrays(pairs.select(key.alias("k"), F.col("n").alias("n")), "k", {"n": "<u4"}, f"{folder}/pairs"),
+        "contexts": write_arrays(context, "v", {"c": "<i8", "g": "<f4"}, f"{folder}/contexts"),
+        "words": write_arrays(unigrams, "w", {"c": "<i8", "p": "<f8"}, f"{folder}/words"),
     }
     fs, top = open_fs(folder)
     with fs.open_output_stream(f"{top}/model.json", compression=None) as out:
