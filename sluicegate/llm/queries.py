@@ -1,11 +1,13 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from sluicegate.llm import kn_lm, line_dedup, quality_rules, warc_index
+from sluicegate.llm import kn_lm, language_id, line_dedup, quality_rules, toxicity, warc_index
 
 QUERIES = {
     "op1_warc_index": warc_index.op1_warc_index,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_language_id": language_id.op7_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_lm_scoring": kn_lm.op10_lm_scoring,
 }
 

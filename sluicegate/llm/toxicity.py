@@ -1,12 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, toxic and ordinary, share what they back off to: continuation counts over both classes. Counts
-are of documents, so that one long text can't make an expression look typical, and discounts are modified
-Kneser-Ney's. A text's token log-likelihood ratios are length-normalised three ways (mean, over the root of the length, best window) and a
+Each class has a Kneser-Ney distribution of words, estimated from its bigrams: a word counts with its distinct left
+contexts in the class, discounts are modified Kneser-Ney's, and both classes back off, with one shared weight, to
+the continuation counts over both. So neither a long text nor a group of copies makes an expression look typical,
+and rare expressions favour no class. (Class-wise bigram probabilities on top of this were tried: groups of copies
+in one class made them noisy.) A text's
+token log-likelihood ratios are length-normalised three ways (mean, over the root of the length, best window) and a
 logistic fit turns these into a score. Words are taken without punctuation and digits at their ends.
 
 Fitting uses a bounded sample of labelled rows, chosen by a hash of the id: about ``MAX_TOXIC`` toxic and
-``MAX_ORDINARY`` ordinary ones. Half of it gives the counts, the other half the logistic fit, so the fit sees texts
+``MAX_ORDINARY`` ordinary ones. Two thirds of it give the counts, the rest the logistic fit, so the fit sees texts
 that the models don't know. The counts are sorted hash arrays in the shared folder, mapped by the workers.
 
 Cases: a null or empty text is one end token and gets the score of that; labels that are null or without a document
@@ -30,12 +33,11 @@ from sluicegate.llm.kn_lm import Arrays, discounts, of_counts, pair_key, token_h
 
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
 STRIP = string.punctuation + string.digits
-#: Tokens of the window whose ratio is one of the features, and the score from which a text counts as toxic.
-WINDOW, THRESHOLD = 8, 0.7
-#: Documents of each class in which a context must be for its bigrams to count; rarer ones back off at once.
-MIN_CONTEXT = 100
-#: Documents of both classes from which an expression counts by itself; rarer ones have the shared counts only.
-MIN_DOCS = 8
+#: Tokens of the window whose ratio is one of the features (one: the best expression), and the score from which a text counts as toxic.
+WINDOW, THRESHOLD = 1, 0.7
+#: Distinct contexts over both classes from which an expression counts by itself; rarer ones
+#: have the shared counts only.
+MIN_DOCS = 5
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +57,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, MAX_TOXIC / max(n.get(1, 0), 1)).otherwise(MAX_ORDINARY / max(n.get(0, 0), 1))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.select("doc_id", "text").join(labelled.where(draw < share), "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).alias("half"))
+    return docs.select("doc_id", "text").join(labelled.where(draw < share), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) / 2).cast("int").alias("half"))
 
 
 def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> str:
@@ -64,12 +66,11 @@ def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> str:
     folder = folder or shared_dir(spark, "toxicity")
     used = materialise(sample(docs, labels), "toxicity-sample")
     pairs = materialise(used.where("half = 0").select("text", "toxic").mapInArrow(_pairs, "v long, w long, t long, o long").groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "toxicity-pairs")
-    unigrams = materialise(pairs.groupBy("w").agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), F.count(F.lit(1)).alias("n")), "toxicity-words")
+    unigrams = materialise(pairs.groupBy("w").agg(F.sum((F.col("t") > 0).cast("long")).alias("ct"), F.sum((F.col("o") > 0).cast("long")).alias("co"), F.count(F.lit(1)).alias("n")), "toxicity-words")
     u = unigrams.agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first().asDict()
     model = {"fitted": bool(u["ct"] and u["co"]), "w": [0.0] * 4}
     if model["fitted"]:
         cut = lambda d, c: F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).when(F.col(c) > 2, d[2]).otherwise(0.0)
-        pair_d = {k: discounts(pairs.agg(*of_counts(k)).first().asDict()) for k in ("t", "o")}
         word_d = {k: discounts(unigrams.agg(*of_counts(f"c{k}")).first().asDict()) for k in ("t", "o")}
         freed = unigrams.agg(*[F.sum(cut(word_d[k], f"c{k}")).alias(k) for k in ("t", "o")]).first()
         weight = (freed["t"] + freed["o"]) / (u["ct"] + u["co"])  # shared too, so rare words favour no class
@@ -78,11 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> str:
         shared, rest = (F.col("n") + 1) / F.lit(float(u["n"] + u["v"] + 1)), 1 / (u["n"] + u["v"] + 1)
         known = F.when(F.col("ct") + F.col("co") >= MIN_DOCS, 1.0).otherwise(0.0)
         words = unigrams.select("w", *[(known * (F.col(f"c{k}") - cut(word_d[k], f"c{k}")) / F.lit(float(u[f"c{k}"])) + F.lit(g[k]) * shared).alias(f"p{k}") for k in ("t", "o")])
-        contexts = pairs.groupBy("v").agg(*[f(F.col(k), n).alias(f"{n}{k}") for k in ("t", "o") for n, f in (("c", lambda x, _: F.sum(x)), ("g", lambda x, _, k=k: F.sum(cut(pair_d[k], k)) / F.greatest(F.sum(x), F.lit(1))))])
-        contexts = contexts.where((F.col("ct") >= MIN_CONTEXT) & (F.col("co") >= MIN_CONTEXT))
-        model |= {"d": pair_d, "rest": {k: g[k] * rest for k in g}}
-        model["pairs"] = write_arrays(pairs.where(F.col("t") + F.col("o") >= MIN_DOCS).select(F.xxhash64("v", "w").alias("k"), "t", "o"), "k", {"t": "<u4", "o": "<u4"}, f"{folder}/pairs")
-        model["contexts"] = write_arrays(contexts, "v", {"ct": "<u4", "co": "<u4", "gt": "<f4", "go": "<f4"}, f"{folder}/contexts")
+        model |= {"rest": {k: g[k] * rest for k in g}}
         model["words"] = write_arrays(words, "w", {"pt": "<f8", "po": "<f8"}, f"{folder}/words")
         _save(folder, model)
         rows = [tuple(r) for r in used.where("half = 1").select("text", "toxic").mapInArrow(_features_of(folder), "a double, b double, c double, toxic int").collect()]  # bounded by the sample
@@ -122,26 +119,16 @@ def features(folder: str) -> Callable[[pa.Array], np.ndarray]:
     fs, top = open_fs(folder)
     with fs.open_input_stream(f"{top}/model.json") as f:
         m = json.loads(f.read())
-    pairs = Arrays(f"{folder}/pairs", m["pairs"], "k", {"t": "<u4", "o": "<u4"})
-    contexts = Arrays(f"{folder}/contexts", m["contexts"], "v", {"ct": "<u4", "co": "<u4", "gt": "<f4", "go": "<f4"})
     own = Arrays(f"{folder}/words", m["words"], "w", {"pt": "<f8", "po": "<f8"})
 
     def of(texts: pa.Array) -> np.ndarray:
-        w, v, offsets = token_hashes(texts, STRIP)
+        w, _, offsets = token_hashes(texts, STRIP)
         n = np.diff(offsets)
         if not len(n):
             return np.zeros((0, 3))
-        get = lambda a, keys: (lambda u: {k: x[u[1]] for k, x in a.get(u[0]).items()})(np.unique(keys.view(np.int64), return_inverse=True))
-        word, context, pair = get(own, w), get(contexts, v), get(pairs, pair_key(v, w))
-        p = {}
-        for k in ("t", "o"):
-            low = np.where(word[f"p{k}"] > 0, word[f"p{k}"], m["rest"][k])
-            c = context[f"c{k}"].astype(np.int64)
-            d1, d2, d3 = m["d"][k]
-            seen = pair[k].astype(np.float64)
-            seen = np.maximum(seen - np.where(seen == 1, d1, np.where(seen == 2, d2, d3)), 0)
-            p[k] = np.where(c > 0, seen / np.maximum(c, 1) + context[f"g{k}"] * low, low)
-        ratio = np.log(p["t"]) - np.log(p["o"])
+        ids, at = np.unique(w.view(np.int64), return_inverse=True)
+        p = {k: np.where(x > 0, x, m["rest"][k[1]])[at] for k, x in own.get(ids).items()}
+        ratio = np.log(p["pt"]) - np.log(p["po"])
         total = np.add.reduceat(ratio, offsets[:-1])
         run = np.concatenate([[0], np.cumsum(ratio)])
         end = np.minimum(np.arange(len(ratio)) + WINDOW, np.repeat(offsets[1:], n))
