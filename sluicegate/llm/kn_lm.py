@@ -1,17 +1,22 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped hash arrays.
 
-Training: tasks count the distinct bigrams of their texts, Spark sums them. Discounts come from counts of counts.
-The model is three sorted arrays of 64-bit hashes with their values, in range-partitioned shards in the shared
-folder: bigrams (count), contexts (count and back-off weight), words (count and continuation probability). Workers
-map the shards of a ``file:`` folder into memory (pages are shared and dropped at will) and read whole shards, one
-after another, where the folder is elsewhere. Sentence = text: words, then one end token; the first context is a
-begin token. A 64-bit hash stands for a word or a bigram.
+Training makes two passes. The first counts words: a sorted array of 64-bit word hashes with counts, in
+range-partitioned shards in the shared folder. A word found twice or more has its place in that array as id; rarer
+and unseen words share one id. The second pass counts bigrams as pairs of ids (one 64-bit key), summed in hash
+buckets and written as sorted arrays, a shard for each bucket, keys found once apart from those with a count. What
+contexts and words need (distinct successors by count, distinct predecessors) is pre-aggregated while writing and
+stored as arrays in the order of ids. Discounts come from counts of counts; all counts cover the whole corpus.
+
+Workers map the arrays of a ``file:`` folder into memory (pages are shared and dropped at will); of a folder
+elsewhere each shard is read once a worker. A text is its words (A-Z lower-cased) and an end token; its first
+context is a begin token.
 
 p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) p(w), D and g by modified Kneser-Ney; p(w) = max(n(w) - D', 0) / n + g'
-/ (V + 1), n(w) the distinct contexts of w; an unseen context leaves p(w). All counts cover the whole corpus.
+/ V, n(w) the distinct contexts of w; an unseen context leaves p(w). The share of rare words is spread evenly over
+those of the training text and one more.
 
 Cases: a null or empty text is one end token; equal rows count again; without any training text each token has
-probability 1 / (V + 1) = 1; a null doc_id takes part like others. Only doc_id and text are read.
+probability 1; a null doc_id takes part like others. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from pyspark.sql import functions as F
 from sluicegate.llm.common import crc_mod, documents, hash_words, materialise, open_fs, shared_dir, slices, words
 
 END, BEGIN = np.uint64(0x5EED000000000001), np.uint64(0x5EED000000000002)
-#: Distinct bigrams that a counting task holds before it passes them on.
-HELD = 2_000_000
+#: Tokens whose bigrams a counting task holds before it passes them on.
+HELD = 1_000_000
+#: Ids of rare words and of the begin of a text; known words follow.
+RARE, START, KNOWN = 0, 1, 2
 
 
 def token_hashes(texts: pa.Array, strip: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,26 +53,11 @@ def token_hashes(texts: pa.Array, strip: str | None = None) -> tuple[np.ndarray,
     return tokens, context, offsets
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held_v, held_w, held_n, size = [], [], [], 0
-
-    def emit() -> pa.RecordBatch:
-        v, w, n = np.concatenate(held_v), np.concatenate(held_w), np.concatenate(held_n)
-        t = pa.table({"v": v.view(np.int64), "w": w.view(np.int64), "n": n}).group_by(["v", "w"]).aggregate([("n", "sum")])
-        return t.select(["v", "w", "n_sum"]).rename_columns(["v", "w", "n"])
-
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            w, v, _ = token_hashes(part.column("text"))
-            held_v.append(v)
-            held_w.append(w)
-            held_n.append(np.ones(len(w), np.int64))
-            size += len(w)
-            if size >= HELD:
-                yield from emit().to_batches()
-                held_v, held_w, held_n, size = [], [], [], 0
-    if size:
-        yield from emit().to_batches()
+            w, n = np.unique(token_hashes(part.column("text"))[0].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n.astype(np.int64))], ["w", "n"])
 
 
 def discounts(row: dict | None) -> tuple[float, float, float]:
@@ -106,55 +98,24 @@ def write_arrays(rows: DataFrame, key: str, values: dict[str, str], folder: str)
     return sorted((r.asDict() for r in ordered.mapInArrow(write, "name string, n long, first long, last long").collect()), key=lambda r: r["first"])
 
 
-def train(docs: DataFrame, folder: str | None = None) -> str:
-    """Counts the bigrams of all texts and writes the model; returns its folder."""
-    spark = docs.sparkSession
-    folder = folder or shared_dir(spark, "kn-model")
-    pairs = materialise(docs.select("text").mapInArrow(_counts, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")), "kn-bigrams")
-    d = discounts(pairs.agg(*of_counts("n")).first().asDict())
-    context = pairs.groupBy("v").agg(F.sum("n").alias("c"), *[F.sum((F.col("n") == k).cast("long")).alias(f"m{k}") for k in (1, 2)], F.sum((F.col("n") > 2).cast("long")).alias("m3"))
-    context = context.select("v", "c", ((d[0] * F.col("m1") + d[1] * F.col("m2") + d[2] * F.col("m3")) / F.col("c")).alias("g"))
-    unigrams = materialise(pairs.groupBy("w").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("n")), "kn-words")
-    u = unigrams.agg(*of_counts("n"), F.sum("n").alias("types"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") > 2).cast("long")).alias("m3")).first().asDict()
-    e, types, v = discounts(u), float(u["types"] or 0), u["v"] or 0
-    rest = (e[0] * u["n1"] + e[1] * u["n2"] + e[2] * u["m3"]) / types / (v + 1) if types else 1.0
-    cut = F.when(F.col("n") == 1, e[0]).when(F.col("n") == 2, e[1]).otherwise(e[2])
-    unigrams = unigrams.select("w", "c", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.lit(types or 1.0) + F.lit(rest)).alias("p"))
-    key = F.xxhash64(F.col("v"), F.col("w"))
-    model = {
-        "d": d, "rest": rest, "train_tokens": int(u["total"] or 0), "vocabulary": int(v),
-        "pairs": write_arrays(pairs.select(key.alias("k"), F.col("n").alias("n")), "k", {"n": "<u4"}, f"{folder}/pairs"),
-        "contexts": write_arrays(context, "v", {"c": "<i8", "g": "<f4"}, f"{folder}/contexts"),
-        "words": write_arrays(unigrams, "w", {"c": "<i8", "p": "<f8"}, f"{folder}/words"),
-    }
-    fs, top = open_fs(folder)
-    with fs.open_output_stream(f"{top}/model.json", compression=None) as out:
-        out.write(json.dumps(model).encode())
-    return folder
-
-
 class Arrays:
-    """Sorted shards of keys and values. Local shards are mapped; others are read one at a time."""
+    """Sorted shards of keys and values. Local shards are mapped, others are read once."""
 
     def __init__(self, folder: str, shards: list[dict], key: str, values: dict[str, str]) -> None:
-        self.uri, self.shards, self.key, self.values = folder, shards, key, values
+        self.folder, self.shards, self.key, self.values = folder, shards, key, values
         self.fs, self.top = open_fs(folder)
-        self.local = folder.startswith("file:")
         self.firsts = np.array([s["first"] for s in shards], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum([s["n"] for s in shards], dtype=np.int64)]).astype(np.int64)
         self.maps: dict[tuple[int, str], np.ndarray] = {}
 
     def _load(self, i: int, c: str, kind: str) -> np.ndarray:
-        path = f"{self.top}/{self.shards[i]['name']}.{c}"
-        if not self.local:
-            with self.fs.open_input_file(path) as f:
-                return np.frombuffer(f.read(), kind)
         if (i, c) not in self.maps:
-            self.maps[i, c] = np.memmap(path, kind, "r")
+            self.maps[i, c] = load_array(self.folder, f"{self.shards[i]['name']}.{c}", kind)
         return self.maps[i, c]
 
     def get(self, keys: np.ndarray) -> dict[str, np.ndarray]:
-        """The values at the keys (sorted, distinct), 0 where a key isn't there."""
-        out = {c: np.zeros(len(keys), kind) for c, kind in self.values.items()}
+        """The values at the keys (sorted, distinct), 0 where a key isn't there; ``at``: the key's place in all."""
+        out = {c: np.zeros(len(keys), kind) for c, kind in self.values.items()} | {"at": np.zeros(len(keys), np.int64)}
         if not len(self.shards) or not len(keys):
             return out
         edges = np.concatenate([np.searchsorted(keys, self.firsts), [len(keys)]])
@@ -163,26 +124,180 @@ class Arrays:
                 own = self._load(i, self.key, "<i8")
                 at = np.minimum(np.searchsorted(own, keys[s:e]), len(own) - 1)
                 hit = own[at] == keys[s:e]
+                out["at"][s:e][hit] = self.starts[i] + at[hit]
                 for c, kind in self.values.items():
                     out[c][s:e][hit] = self._load(i, c, kind)[at[hit]]
         return out
 
 
-def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64(v, w) gives for two longs: seed 42, each long hashed with the last hash as seed."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
-    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = np.full(len(v), 42, np.uint64)
-    for x in (v, w):
-        h = h + p5 + np.uint64(8)
-        h ^= turn(x * p2, 31) * p1
-        h = turn(h, 27) * p1 + p4
-        h ^= h >> np.uint64(33)
-        h *= p2
-        h ^= h >> np.uint64(29)
-        h *= p3
-        h ^= h >> np.uint64(32)
-    return h
+def load_array(folder: str, name: str, kind: str) -> np.ndarray:
+    """A file of the model as an array: mapped into memory where the folder is a local or mounted one."""
+    fs, top = open_fs(folder)
+    if not folder.startswith("file:"):
+        with fs.open_input_file(f"{top}/{name}") as f:
+            return np.frombuffer(f.read(), kind)
+    path = f"{top}/{name}"
+    return np.memmap(path, kind, "r") if fs.get_file_info(path).size else np.zeros(0, kind)
+
+
+class Pairs:
+    """Counts of bigrams by key, from the shards of the key's bucket."""
+
+    def __init__(self, folder: str, shards: dict[str, str], buckets: int) -> None:
+        self.folder, self.shards, self.buckets, self.maps = folder, {int(k): v for k, v in shards.items()}, buckets, {}
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), np.int64)
+        bucket = np.mod(long_hash(keys.view(np.uint64)).view(np.int64), self.buckets)
+        order = np.argsort(bucket, kind="stable")  # keys stay sorted in each bucket
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b, shard in self.shards.items():
+            mine = order[edges[b] : edges[b + 1]]
+            if not len(mine):
+                continue
+            if b not in self.maps:
+                self.maps[b] = [load_array(self.folder, f"{shard}.{c}", "<i8") for c in ("once", "k", "n")]
+            once, k, n = self.maps[b]
+            for own, value in ((once, None), (k, n)):
+                if len(own):
+                    at = np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)
+                    hit = own[at] == keys[mine]
+                    out[mine[hit]] = 1 if value is None else value[at[hit]]
+        return out
+
+
+def word_ids(own: Arrays, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and training counts of the distinct words of an array, given back for each of its places."""
+    ids, at = np.unique(hashes.view(np.int64), return_inverse=True)
+    found = own.get(ids)
+    return np.where(found["n"] > 1, found["at"] + KNOWN, RARE)[at], found["n"][at]
+
+
+def pair_ids(texts: pa.Array, own: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: the id of its context, its own id, its count in training; and the texts' offsets."""
+    w, _, offsets = token_hashes(texts)
+    at, n = word_ids(own, w)
+    context = np.empty_like(at)
+    context[1:] = at[:-1]
+    context[offsets[:-1]] = START
+    return context, at, n, offsets
+
+
+def _pair_counts(words_at: tuple):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, own = [], 0, None
+
+        def emit() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["k", "n"])
+
+        for batch in batches:
+            for part in slices(batch, limit=2 << 20):
+                own = own or Arrays(*words_at)
+                v, w, _, _ = pair_ids(part.column("text"), own)
+                held.append((v << 32) | w)
+                size += len(w)
+                if size >= HELD:
+                    yield emit()
+                    held, size = [], 0
+        if held:
+            yield emit()
+
+    return run
+
+
+STATS = "context boolean, id long, c long, m1 long, m2 long, m3 long, m4 long"
+
+
+def _write_pairs(folder: str):
+    """Writes the sorted pairs of each bucket as a shard; emits what contexts and words need, a row for each of them
+    and run of pairs, and a row for each shard (id: the bucket, c: keys
+    with a count, m1 to m4: pairs found so often)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = open_fs(folder)
+        fs.create_dir(top, recursive=True)
+        attempt, outs, bucket, sizes = uuid.uuid4().hex, {}, None, np.zeros(5, np.int64)
+        schema = pa.schema([("context", pa.bool_()), ("id", pa.int64()), *[(c, pa.int64()) for c in ("c", "m1", "m2", "m3", "m4")], ("shard", pa.string())])
+
+        def close() -> pa.RecordBatch:
+            for f in outs.values():
+                f.close()
+            outs.clear()
+            return pa.RecordBatch.from_pylist([{"id": bucket, "c": int(sizes[0]), **{f"m{k}": int(sizes[k]) for k in (1, 2, 3, 4)}, "shard": f"{bucket}-{attempt}"}], schema=schema)
+
+        def stats(context: bool, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            u, at = np.unique(ids, return_inverse=True)
+            total = lambda x: pa.array(np.bincount(at, x, len(u)).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), context)), pa.array(u), total(n), total(n == 1), total(n == 2), total(n > 2), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.string())], schema=schema)
+
+        for batch in batches:
+            b, k, n = (batch.column(c).to_numpy() for c in ("b", "k", "n"))
+            if not len(k):
+                continue
+            cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
+            for s, e in zip(cut[:-1], cut[1:], strict=True):
+                if b[s] != bucket:
+                    if bucket is not None:
+                        yield close()
+                    bucket, sizes = int(b[s]), np.zeros(5, np.int64)
+                    outs |= {c: fs.open_output_stream(f"{top}/{bucket}-{attempt}.{c}", compression=None) for c in ("once", "k", "n")}
+                once = n[s:e] == 1
+                outs["once"].write(k[s:e][once].astype("<i8").tobytes())
+                outs["k"].write(k[s:e][~once].astype("<i8").tobytes())
+                outs["n"].write(n[s:e][~once].astype("<i8").tobytes())
+                sizes += [(~once).sum(), *((n[s:e] == c).sum() for c in (1, 2, 3, 4))]
+            yield stats(True, k >> 32, n)
+            yield stats(False, k & 0xFFFFFFFF, n)
+        if bucket is not None:
+            yield close()
+
+    return run
+
+
+def train(docs: DataFrame, folder: str | None = None) -> str:
+    """Counts words and bigrams of all texts and writes the model; returns its folder."""
+    spark = docs.sparkSession
+    folder = folder or shared_dir(spark, "kn-model")
+    texts = docs.select("text")
+    counted = materialise(texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "kn-words")
+    total = counted.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("rare")).first().asDict()
+    words_at = (f"{folder}/words", write_arrays(counted, "w", {"n": "<i8"}, f"{folder}/words"), "w", {"n": "<i8"})
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = texts.mapInArrow(_pair_counts(words_at), "k long, n long").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
+    pairs = pairs.repartition(buckets, "b").groupBy("b", "k").agg(F.sum("n").alias("n")).sortWithinPartitions("b", "k")
+    stats = materialise(pairs.mapInArrow(_write_pairs(f"{folder}/pairs"), f"{STATS}, shard string"), "kn-stats")
+    done = stats.where("shard IS NOT NULL").collect()  # a row a bucket
+    shards, d = {r["id"]: r["shard"] for r in done}, discounts({f"n{k}": sum(r[f"m{k}"] for r in done) for k in (1, 2, 3, 4)})
+    rows = stats.where("shard IS NULL").groupBy("context", "id").agg(*[F.sum(c).alias(c) for c in ("c", "m1", "m2", "m3")])
+    contexts, own = rows.where("context"), materialise(rows.where("NOT context").select("id", (F.col("m1") + F.col("m2") + F.col("m3")).alias("n")), "kn-continuations")
+    contexts = contexts.select("id", "c", ((d[0] * F.col("m1") + d[1] * F.col("m2") + d[2] * F.col("m3")) / F.col("c")).alias("g"))
+    u = own.agg(*of_counts("n"), F.sum("n").alias("types"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") > 2).cast("long")).alias("m3")).first().asDict()
+    e, types, v = discounts(u), float(u["types"] or 0), max(u["v"] or 0, 1)
+    rest = (e[0] * u["n1"] + e[1] * u["n2"] + e[2] * u["m3"]) / types / v if types else 1.0
+    cut = F.when(F.col("n") == 1, e[0]).when(F.col("n") == 2, e[1]).otherwise(e[2])
+    model = {
+        "d": d, "rest": rest, "train_tokens": int(total["tokens"] or 0), "vocabulary": int(total["v"] or 0), "rare": int(total["rare"] or 0) + 1,
+        "words": words_at[1], "buckets": buckets, "pairs": shards,
+        "contexts": write_arrays(contexts, "id", {"c": "<i8", "g": "<f4"}, f"{folder}/contexts"),
+        "own": write_arrays(own.select("id", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.lit(types or 1.0) + F.lit(rest)).alias("p")), "id", {"p": "<f8"}, f"{folder}/own"),
+    }
+    fs, top = open_fs(folder)
+    fs.create_dir(top, recursive=True)
+    with fs.open_output_stream(f"{top}/model.json", compression=None) as out:
+        out.write(json.dumps(model).encode())
+    return folder
+
+
+def long_hash(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for a long (XXH64 with seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
+    h = np.full(len(x), np.uint64(42) + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
 
 
 def scorer(folder: str) -> Callable[[pa.Array], dict[str, np.ndarray]]:
@@ -190,28 +305,30 @@ def scorer(folder: str) -> Callable[[pa.Array], dict[str, np.ndarray]]:
     fs, top = open_fs(folder)
     with fs.open_input_stream(f"{top}/model.json") as f:
         m = json.loads(f.read())
-    pairs = Arrays(f"{folder}/pairs", m["pairs"], "k", {"n": "<u4"})
-    contexts = Arrays(f"{folder}/contexts", m["contexts"], "v", {"c": "<i8", "g": "<f4"})
-    own = Arrays(f"{folder}/words", m["words"], "w", {"c": "<i8", "p": "<f8"})
+    words_of = Arrays(f"{folder}/words", m["words"], "w", {"n": "<i8"})
+    contexts = Arrays(f"{folder}/contexts", m["contexts"], "id", {"c": "<i8", "g": "<f4"})
+    own = Arrays(f"{folder}/own", m["own"], "id", {"p": "<f8"})
+    pairs = Pairs(f"{folder}/pairs", m["pairs"], m["buckets"])
     d1, d2, d3 = m["d"]
     total, size = m["train_tokens"], m["vocabulary"]
 
+    def spread(values: Arrays, ids: np.ndarray) -> dict[str, np.ndarray]:
+        u, at = np.unique(ids, return_inverse=True)
+        return {k: x[at] for k, x in values.get(u).items()}
+
     def score(texts: pa.Array) -> dict[str, np.ndarray]:
-        w, v, offsets = token_hashes(texts)
-        ids, at = np.unique(w.view(np.int64), return_inverse=True)
-        word = {k: x[at] for k, x in own.get(ids).items()}
-        ids, at = np.unique(v.view(np.int64), return_inverse=True)
-        context = {k: x[at] for k, x in contexts.get(ids).items()}
-        ids, at = np.unique(pair_key(v, w).view(np.int64), return_inverse=True)
-        n = pairs.get(ids)["n"][at].astype(np.float64)
+        v, w, count, offsets = pair_ids(texts, words_of)
+        context, low = spread(contexts, v), spread(own, w)["p"]
+        keys, at = np.unique((v << 32) | w, return_inverse=True)
+        n = pairs.get(keys)[at].astype(np.float64)
         cut = np.where(n == 1, d1, np.where(n == 2, d2, d3))
-        low = np.where(word["c"] > 0, word["p"], m["rest"])
-        seen = context["c"] > 0
-        c = np.maximum(context["c"], 1)
-        p = np.where(seen, np.maximum(n - cut, 0) / c + context["g"] * low, low)
-        base = np.log10((word["c"] + 1) / (total + 1 * (size + 1)))
+        low = np.where(low > 0, low, m["rest"])
+        c = context["c"]
+        p = np.where(c > 0, np.maximum(n - cut, 0) / np.maximum(c, 1) + context["g"] * low, low)
+        p = np.where(w == RARE, p / m["rare"], p)
+        base = np.log10((count + 1) / (total + 1 * (size + 1)))
         sums = lambda x: np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
-        return {"n_tokens": np.diff(offsets), "n_known": sums((word["c"] > 0).astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(np.maximum(p, 1e-300)))}
+        return {"n_tokens": np.diff(offsets), "n_known": sums((count > 0).astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(np.maximum(p, 1e-300)))}
 
     score.train_tokens = total
     return score

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.llm.common import crc_mod, documents, materialise, mix, open_fs, shared_dir, slices
-from sluicegate.llm.kn_lm import Arrays, discounts, of_counts, pair_key, token_hashes, write_arrays
+from sluicegate.llm.kn_lm import Arrays, discounts, of_counts, token_hashes, write_arrays
 
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
 STRIP = string.punctuation + string.digits
@@ -45,7 +45,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             w, v, offsets = token_hashes(part.column("text"), STRIP)
             doc = np.repeat(np.arange(part.num_rows, dtype=np.uint64), np.diff(offsets))
-            _, once = np.unique(mix(pair_key(v, w) ^ mix(doc + np.uint64(1))), return_index=True)
+            _, once = np.unique(mix(v * np.uint64(3) + mix(w ^ mix(doc + np.uint64(1)))), return_index=True)
             w, v, toxic = w[once], v[once], part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[doc[once].astype(np.int64)]
             t = pa.table({"v": v.view(np.int64), "w": w.view(np.int64), "t": toxic, "o": 1 - toxic}).group_by(["v", "w"]).aggregate([("t", "sum"), ("o", "sum")])
             yield from t.select(["v", "w", "t_sum", "o_sum"]).rename_columns(["v", "w", "t", "o"]).to_batches()
@@ -127,7 +127,7 @@ def features(folder: str) -> Callable[[pa.Array], np.ndarray]:
         if not len(n):
             return np.zeros((0, 3))
         ids, at = np.unique(w.view(np.int64), return_inverse=True)
-        p = {k: np.where(x > 0, x, m["rest"][k[1]])[at] for k, x in own.get(ids).items()}
+        p = {k: np.where(x > 0, x, m["rest"][k[1]])[at] for k, x in own.get(ids).items() if k != "at"}
         ratio = np.log(p["pt"]) - np.log(p["po"])
         total = np.add.reduceat(ratio, offsets[:-1])
         run = np.concatenate([[0], np.cumsum(ratio)])
