@@ -13,7 +13,7 @@ Fitting uses a bounded sample of labelled rows, chosen by a hash of the id: abou
 that the models don't know. The counts are sorted hash arrays in the shared folder, mapped by the workers.
 
 Cases: a null or empty text is one end token and gets the score of that; labels that are null or without a document
-are ignored, repeated labels count again; without labels of both classes every score is 0; an empty table gives no
+are ignored, repeated labels count once; without labels of both classes every score is 0; an empty table gives no
 rows. Only doc_id and text, and doc_id and toxic of the labels, are read.
 """
 
@@ -53,11 +53,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic and half (0: for counts, 1: for the fit) of the labelled rows that are used."""
-    labelled = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labelled = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, MAX_TOXIC / max(n.get(1, 0), 1)).otherwise(MAX_ORDINARY / max(n.get(0, 0), 1))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.select("doc_id", "text").join(labelled.where(draw < share), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) / 2).cast("int").alias("half"))
+    drawn = F.broadcast(labelled.where(draw < share))  # about MAX_TOXIC + MAX_ORDINARY rows of two numbers
+    return docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic", (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(3)) / 2).cast("int").alias("half"))
 
 
 def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> str:
