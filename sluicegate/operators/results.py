@@ -33,12 +33,12 @@ def result_rows(judged: DataFrame, size_s: int, job_id: str) -> DataFrame:
 def upsert(log: DataFrame, order: str = "seq") -> DataFrame:
     """The newest row of each key of an append-only log: max_by reduces before the shuffle."""
     rest = [c for c in log.columns if c not in KEY]
-    return log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*KEY, "r.*")
+    return log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_newest")).select(*KEY, "_newest.*")
 
 
 def latest_status(results: DataFrame) -> DataFrame:
     newest = F.max_by(F.struct("window_end", "status", "value", "threshold"), F.col("window_end"))
-    return results.groupBy(*SERIES).agg(newest.alias("r")).select(*SERIES, "r.*")
+    return results.groupBy(*SERIES).agg(newest.alias("_newest")).select(*SERIES, "_newest.*")
 
 
 def violations(results: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def status_alerts(results: DataFrame, warn_for_s: int = WARN_FOR_S) -> DataFrame
     state = ordinal(F.col("status"))
     runs = results.withColumn("_run", F.sum(F.when(state == F.lag(state).over(w), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     grouped = runs.groupBy(*SERIES, "_run").agg(F.min("window_start").alias("since"), F.max("window_end").alias("until"), F.first("status").alias("status"))
-    last = grouped.groupBy(*SERIES).agg(F.max_by(F.struct("since", "until", "status"), F.col("_run")).alias("r")).select(*SERIES, "r.*")
+    last = grouped.groupBy(*SERIES).agg(F.max_by(F.struct("since", "until", "status"), F.col("_run")).alias("_newest")).select(*SERIES, "_newest.*")
     lasted = F.unix_timestamp(F.col("until").cast("timestamp")) - F.unix_timestamp(F.col("since").cast("timestamp"))
     firing = last.where((F.col("status") == "fail") | ((F.col("status") == "warn") & (lasted >= warn_for_s)))
     fail = F.col("status") == "fail"
@@ -63,7 +63,7 @@ def first_of_each(events: DataFrame, order: str | None = None) -> DataFrame:
     if order is None:
         return events.dropDuplicates(key)
     rest = [c for c in events.columns if c not in key]
-    return events.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select(*key, "r.*")
+    return events.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_newest")).select(*key, "_newest.*")
 
 
 def history(events: DataFrame, now: Column) -> DataFrame:

@@ -24,5 +24,5 @@ DUCK_RECORDS = RECORDS.format(payload=PAYLOAD.format(), ms="epoch_ms(ts)", event
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic, source_partition, source_offset, ingest_ts, value) with nulls, drift, silence and broken payloads."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    sql = RECORDS.format(payload=PAYLOAD.format(), ms="unix_millis(CAST(ts AS TIMESTAMP))", events="{events}")
+    sql = RECORDS.format(payload=PAYLOAD, ms="unix_millis(CAST(ts AS TIMESTAMP))", events="{events}")  # doubled braces stay for Spark's own formatter
     return spark.sql(sql, events=events.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value"))

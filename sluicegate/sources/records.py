@@ -38,4 +38,4 @@ def window_spine(windows: DataFrame, size_s: int, until=None) -> DataFrame:
 
 def heartbeats(ticks: DataFrame) -> DataFrame:
     """One heartbeat for each job and second; of repeats the earliest stays."""
-    return ticks.groupBy("job_id", "ts").agg(F.min_by(F.struct("version", "kafka_status", "registry_status"), "seq").alias("h")).select("job_id", "ts", "h.*")
+    return ticks.groupBy("job_id", "ts").agg(F.min_by(F.struct("version", "kafka_status", "registry_status"), "seq").alias("_first")).select("job_id", "ts", "_first.*")
