@@ -9,7 +9,8 @@ The tree alone can't be spread over a cluster without comparing everything with
 by an exact filter first: with one order of all shingles, linked sets share a shingle among their first
 n - ceil(t n) + 1. The order puts shingles that are frequent in a sample last (any order is exact), so common passages
 make no large groups. Sets that are equal become one. Then two steps keep groups of near copies linear:
-1. each set is verified against the best smallest set that shares one of its first shingles; links give components;
+1. each set is verified against the one with which it shares most among the sets of smallest id that its first
+   shingles lead to; links give components;
 2. what shares a shingle across components goes into R-trees, per shingle and size class, skipping nodes and pairs
    inside one component; survivors are verified and join the components.
 No link between different components is lost, so components are exact; links inside a component need no listing.
@@ -33,10 +34,12 @@ from sluicegate.llm.common import documents, hash_words, materialise, ngram_hash
 
 SHINGLE, PERCENT, GROUPS = 5, 75, 64
 #: Texts of the sample that ranks frequent shingles, least count in it, and ranked shingles at most.
-SAMPLE, LEAST, RANKED = 20_000, 3, 200_000
+SAMPLE, LEAST, RANKED = 8_000, 3, 200_000
 #: Children of a node of the tree.
 FANOUT = 32
 NO_LIMIT = 65535
+#: Ids that are broadcast at most; above it the same join shuffles.
+BROADCAST_IDS = 500_000
 I64 = np.iinfo(np.int64)
 
 
@@ -129,10 +132,11 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep.append(100 * same >= PERCENT * (len(u) + len(v) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "s1", "s2"), "node")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "s1", "s2"), "node"), "jaccard-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node"), "node", "left_semi")
-    made = texts.mapInArrow(make, "node long, s1 long, s2 long, own binary").join(wanted, ["node", "s1", "s2"]).groupBy("node").agg(F.first("own").alias("own"))
-    sets = materialise(made, "jaccard-verify")
+    made = texts.mapInArrow(make, "node long, s1 long, s2 long, own binary").join(wanted, ["node", "s1", "s2"], "left_semi")
+    sets = made.groupBy("node").agg(F.first("own").alias("own"))  # read for both ends of the pairs, one shuffle
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
     return materialise(joined.select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long"), "jaccard-links")
 
@@ -176,6 +180,29 @@ class RTree:
         return self.order[at]
 
 
+def _shared_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (first, node) rows those whose shingle two or more nodes have, with the smallest node as head. Holds
+    one row of a run, however long it is."""
+    last = None  # shingle, head, whether the head's own row is out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first, node = batch.column("first").to_numpy(), batch.column("node").to_numpy()
+        start = np.concatenate([[last is None or first[0] != last[0]], first[1:] != first[:-1]])
+        head_at = np.maximum.accumulate(np.where(start, np.arange(len(first)), -1))
+        head = np.where(head_at >= 0, node[head_at], 0 if last is None else last[1])
+        follows = np.concatenate([~start[1:], [False]])
+        keep = ~start | follows
+        more = ([], [])
+        if last is not None and not last[2] and not start[0]:
+            more = ([last[0]], [last[1]])
+        out = [np.concatenate([np.array(more[0], np.int64), first[keep]]), np.concatenate([np.array(more[1], np.int64), node[keep]]), np.concatenate([np.array(more[1], np.int64), head[keep]])]
+        last = (first[-1], head[-1], bool(keep[-1]))
+        if len(out[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["first", "node", "head"])
+
+
 def _search_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates across components of each run (shingle and size class) of the sorted rows."""
     names = ("first", "size", "node", "n", "comp", "home")
@@ -219,12 +246,13 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     nodes = materialise(table.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")).withColumn("node", F.coalesce("id", F.lit(int(I64.min)) + F.abs(F.col("s1") % (1 << 40)))), "jaccard-nodes")
     named = table.where("n > 0").withColumn("node", F.coalesce("doc_id", F.lit(int(I64.min)) + F.abs(F.col("s1") % (1 << 40))))
     rep = named.join(nodes.select("node", "s1", "s2"), ["node", "s1", "s2"], "left_semi").select("node", "n", "vec", "first")
-    posts = rep.select("node", "n", F.explode("first").alias("first"))
-    heads = posts.groupBy("first").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("n", "node")).alias("head")).where("c > 1").select("first", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
-    live = materialise(posts.join(heads, "first"), "jaccard-posts")
+    posts = rep.select(F.explode("first").alias("first"), "node")
+    live = materialise(posts.repartition("first").sortWithinPartitions("first", "node").mapInArrow(_shared_posts, "first long, node long, head long"), "jaccard-posts")
     # 1. each set against the head with which it shares most
-    shared = live.where((F.col("node") != F.col("head")) & (100 * F.col("head_n") >= PERCENT * F.col("n"))).groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
-    best = shared.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("head"))).alias("b")).select(F.col("node").alias("a"), (-F.col("b.head")).alias("b"))
+    shared = live.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
+    sized = nodes.select("node", "n")
+    fitting = shared.join(sized, "node").join(sized.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head").where((100 * F.col("head_n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("head_n")))
+    best = materialise(fitting.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("head"))).alias("b")).select(F.col("node").alias("a"), (-F.col("b.head")).alias("b")), "jaccard-heads")
     named_docs = docs.where("doc_id IS NOT NULL")
     first_links = verified(best, named_docs, nodes)
     first_comps = components(first_links)
