@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +29,33 @@ def at(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, "$" + "".join(f"['{p}']" for p in path.split(".") if p), "variant")
 
 
-def errors(doc: Column, schema: dict, path: str = "") -> list[Column]:
+class Doc:
+    """Values and type tags of a document's paths; what ``ready`` names is taken from columns made before."""
+
+    def __init__(self, doc: Column, ready: dict[str, tuple[Column, Column]] | None = None) -> None:
+        self.doc, self.ready = doc, ready or {}
+
+    def value(self, path: str) -> Column:
+        return self.ready[path][0] if path in self.ready else at(self.doc, path) if path else self.doc
+
+    def tag(self, path: str) -> Column:
+        return self.ready[path][1] if path in self.ready else type_tag(self.value(path))
+
+
+def paths(schema: dict, path: str = "") -> list[str]:
+    """All paths that a schema looks at."""
+    below = lambda k: f"{path}.{k}" if path else k
+    out = [path, *[below(k) for k in schema.get("required", [])]]
+    for k, sub in schema.get("properties", {}).items():
+        out += paths(sub, below(k))
+    return list(dict.fromkeys(out))
+
+
+def errors(doc: Doc, schema: dict, path: str = "") -> list[Column]:
     """Messages of violated keywords (null where one holds), in the order of the schema. Understood: type, required,
     properties, enum, const, minLength, maxLength, pattern, minimum, maximum, exclusive bounds, items' type."""
-    value = at(doc, path) if path else doc
-    name, tag, found = f"${'.' + path if path else ''}", type_tag(value), []
+    value = doc.value(path)
+    name, tag, found = f"${'.' + path if path else ''}", doc.tag(path), []
     text, number = (F.try_variant_get(value, "$", t) for t in ("string", "double"))
     given = value.isNotNull()
 
@@ -55,7 +78,7 @@ def errors(doc: Column, schema: dict, path: str = "") -> list[Column]:
         if key in schema:
             fail((tag == "number") & test(schema[key]), f"{name}: {key} {schema[key]} violated")
     for key in schema.get("required", []):
-        child = at(doc, f"{path}.{key}" if path else key)
+        child = doc.value(f"{path}.{key}" if path else key)
         fail((tag == "object") & child.isNull(), f"{name}: required property '{key}' not found")
     for key, sub in schema.get("properties", {}).items():
         found += errors(doc, sub, f"{path}.{key}" if path else key)
@@ -66,9 +89,9 @@ def errors(doc: Column, schema: dict, path: str = "") -> list[Column]:
     return found
 
 
-def first_error(doc: Column, schema: dict | str | None) -> Column:
+def first_error(doc: Doc, schema: dict | None) -> Column:
     """The first violated keyword's message; null when the document is valid or no schema is known."""
     if schema is None:
         return F.lit(None).cast("string")
-    found = errors(doc, json.loads(schema) if isinstance(schema, str) else schema)
+    found = errors(doc, schema)
     return F.coalesce(*found) if found else F.lit(None).cast("string")

@@ -70,12 +70,12 @@ def judge(row: dict, state: dict, p: dict, window_s: float) -> Verdict | None:
             slot, cycle = slot_and_cycle(row["start_ms"], p["seasonality"])
             prior = season_prior(state["seasonal"].get(str(slot), []), cycle)
             prior = prior if prior and len(prior) >= p["seasonal_min_cycles"] else None
-        return checks.volume(row["n"], window_s, state["history"], prior, p)
+        return checks.volume(int(row["n"]), window_s, state["history"], prior, p)
     if check == "cardinality":
         return checks.cardinality(row["estimate"], state["history"], p)
     if check == "type_drift":
-        return checks.type_drift(list(row["tags"]), state["history"], p)
-    return checks.schema_drift(dict(row["keys"] or {}), row["n"], state["history"], state["known"], p)
+        return checks.type_drift([int(c) for c in row["tags"]], state["history"], p)
+    return checks.schema_drift({k: int(c) for k, c in dict(row["keys"] or {}).items()}, int(row["n"]), state["history"], state["known"], p)
 
 
 def fold(rows: Iterable[dict], p: dict, window_s: float, history_windows: int, rebaseline_after: int, state: dict | None = None) -> tuple[list[tuple[dict, Verdict]], dict]:

@@ -6,11 +6,13 @@ violations are reported too but the record is still analysed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.config import Thresholds
-from sluicegate.functions.json_schema import at, first_error, type_tag
+from sluicegate.functions.json_schema import Doc, at, first_error, paths, type_tag
 
 #: Numbers below this are seconds, others milliseconds.
 SECONDS_BELOW = 100_000_000_000
@@ -19,11 +21,10 @@ AHEAD_MS = 24 * 3_600_000
 DETAIL = 200
 
 
-def event_time_ms(doc: Column, path: str) -> Column:
+def event_time_ms(value: Column, tag: Column) -> Column:
     """Epoch milliseconds of a number, a whole-number text or an ISO instant with a zone; -1 for anything else, null
     when the field is missing or null."""
-    value = at(doc, path)
-    tag, text = type_tag(value), F.try_variant_get(value, "$", "string")
+    text = F.try_variant_get(value, "$", "string")
     number = F.when(tag == "number", F.try_variant_get(value, "$", "double").cast("long")).when(text.rlike(r"^-?\d+$"), text.try_cast("long"))
     scaled = F.when(F.abs(number) < SECONDS_BELOW, number * 1000).otherwise(number)
     instant = F.when(text.rlike(r"^\d{4}-\d\d-\d\dT.*(Z|[+-]\d\d:?\d\d)$"), F.unix_millis(text.try_cast("timestamp")))
@@ -38,36 +39,44 @@ def parse(records: DataFrame, thresholds: Thresholds, fields: list[str], require
     """records (topic, ingest_ts, value and others) with: reject (struct reason, detail or null), warnings (array of
     the same), event_ms, from_payload, fields (map of text), types (map of tags), keys, structural (0 skipped, 1 valid,
     2 invalid), structural_error."""
+    schema = json.loads(schema) if isinstance(schema, str) else schema
+    wanted = list(dict.fromkeys(["", thresholds.event_time_field, *fields, *required, *(paths(schema) if schema else [])]))
     text = F.col("value").cast("string")
-    doc = F.col("_doc")
-    staged = records.withColumn("_doc", F.try_parse_json(text)).withColumn("_event", event_time_ms(doc, thresholds.event_time_field))
+    # one-row generators keep the optimizer from copying these expressions into every filter and column that uses them
+    once = lambda df, **columns: df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    staged = once(records, _doc=F.try_parse_json(text))
+    staged = once(staged, **{f"_v{k}": at(F.col("_doc"), p) if p else F.col("_doc") for k, p in enumerate(wanted)})
+    staged = once(staged, **{f"_t{k}": type_tag(F.col(f"_v{k}")) for k in range(len(wanted))})
+    doc = Doc(F.col("_doc"), {p: (F.col(f"_v{k}"), F.col(f"_t{k}")) for k, p in enumerate(wanted)})
+    event = thresholds.event_time_field
+    staged = once(staged, _event=event_time_ms(doc.value(event), doc.tag(event)))
     limit = F.unix_millis(F.coalesce(now, F.col("ingest_ts")).cast("timestamp") if now is not None else F.col("ingest_ts").cast("timestamp")) + AHEAD_MS
     issue = lambda when, reason, more: F.when(when, F.struct(F.lit(reason).alias("reason"), detail(more).alias("detail")))
     reject = F.coalesce(
         issue(F.col("value").isNull(), "null_payload", F.lit("tombstone / null value")),
-        issue(doc.isNull(), "invalid_json", F.when(F.trim(text) == "", F.lit("empty payload")).otherwise(F.lit("payload is not JSON"))),
-        issue(~F.coalesce(type_tag(doc) == "object", F.lit(False)), "not_a_json_object", F.lit("payload is not a JSON object")),
-        issue((F.col("_event") < 0) | (F.col("_event") > limit), "bad_timestamp", F.concat(F.lit(f"{thresholds.event_time_field}="), F.coalesce(F.try_variant_get(at(doc, thresholds.event_time_field), "$", "string"), F.lit("")))),
+        issue(F.col("_doc").isNull(), "invalid_json", F.when(F.trim(text) == "", F.lit("empty payload")).otherwise(F.lit("payload is not JSON"))),
+        issue(~F.coalesce(doc.tag("") == "object", F.lit(False)), "not_a_json_object", F.lit("payload is not a JSON object")),
+        issue((F.col("_event") < 0) | (F.col("_event") > limit), "bad_timestamp", F.concat(F.lit(f"{event}="), F.coalesce(F.try_variant_get(doc.value(event), "$", "string"), F.lit("")))),
     )
-    pairs = lambda f: F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in fields]), F.array(*[f(at(doc, n)) for n in fields])), lambda k, v: v.isNotNull())
-    as_text = lambda v: F.when(type_tag(v).isin("object", "array"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
-    missing = F.array_join(F.filter(F.array(*[F.when(type_tag(at(doc, n)).isNull(), F.lit(n)) for n in required]), lambda x: x.isNotNull()), ",") if required else F.lit("")
+    pairs = lambda f: F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in fields]), F.array(*[f(n) for n in fields])), lambda k, v: v.isNotNull())
+    as_text = lambda n: F.when(doc.tag(n).isin("object", "array"), F.to_json(doc.value(n))).otherwise(F.try_variant_get(doc.value(n), "$", "string"))
+    missing = F.array_join(F.filter(F.array(*[F.when(doc.tag(n).isNull(), F.lit(n)) for n in required]), lambda x: x.isNotNull()), ",") if required else F.lit("")
     bad = first_error(doc, schema)
     analysed = F.col("reject").isNull()
     warnings = F.filter(F.array(issue(missing != "", "required_field_missing", missing), issue(bad.isNotNull(), "schema_violation", bad)), lambda x: x.isNotNull())
     return (
-        staged.withColumn("reject", reject)
+        once(staged, reject=reject)
         .withColumns({
             "warnings": F.when(analysed, warnings),
             "event_ms": F.when(analysed, F.coalesce("_event", F.unix_millis(F.col("ingest_ts").cast("timestamp")))),
             "from_payload": analysed & F.col("_event").isNotNull(),
             "fields": F.when(analysed, pairs(as_text)),
-            "types": F.when(analysed, pairs(type_tag)),
+            "types": F.when(analysed, pairs(doc.tag)),
             "keys": F.when(analysed, F.json_object_keys(text)),
             "structural": F.when(analysed, F.lit(0) if schema is None else F.when(bad.isNull(), 1).otherwise(2)).cast("tinyint"),
             "structural_error": F.when(analysed, bad),
         })
-        .drop("_doc", "_event")
+        .drop("_doc", "_event", *[f"_{x}{k}" for k in range(len(wanted)) for x in "vt"])
     )
 
 

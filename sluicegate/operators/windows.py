@@ -14,9 +14,9 @@ def window_start(ts: Column, size_s: int) -> Column:
     return F.window(ts, f"{size_s} seconds")["start"]
 
 
-def topic_windows(parsed: DataFrame, fields: list[str], size_s: int, exact: bool = True) -> DataFrame:
+def topic_windows(parsed: DataFrame, fields: list[str], size_s: int, exact: bool = True, distinct_fields: list[str] | None = None) -> DataFrame:
     """For each topic and window: n, measured, lag percentiles, future, checked, invalid, skipped, and for each field
-    its present values, distinct values and type counts. ``exact`` distincts and percentiles suit batch; else
+    its present values, distinct values (of ``distinct_fields`` only, where given) and type counts. ``exact`` distincts and percentiles suit batch; else
     mergeable sketches are used (HLL of 2^12, KLL of 200)."""
     lag = F.when(F.col("from_payload"), F.unix_millis(F.col("ingest_ts").cast("timestamp")) - F.col("event_ms"))
     late = F.greatest(lag, F.lit(0)).cast("double")
@@ -35,7 +35,7 @@ def topic_windows(parsed: DataFrame, fields: list[str], size_s: int, exact: bool
         F.count_if(F.col("structural") == 0).alias("skipped"),
     ]
     for f in fields:
-        aggregates += [F.count(value(f)).alias(f"present_{f}"), distinct(value(f)).alias(f"distinct_{f}"), *[F.count_if(tag(f) == t).alias(f"{t}_{f}") for t in TAGS]]
+        aggregates += [F.count(value(f)).alias(f"present_{f}"), *([distinct(value(f)).alias(f"distinct_{f}")] if distinct_fields is None or f in distinct_fields else []), *[F.count_if(tag(f) == t).alias(f"{t}_{f}") for t in TAGS]]
     staged = parsed.withColumn("_lag", lag).withColumn("_late", late)
     return staged.groupBy("topic", window_start(F.col("ingest_ts"), size_s).alias("window_start")).agg(*aggregates)
 

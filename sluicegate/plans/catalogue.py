@@ -90,7 +90,7 @@ def good(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.topic_windows(good(spark, sf_dir), FIELDS, SIZE_S)
+    return windows.topic_windows(good(spark, sf_dir), FIELDS, SIZE_S, distinct_fields=DISTINCT)
 
 
 def with_silence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,15 +14,15 @@ PAYLOAD = """CASE WHEN event_id % 307 = 0 THEN NULL
     || CASE WHEN d >= 25 THEN '' ELSE ',"note":"x"' END || CASE WHEN d >= 20 THEN ',"channel":"web"' ELSE '' END || '}}' END"""
 
 RECORDS = """SELECT 'ev.' || event_type AS topic, CAST(event_id % 3 AS INT) AS source_partition, event_id AS source_offset, ts AS ingest_ts, {payload} AS value
-FROM (SELECT event_id, ts, user_id, event_type, value, CAST({ms} AS BIGINT) AS ms, CAST(extract(day FROM ts) AS INT) AS d FROM {events}) e
+FROM (SELECT event_id, date_trunc('second', ts) AS ts, user_id, event_type, value, CAST({ms} AS BIGINT) AS ms, CAST(extract(day FROM ts) AS INT) AS d FROM {events}) e
 WHERE NOT (event_type = 'click' AND d = 21) AND NOT (event_type = 'view' AND d IN (23, 24) AND event_id % 3 <> 0) AND NOT (event_type = 'signup' AND d >= 8 AND event_id % 2 <> 0)"""
 
 #: The same text for DuckDB, as a subquery named records.
-DUCK_RECORDS = RECORDS.format(payload=PAYLOAD.format(), ms="epoch_ms(ts)", events="events")
+DUCK_RECORDS = RECORDS.format(payload=PAYLOAD.format(), ms="epoch_ms(date_trunc('second', ts))", events="events")
 
 
 def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic, source_partition, source_offset, ingest_ts, value) with nulls, drift, silence and broken payloads."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    sql = RECORDS.format(payload=PAYLOAD, ms="unix_millis(CAST(ts AS TIMESTAMP))", events="{events}")  # doubled braces stay for Spark's own formatter
+    sql = RECORDS.format(payload=PAYLOAD, ms="unix_millis(CAST(date_trunc('second', ts) AS TIMESTAMP))", events="{events}")  # doubled braces stay for Spark's own formatter
     return spark.sql(sql, events=events.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type", "value"))
