@@ -38,6 +38,9 @@ SAMPLE, LEAST, RANKED = 8_000, 3, 200_000
 #: Children of a node of the tree.
 FANOUT = 32
 NO_LIMIT = 65535
+#: The first step verifies pairs that share one in so many of the set's shingles among their first ones; all other
+#: pairs are left to the trees of the second step.
+CLEAR = 20
 #: Ids that are broadcast at most; above it the same join shuffles.
 BROADCAST_IDS = 500_000
 I64 = np.iinfo(np.int64)
@@ -251,7 +254,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     # 1. each set against the head with which it shares most
     shared = live.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
     sized = nodes.select("node", "n")
-    fitting = shared.join(sized, "node").join(sized.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head").where((100 * F.col("head_n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("head_n")))
+    fitting = shared.join(sized, "node").join(sized.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head").where((100 * F.col("head_n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("head_n")) & (CLEAR * F.col("c") >= F.col("n")))
     best = materialise(fitting.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("head"))).alias("b")).select(F.col("node").alias("a"), (-F.col("b.head")).alias("b")), "jaccard-heads")
     named_docs = docs.where("doc_id IS NOT NULL")
     first_links = verified(best, named_docs, nodes)

@@ -30,7 +30,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Zipf-Mandelbrot's shift, what a byte piece costs below the rarest piece, words kept, characters of a kept word.
 SHIFT, BYTE_COST, KEPT_WORDS, KEPT_CHARS = 2.7, 10.0, 400_000, 64
-MISSING = (-2, 0.0)
+MISSING = (-2, 0)
+#: Scores are whole multiples of one over this, so sums are exact and ties are the same wherever a text is cut.
+SCALE = 1 << 20
 
 
 class Pieces:
@@ -51,12 +53,12 @@ class Pieces:
                 self.text_of[i] = piece
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         total = sum(1 / (k + SHIFT) for k in range(1, len(normal) + 1))
-        self.table: dict[str, tuple[int, float]] = {}
+        self.table: dict[str, tuple[int, int]] = {}
         for k, (i, piece) in enumerate(normal, 1):
             for end in range(1, len(piece)):
-                self.table.setdefault(piece[:end], (-1, 0.0))
-            self.table[piece] = (i, -math.log((k + SHIFT) * total))
-        self.byte_score = -math.log((len(normal) + SHIFT) * total) - BYTE_COST
+                self.table.setdefault(piece[:end], (-1, 0))
+            self.table[piece] = (i, round(-SCALE * math.log((k + SHIFT) * total)))
+        self.byte_score = round(SCALE * (-math.log((len(normal) + SHIFT) * total) - BYTE_COST))
         self.longest = max((len(p) for _, p in normal), default=1)
         self.splits = not any(a != META and b == META for _, p in normal for a, b in zip(p, p[1:]))
         self.kept: dict[str, array] = {}
@@ -67,7 +69,7 @@ class Pieces:
 
     def encode_stream(self, chunks: Iterator[str]) -> Iterator[list[int]]:
         """Ids of normalised text that comes in chunks, committed as soon as all live paths share a boundary."""
-        text, pos, best, back, done = "", 0, [0.0], [None], False
+        text, pos, best, back, done = "", 0, [0], [None], False
         chunks = iter(chunks)
         while not done or pos < len(text):
             if not done and pos + self.longest > len(text):
@@ -131,7 +133,7 @@ class Pieces:
         """encode_stream for a word that fits the window: one push for each place, one commit at the end."""
         n, get = len(word), self.table.get
         best, size, piece = [-math.inf] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
-        best[0] = 0.0
+        best[0] = 0
         for pos in range(n):
             score, end = best[pos], pos + 1
             if score == -math.inf:
