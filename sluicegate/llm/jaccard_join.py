@@ -41,6 +41,10 @@ NO_LIMIT = 65535
 #: The first step verifies pairs that share one in so many of the set's shingles among their first ones; all other
 #: pairs are left to the trees of the second step.
 CLEAR = 20
+#: Groups of the finer vector (a byte each) that pairs meet before whole sets do; it prunes large sets.
+FINE = 512
+#: A size class spans a little more than the ratio of linked sizes, so linked sets are in neighbouring classes.
+CLASS_RATIO = 1.3334
 #: Ids that are broadcast at most; above it the same join shuffles.
 BROADCAST_IDS = 500_000
 I64 = np.iinfo(np.int64)
@@ -69,6 +73,10 @@ def count_vector(own: np.ndarray) -> np.ndarray:
     return np.full(GROUPS, NO_LIMIT, np.uint16) if n.max(initial=0) >= NO_LIMIT else n.astype(np.uint16)
 
 
+def fine_vector(own: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes()
+
+
 def prefix(own: np.ndarray, ranked: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the common order: by rank (0 if not ranked), then hash."""
     if len(ranked):
@@ -119,12 +127,35 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the threshold. Sets are made again from the texts of the nodes that
     are in pairs, so no table of all sets is needed."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(content, ids: DataFrame) -> DataFrame:
+        """content (bytes) of the set of each node in ids."""
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    sets = list(shingle_sets(part.column("text")))
+                    sign = np.array([divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array([content(s) for s in sets], pa.binary())], ["node", "s1", "s2", "own"])
+
+        texts = docs.select(F.col("doc_id").alias("node"), "text").join(ids.select("node"), "node", "left_semi")
+        return texts.mapInArrow(make, "node long, s1 long, s2 long, own binary").join(ids, ["node", "s1", "s2"], "left_semi").groupBy("node").agg(F.first("own").alias("own"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        """The nodes in pairs with their signatures, broadcast where their number allows it."""
+        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "s1", "s2"), "node"), "jaccard-wanted")
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    def with_both(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        return pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                sets = list(shingle_sets(part.column("text")))
-                sign = np.array([divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s1", "s2", "own"])
+            if batch.num_rows:
+                u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int32) for c in ("own_a", "own_b"))
+                same = np.minimum(u, v).sum(1)
+                full = (u == 255).any(1) | (v == 255).any(1)  # a count too large for a byte: nothing is known
+                keep = full | (100 * same >= PERCENT * (u.sum(1) + v.sum(1) - same))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,13 +166,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep.append(100 * same >= PERCENT * (len(u) + len(v) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "s1", "s2"), "node"), "jaccard-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.select("node"), "node", "left_semi")
-    made = texts.mapInArrow(make, "node long, s1 long, s2 long, own binary").join(wanted, ["node", "s1", "s2"], "left_semi")
-    sets = made.groupBy("node").agg(F.first("own").alias("own"))  # read for both ends of the pairs, one shuffle
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
-    return materialise(joined.select("a", "b", "own_a", "own_b").mapInArrow(check, "a long, b long"), "jaccard-links")
+    near = materialise(with_both(pairs, made(fine_vector, ends(pairs))).mapInArrow(likely, "a long, b long"), "jaccard-near")
+    return materialise(with_both(near, made(lambda s: s.tobytes(), ends(near))).mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,9 +288,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     # 2. across components
     member = live.select("first", "node").join(first_comps, "node", "left").select("first", "node", F.coalesce("label", "node").alias("comp"))
     mixed = member.groupBy("first").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("first")
-    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS_RATIO))).cast("int")
     points = member.join(mixed, "first").join(rep.select("node", "n", "vec"), "node")
-    dealt = points.select("first", "node", "n", "vec", "comp", size.alias("own")).select("*", F.explode(F.array(F.struct(F.col("own").alias("size"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("size"), F.lit(False).alias("home")), F.struct((F.col("own") + 2).alias("size"), F.lit(False).alias("home")))).alias("x")).select("first", "x.size", "node", "n", "comp", "x.home", "vec")
+    dealt = points.select("first", "node", "n", "vec", "comp", size.alias("own")).select("*", F.explode(F.array(F.struct(F.col("own").alias("size"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("size"), F.lit(False).alias("home")))).alias("x")).select("first", "x.size", "node", "n", "comp", "x.home", "vec")
     found = dealt.repartition("first", "size").sortWithinPartitions("first", "size").mapInArrow(_search_runs, "a long, b long").distinct()
     second_links = verified(materialise(found, "jaccard-candidates"), named_docs, nodes)
     links = first_comps.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(second_links)
