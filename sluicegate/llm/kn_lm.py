@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped hash arrays.
 
 Training makes two passes. The first counts words: a sorted array of 64-bit word hashes with counts, in
-range-partitioned shards in the shared folder. A word found twice or more has its place in that array as id; rarer
-and unseen words share one id. The second pass counts bigrams as pairs of ids (one 64-bit key), summed in hash
+range-partitioned shards in the shared folder. Each word has its place in that array as id; unseen words share one
+id, which no bigram of the training text has. The second pass counts bigrams as pairs of ids (one 64-bit key), summed in hash
 buckets and written as sorted arrays, a shard for each bucket, keys found once apart from those with a count. What
 contexts and words need (distinct successors by count, distinct predecessors) is pre-aggregated while writing and
 stored as arrays in the order of ids. Discounts come from counts of counts; all counts cover the whole corpus.
@@ -12,8 +12,7 @@ elsewhere each shard is read once a worker. A text is its words (A-Z lower-cased
 context is a begin token.
 
 p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) p(w), D and g by modified Kneser-Ney; p(w) = max(n(w) - D', 0) / n + g'
-/ V, n(w) the distinct contexts of w; an unseen context leaves p(w). The share of rare words is spread evenly over
-those of the training text and one more.
+/ (V + 1), n(w) the distinct contexts of w; an unseen context leaves p(w), and an unseen word has p(w) = g' / (V + 1).
 
 Cases: a null or empty text is one end token; equal rows count again; without any training text each token has
 probability 1; a null doc_id takes part like others. Only doc_id and text are read.
@@ -36,8 +35,8 @@ from sluicegate.llm.common import crc_mod, documents, hash_words, materialise, o
 END, BEGIN = np.uint64(0x5EED000000000001), np.uint64(0x5EED000000000002)
 #: Tokens whose bigrams a counting task holds before it passes them on.
 HELD = 1_000_000
-#: Ids of rare words and of the begin of a text; known words follow.
-RARE, START, KNOWN = 0, 1, 2
+#: Ids of unseen words and of the begin of a text; the words of the training text follow.
+UNSEEN, START, KNOWN = 0, 1, 2
 
 
 def token_hashes(texts: pa.Array, strip: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +169,7 @@ def word_ids(own: Arrays, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and training counts of the distinct words of an array, given back for each of its places."""
     ids, at = np.unique(hashes.view(np.int64), return_inverse=True)
     found = own.get(ids)
-    return np.where(found["n"] > 1, found["at"] + KNOWN, RARE)[at], found["n"][at]
+    return np.where(found["n"] > 0, found["at"] + KNOWN, UNSEEN)[at], found["n"][at]
 
 
 def pair_ids(texts: pa.Array, own: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +260,7 @@ def train(docs: DataFrame, folder: str | None = None) -> str:
     folder = folder or shared_dir(spark, "kn-model")
     texts = docs.select("text")
     counted = materialise(texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "kn-words")
-    total = counted.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") == 1).cast("long")).alias("rare")).first().asDict()
+    total = counted.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("v")).first().asDict()
     words_at = (f"{folder}/words", write_arrays(counted, "w", {"n": "<i8"}, f"{folder}/words"), "w", {"n": "<i8"})
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = texts.mapInArrow(_pair_counts(words_at), "k long, n long").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
@@ -273,11 +272,11 @@ def train(docs: DataFrame, folder: str | None = None) -> str:
     contexts, own = rows.where("context"), materialise(rows.where("NOT context").select("id", (F.col("m1") + F.col("m2") + F.col("m3")).alias("n")), "kn-continuations")
     contexts = contexts.select("id", "c", ((d[0] * F.col("m1") + d[1] * F.col("m2") + d[2] * F.col("m3")) / F.col("c")).alias("g"))
     u = own.agg(*of_counts("n"), F.sum("n").alias("types"), F.count(F.lit(1)).alias("v"), F.sum((F.col("n") > 2).cast("long")).alias("m3")).first().asDict()
-    e, types, v = discounts(u), float(u["types"] or 0), max(u["v"] or 0, 1)
-    rest = (e[0] * u["n1"] + e[1] * u["n2"] + e[2] * u["m3"]) / types / v if types else 1.0
+    e, types, v = discounts(u), float(u["types"] or 0), u["v"] or 0
+    rest = (e[0] * u["n1"] + e[1] * u["n2"] + e[2] * u["m3"]) / types / (v + 1) if types else 1.0
     cut = F.when(F.col("n") == 1, e[0]).when(F.col("n") == 2, e[1]).otherwise(e[2])
     model = {
-        "d": d, "rest": rest, "train_tokens": int(total["tokens"] or 0), "vocabulary": int(total["v"] or 0), "rare": int(total["rare"] or 0) + 1,
+        "d": d, "rest": rest, "train_tokens": int(total["tokens"] or 0), "vocabulary": int(total["v"] or 0),
         "words": words_at[1], "buckets": buckets, "pairs": shards,
         "contexts": write_arrays(contexts, "id", {"c": "<i8", "g": "<f4"}, f"{folder}/contexts"),
         "own": write_arrays(own.select("id", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.lit(types or 1.0) + F.lit(rest)).alias("p")), "id", {"p": "<f8"}, f"{folder}/own"),
@@ -325,7 +324,6 @@ def scorer(folder: str) -> Callable[[pa.Array], dict[str, np.ndarray]]:
         low = np.where(low > 0, low, m["rest"])
         c = context["c"]
         p = np.where(c > 0, np.maximum(n - cut, 0) / np.maximum(c, 1) + context["g"] * low, low)
-        p = np.where(w == RARE, p / m["rare"], p)
         base = np.log10((count + 1) / (total + 1 * (size + 1)))
         sums = lambda x: np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
         return {"n_tokens": np.diff(offsets), "n_known": sums((count > 0).astype(np.int64)), "base_score": sums(base), "score": sums(np.log10(np.maximum(p, 1e-300)))}

@@ -207,6 +207,37 @@ def test_language_model(docs, none):
     assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in kn_lm.score_documents(docs, empty).collect())
 
 
+def every_word(train, test):
+    """Log10 scores by plain counting, each word of the training texts for itself."""
+    tokens = lambda t: ["<s>", *re.findall(SPACE, (t or "").lower()), "</s>"]
+    pairs = Counter(p for t in train for p in zip(tokens(t), tokens(t)[1:]))
+    cc, after, before = Counter(pairs.values()), defaultdict(Counter), Counter(b for _, b in pairs)
+    for (a, b), n in pairs.items():
+        after[a][b] = n
+    bc = Counter(before.values())
+    d, e = (kn_lm.discounts({f"n{k}": c[k] for k in (1, 2, 3, 4)}) for c in (cc, bc))
+    cut = lambda n, d: 0 if not n else d[min(n, 3) - 1]
+    types, rest = len(pairs), sum(cut(n, e) for n in before.values()) / len(pairs) / (len(before) + 1)
+
+    def p(a, w):
+        low, c = max(before[w] - cut(before[w], e), 0) / types + rest, sum(after[a].values())
+        return (max(after[a][w] - cut(after[a][w], d), 0) + sum(cut(n, d) for n in after[a].values()) * low) / c if c else low
+
+    return p, [sum(math.log10(p(a, w)) for a, w in zip(tokens(t), tokens(t)[1:])) for t in test]
+
+
+def test_language_model_counts_words_found_once(spark):
+    train = [*BASE, "alone beside " + BASE[0], "gamma delta", "the the the a b"]
+    test = [None, "", "alone beside", "alone unheard", "unheard beside", "unheard unread", "gamma delta", "delta gamma", *BASE[:3]]
+    folder = kn_lm.train(spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id long, text string"))
+    got = {r["doc_id"]: r["score"] for r in kn_lm.score_documents(spark.createDataFrame([(i, t) for i, t in enumerate(test)], "doc_id long, text string"), folder).collect()}
+    p, want = every_word(train, test)
+    assert [got[i] for i in range(len(test))] == pytest.approx(want, abs=1e-3)
+    assert got[2] > got[3] > got[5] and got[6] > got[7]
+    words = {w for t in train for w in re.findall(SPACE, t.lower())} | {"</s>", "unheard"}
+    assert all(sum(p(a, w) for w in words) == pytest.approx(1) for a in ("<s>", "gamma", "unheard"))
+
+
 def test_pieces(docs, none):
     got = viterbi_pieces.encode_documents(docs).collect()
     assert len(got) == len(DOCS) and all(r["round_trip"] for r in got)
