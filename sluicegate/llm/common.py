@@ -1,6 +1,6 @@
 """What the operators share: the shared folder, materialised tables, row keys, and vectorised tokens.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` everywhere. Texts reach Python as Arrow strings and are cut into
+Words are ``[^\\x20\\x09-\\x0D]+`` everywhere but in decontamination (white space of Unicode). Texts reach Python as Arrow strings and are cut into
 slices of a few MB, so a worker's memory doesn't depend on how many rows come in a batch.
 """
 
@@ -73,12 +73,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         start = end
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
-    """All words of all texts in order, and where each text's words begin (one entry more than texts)."""
+def words(texts: pa.Array, lower: bool = True, unicode: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts in order, and where each text's words begin (one entry more than texts); with the case
+    and white space of ASCII, or those of Unicode."""
     texts = pc.fill_null(texts, "")
     if lower:
-        texts = pc.ascii_lower(texts)
-    lists = pc.ascii_split_whitespace(texts)
+        texts = pc.utf8_lower(texts) if unicode else pc.ascii_lower(texts)
+    lists = pc.utf8_split_whitespace(texts) if unicode else pc.ascii_split_whitespace(texts)
     flat, offsets = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
     offsets = offsets - offsets[0]
     full = pc.greater(pc.binary_length(flat), 0)

@@ -38,7 +38,8 @@ LEAKS = "doc_id long, item_id long, score double, question_overlap double, answe
 
 
 def plain_words(text: str | None) -> list[str]:
-    return [x for x in (w.strip(STRIP) for w in (text or "").lower().split()) if x]
+    """The words of an item, cut and lower-cased as those of the training texts."""
+    return [x for x in (w.strip(STRIP) for w in words(pa.array([text], pa.string()), unicode=True)[0].to_pylist()) if x]
 
 
 def trigrams(hashes: np.ndarray) -> np.ndarray:
@@ -98,7 +99,7 @@ class ItemIndex:
 
 def find_leaks(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item, score, question overlap, answer overlap) of each verified passage."""
-    flat, at = words(texts)
+    flat, at = words(texts, unicode=True)
     if not len(flat) or not index.ids:
         return
     coded = flat.dictionary_encode()

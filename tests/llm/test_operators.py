@@ -146,6 +146,13 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(none, items).collect() == [] and decontaminate.leaks(docs, items.where("false")).collect() == []
 
 
+def test_decontamination_beyond_ascii(spark):
+    items = [(1, "École Été Ñandú Übung Élan " * 4), (2, "ПРИВЕТ МИР Это Большой Город На Реке И Он Стоит Там Давно"), (3, "ΑΘΗΝΑ Είναι Η Πόλη Που Όλοι Θέλουν Να Δουν Κάθε Χρόνο Ξανά"), (4, "one\u00a0two three\u2003four five\u00a0six seven eight\u00a0nine ten eleven twelve"), (5, "Straße İstanbul ΟΔΟΣ Ǆ Ẁ Ỳ Ω K Å Ⅷ Ⓐ Ａ Ω É")]
+    docs = [(k, f"{sentence(30)} {t} {sentence(30)}") for k, t in items] + [(9, sentence(80))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in got} == {(k, k, 1.0, 1.0) for k, _ in items}
+
+
 def test_language(spark, docs, none):
     rows = [(i, " ".join(RNG.choice(v) for _ in range(30)), k, "s", "", 0) for i in range(120) for k, v in (("xa", ["alba", "lana", "nala"]), ("yo", ["ytro", "roty", "tyro"]))]
     model = language_id.fit(spark.createDataFrame(rows, COLUMNS))
