@@ -5,7 +5,8 @@ score, so a score is the share of an item's BM25 weight that a passage holds, an
 Items are ordered by length and cut into blocks with the largest impact per term and block. Every passage is a
 query: a block whose summed maxima stay below the threshold is skipped (block-max WAND over aligned blocks,
 computed for many passages at once), all items of the other blocks are scored exactly. Retrieved items count as
-leaks when enough of their question's and of their answer's word trigrams are in the passage.
+leaks when enough of their question's and of their answer's word trigrams are in the passage (the bigram or word of a
+part that has no more).
 
 Passages are pairs of neighbouring chunks, a chunk being as long as the longest item, so an item inside a text is
 inside a passage. Texts are read whole. The index goes along with the tasks; benchmarks beyond ``PASS_ITEMS`` items
@@ -42,8 +43,10 @@ def plain_words(text: str | None) -> list[str]:
     return [x for x in (w.strip(STRIP) for w in words(pa.array([text], pa.string()), unicode=True)[0].to_pylist()) if x]
 
 
-def trigrams(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(ngram_hashes(hashes, min(3, max(len(hashes), 1)))) if len(hashes) else np.zeros(0, np.uint64)
+def trigrams(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """The distinct word trigrams of a part of an item, or its only bigram or word if it is shorter; n goes first."""
+    n = min(3, max(len(hashes), 1))
+    return n, np.unique(ngram_hashes(hashes, n))
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -134,8 +137,8 @@ def find_leaks(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, fl
             if hashes is None:
                 hashes = np.array([xxh64_intdigest(w) for w in own], np.uint64)
             s = at[r] + (k - first[r]) * index.chunk
-            here = trigrams(hashes[code[s : min(s + 2 * index.chunk, at[r + 1])]])
-            q, a = (float(np.isin(p, here).mean()) if len(p) else 1.0 for p in index.parts[item])
+            here = hashes[code[s : min(s + 2 * index.chunk, at[r + 1])]]
+            q, a = (float(np.isin(p, ngram_hashes(here, n)).mean()) if len(p) else 1.0 for n, p in index.parts[item])
             if q >= QUESTION and a >= ANSWER:
                 yield int(r), index.ids[item], score, q, a
 

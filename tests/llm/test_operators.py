@@ -146,6 +146,13 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(none, items).collect() == [] and decontaminate.leaks(docs, items.where("false")).collect() == []
 
 
+def test_decontamination_of_short_parts(spark):
+    items = [(1, "Which city lies on the river Seine and is a capital? Paris"), (2, "Who wrote the long poem about a sailor and a bird? Samuel Coleridge"), (3, "seven plain words without any question mark"), (4, "Really? Yes"), (5, "lonely"), (6, "ten plain words with no mark at their very end")]
+    docs = [(k, f"{sentence(70)} {t}. {sentence(70)}") for k, t in items] + [(11, items[0][1]), (12, items[0][1].replace("Paris", "Rome")), (13, sentence(90))]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, k) for k, _ in items} | {(11, 1)}
+
+
 def test_decontamination_beyond_ascii(spark):
     items = [(1, "École Été Ñandú Übung Élan " * 4), (2, "ПРИВЕТ МИР Это Большой Город На Реке И Он Стоит Там Давно"), (3, "ΑΘΗΝΑ Είναι Η Πόλη Που Όλοι Θέλουν Να Δουν Κάθε Χρόνο Ξανά"), (4, "one\u00a0two three\u2003four five\u00a0six seven eight\u00a0nine ten eleven twelve"), (5, "Straße İstanbul ΟΔΟΣ Ǆ Ẁ Ỳ Ω K Å Ⅷ Ⓐ Ａ Ω É")]
     docs = [(k, f"{sentence(30)} {t} {sentence(30)}") for k, t in items] + [(9, sentence(80))]
