@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base entities (email, ip, card, phone) are found by patterns and checks and are the seeds. Around each seed two
-lexical patterns are induced: the two words before it, and the word before with the word after. Other identifier-like
-tokens (``LEAST`` characters, ``DIGITS`` digits) that no base entity covers are candidates with the same patterns.
+lexical patterns are induced: the two words before it, and the word before with the word after. What looks like an
+identifier and has no base entity in it is a candidate with the same patterns: a form of e-mail or IPv6 address, a run
+of number groups with blanks, or another token (runs and tokens: ``LEAST`` characters, ``DIGITS`` digits).
 Patterns and instances form a graph that is scored in ``ROUNDS`` rounds: a pattern's confidence is the score of its
-distinct instances over their number plus one, a candidate's score is one minus the product of what its patterns
-leave. Patterns with ``SUPPORT`` distinct seeds of one kind and ``CONFIDENCE`` name the candidates they reach, with
-the pattern's kind. Graph rows are a few words for each identifier; texts stay where they are read.
+distinct instances of its kind over the number of all plus one, a candidate's score is one minus the product of what
+its patterns leave, its kind that of the most confident one. A pattern takes part from ``SUPPORT`` distinct instances of
+one kind on, seeds and candidates with a score of ``CONFIDENCE`` from the rounds before, so each round can go one step
+further. Patterns with ``CONFIDENCE`` name the candidates they reach, with the pattern's kind. Graph rows are a few words for each identifier; texts stay where they are read.
 
 Quantifiers are possessive where that changes nothing, so no text makes the regex engine recurse or go back far.
 
@@ -36,6 +38,12 @@ BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Characters and digits of an identifier-like token.
 LEAST, DIGITS = 6, 3
 TOKEN = rf"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{{{LEAST}}})(?:[^\x20\x09-\x0D0-9]*+[0-9]){{{DIGITS}}}[^\x20\x09-\x0D]*+"
+#: Candidates of other forms: addresses with or without a dot, brackets around "at" and "dot"; IPv6; number groups.
+_NAME, _OPEN, _CLOSE = r"[^\x20\x09-\x0D@()\[\]{}<>,;:\"]", r"\x20?[(\[{]", r"[)\]}]\x20?"
+ADDRESS = rf"(?<!{_NAME}){_NAME}++(?:@|{_OPEN}(?i:at){_CLOSE})[^\x20\x09-\x0D@()\[\]{{}}<>,;:\"!?.]++(?:(?:\.|{_OPEN}(?i:dot){_CLOSE})[^\x20\x09-\x0D@()\[\]{{}}<>,;:\"!?.]++)*+"
+COLONS = r"(?<![0-9A-Za-z:.])(?=:*+[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}+:){2,7}+[0-9A-Fa-f]{0,4}+(?![0-9A-Za-z:])"
+_GROUP = r"\(?[0-9]++(?:[()./+-]++[0-9]++)*+\)?(?![^\x20\x09-\x0D.,;:!?)\]\"'])"
+GROUPS = rf"(?<=^|[\x20\x09-\x0D]|^[(\[\"']|[\x20\x09-\x0D][(\[\"'])(?=\(?[0-9])(?=[0-9()./+\x20-]{{{LEAST}}})(?=(?:[()./+\x20-]*+[0-9]){{{DIGITS}}}){_GROUP}(?:\x20(?:[/-]\x20)?{_GROUP})++"
 ROUNDS, SUPPORT, CONFIDENCE = 3, 3, 0.8
 PUNCTUATION = "!\"#$%&'()*,.:;<=>?[]^_`{|}~/\\-+"
 SPAN = "array<struct<kind:int,start:int,end:int,text:string,before:string,left:string,right:string>>"
@@ -85,9 +93,18 @@ def base_spans(text: Column) -> Column:
 
 
 def identifier_spans(text: Column, spans: Column) -> Column:
-    """Identifier-like tokens that no base entity touches."""
-    free = lambda s: ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.when(text.rlike("[0-9]"), F.filter(located(text, TOKEN, -1), free)).otherwise(F.array().cast(SPAN))
+    """What looks like an identifier and touches no base entity, and no candidate of a form before it."""
+    none = F.array().cast(SPAN)
+
+    def free(hint: Column, pattern: str, taken: Column) -> Column:
+        return F.when(hint, F.filter(located(text, pattern, -1), lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).otherwise(none)
+
+    forms = [(text.rlike(r"@|(?i:[(\[{]at[)\]}])"), ADDRESS), (text.rlike(":[0-9A-Fa-f]*:"), COLONS), (text.rlike(r"[0-9]\)?\x20(?:[/-]\x20)?\(?[0-9]"), GROUPS), (text.rlike("[0-9]"), TOKEN)]
+
+    def after(found: Column, k: int) -> Column:
+        return found if k == len(forms) else let(F.concat(found, free(*forms[k], F.concat(spans, found))), lambda more: after(more, k + 1))
+
+    return after(none, 0)
 
 
 def edges(table: DataFrame) -> DataFrame:
@@ -106,18 +123,26 @@ def discover(table: DataFrame) -> DataFrame:
     """_k1, _k2, kind, start, end of the candidates that confident patterns reach."""
     graph = materialise(edges(table), "pii-graph")
     pairs = graph.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
-    seeds = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("kind") == k).cast("long")).alias(f"s{k}") for k in range(len(KINDS))])
-    most = F.greatest(*[F.col(f"s{k}") for k in range(len(KINDS))])
-    kind = F.coalesce(*[F.when(F.col(f"s{k}") == most, F.lit(k)) for k in range(len(KINDS))])
-    # only patterns with enough seeds can become confident; they and their candidates are the graph that is scored
-    strong = materialise(seeds.where(most >= SUPPORT).select("pattern", "n", kind.alias("of"), most.alias("seeds")), "pii-patterns")
-    links = materialise(pairs.where("kind = -1").join(strong, "pattern").select("pattern", "instance", "n", "of", "seeds"), "pii-links")
-    scores = links.select("instance").distinct().withColumn("score", F.lit(0.0))
-    for k in range(ROUNDS):
-        confidence = links.join(scores, "instance").groupBy("pattern", "n", "of", "seeds").agg(F.sum("score").alias("more"))
-        confidence = confidence.select("pattern", "of", ((F.col("seeds") + F.col("more")) / (F.col("n") + 1)).alias("confidence"))
-        scored = links.select("pattern", "instance").join(confidence, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
-        scores = materialise(scored, f"pii-scores{k}")
+    kinds = range(len(KINDS))
+    seeds = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("kind") == k).cast("long")).alias(f"s{k}") for k in kinds])
+    # patterns with fewer instances than the support can never get it; the others and their candidates are scored
+    patterns = materialise(seeds.where(F.col("n") >= SUPPORT), "pii-patterns")
+    links = materialise(pairs.where("kind = -1").select("pattern", "instance").join(patterns.select("pattern"), "pattern"), "pii-links")
+    scores = None
+    for r in range(ROUNDS):
+        if scores is None:
+            known = patterns.select("*", *[F.lit(0).alias(f"a{k}") for k in kinds], *[F.lit(0.0).alias(f"m{k}") for k in kinds])
+        else:
+            own = [(F.col("as") == k, k) for k in kinds]
+            got = links.join(scores, "instance").groupBy("pattern").agg(*[F.sum((mine & (F.col("score") >= CONFIDENCE)).cast("long")).alias(f"a{k}") for mine, k in own], *[F.sum(F.when(mine, F.col("score")).otherwise(0.0)).alias(f"m{k}") for mine, k in own])
+            known = patterns.join(got, "pattern", "left").na.fill(0)
+        support = [F.col(f"s{k}") + F.col(f"a{k}") for k in kinds]
+        most = F.greatest(*support)
+        first = lambda values: F.coalesce(*[F.when(x == most, v) for x, v in zip(support, values, strict=True)])
+        confidence = known.where(most >= SUPPORT).select("pattern", first([F.lit(k) for k in kinds]).alias("of"), (first([F.col(f"s{k}") + F.col(f"m{k}") for k in kinds]) / (F.col("n") + 1)).alias("confidence"))
+        confidence = materialise(confidence, f"pii-confidence{r}")
+        scored = links.join(confidence, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"), F.min(F.struct(-F.col("confidence"), "of"))["of"].alias("as"))
+        scores = materialise(scored, f"pii-scores{r}")
     reached = graph.where("kind = -1").join(confidence.where(F.col("confidence") >= CONFIDENCE), "pattern").join(scores.where(F.col("score") >= CONFIDENCE), "instance")
     return reached.groupBy("_k1", "_k2", "start", "end").agg(F.min("of").alias("kind"))
 

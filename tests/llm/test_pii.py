@@ -46,6 +46,26 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i]["spans"] == got[i]["base"] != "" for i in range(30))
 
 
+def test_contexts_discover_other_forms(spark):
+    phones = [f"w{i} please call me at +1 (5{i}2) 555-01{i:02d} now" for i in range(10, 60)]
+    mails = [f"w{i} kindly write to a{i}@mail{i}.example soon" for i in range(10, 60)]
+    odd = ["call me at 555 123 4567 now", "me at 3782 8224 6310 005 now", "call me at (555) 123-4567.", "please write to john(at)mail.example soon", "kindly write to user@localhost soon", "kindly write to jane [at] mail [dot] example soon", "in 555 123 4567 years", "so user@localhost said", "1(" * 20000, " " * 40000 + "1", "(" * 20000 + "12", ":" * 20000 + "1:1"]
+    got = run(spark, [*phones, *mails, *odd])
+    found = [got[100 + k]["spans"] for k in range(len(odd))]
+    assert set(found[6:]) == {""}
+    want = [("phone", "555 123 4567"), ("phone", "3782 8224 6310 005"), ("phone", "(555) 123-4567"), ("email", "john(at)mail.example"), ("email", "user@localhost"), ("email", "jane [at] mail [dot] example")]
+    assert found[:2] + found[3:6] == [f"{k}:{t.index(x)}:{t.index(x) + len(x)}" for (k, x), t in list(zip(want, odd))[:2] + list(zip(want, odd))[3:]]
+    assert found[2] == "phone:11:25" and all(got[i]["spans"] == got[i]["base"] != "" for i in range(100))
+
+
+def test_found_identifiers_support_patterns(spark):
+    seeds = [f"please call me at +1 (5{i}2) 555-01{i:02d} now" for i in range(10, 90)]
+    step = [f"please call me at 55{i}-7788x now" for i in range(10, 22)] + [f"my pager line 55{i}-7788x beeps" for i in range(10, 22)]
+    texts = [*seeds, *step, "my pager line 99887-123y beeps", "our other 99887-123z words"]
+    got = run(spark, texts)
+    assert got[len(texts) - 2]["spans"] == "phone:14:24" and got[len(texts) - 1]["spans"] == ""
+
+
 def test_empty_table_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.extract(docs).collect() == []
