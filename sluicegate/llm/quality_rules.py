@@ -1,9 +1,10 @@
 """Cross-document line frequency as a quality rule, in DataFrame functions only.
 
-Lines are normalised (trimmed, lower-cased, digits as 0) and hashed to 128 bits; per host (``source``) the distinct
-documents of each hash are counted. Lines in at least ``max_docs`` documents of their host are removed, and a
-document that keeps less than ``min_kept`` of its characters in words is rejected. Texts never enter a shuffle:
-only (host, hash, document, size) of each distinct line does, reduced per task first.
+Lines are normalised (trimmed, lower-cased, digits as 0) and hashed with their host (``source``) to 128 bits; the
+distinct documents of each hash are counted. Lines in at least ``max_docs`` documents of their host are removed, and a
+document that keeps less than ``min_kept`` of its characters in words is rejected. Lines are counted by (hash,
+document) of each distinct line, reduced per task first; the hashes of a document's common lines then meet its text in
+one join, where the text is put together again without them. Blank lines stay.
 
 Base figures are computed in the row: 5-word windows are hashed, sorted with their places, and those equal to a
 neighbour are merged into covered words, so a text costs n log n however long it is.
@@ -46,14 +47,16 @@ def repeated_words(words: Column, window: int = 5) -> Column:
 
 
 def base_figures(docs: DataFrame) -> DataFrame:
-    """doc_id, _k1, _k2 and the base figures of each row."""
+    """doc_id, _k1, _k2, source, text and the base figures of each row."""
     text = F.coalesce("text", F.lit(""))
-    staged = docs.select("doc_id", *row_key("doc_id", "source", "text"), text.alias("text")).withColumn("words", word_array(F.col("text")))
+    staged = docs.select("doc_id", "source", *row_key("doc_id", "source", "text"), F.col("text").alias("own"), text.alias("text")).withColumn("words", word_array(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return staged.select(
         "doc_id",
         "_k1",
         "_k2",
+        "source",
+        F.col("own").alias("text"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -62,31 +65,41 @@ def base_figures(docs: DataFrame) -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def removed_chars(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """_k1, _k2, removed: characters in words of a document's lines that reach the limit of their host."""
-    key = F.regexp_replace(line_key(F.col("line")), "[0-9]", "0")
-    chars = F.length(F.translate("line", SPACE, ""))
+def line_hashes(line: Column) -> list[Column]:
+    """Two hashes of a line of a host (``source``)."""
+    key = F.regexp_replace(line_key(line), "[0-9]", "0")
+    host = [F.col("source").isNull(), F.col("source")]
+    return [F.xxhash64(F.lit(3), *host, key).alias("h1"), F.xxhash64(F.lit(4), *host, key).alias("h2")]
+
+
+def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """_k1, _k2, common: hashes of a document's lines that reach the limit of their host."""
     lines = (
-        docs.select(F.xxhash64(F.lit(3), F.col("source").isNull(), "source").alias("host"), *row_key("doc_id", "source", "text"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-        .select("host", "_k1", "_k2", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"), chars.alias("chars"))
-        .where("chars > 0")
-        .groupBy("host", "h1", "h2", "_k1", "_k2")
-        .agg(F.sum("chars").alias("chars"))
+        docs.select("source", *row_key("doc_id", "source", "text"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
+        .where(F.translate("line", SPACE, "") != "")
+        .select(*line_hashes(F.col("line")), "_k1", "_k2")
+        .distinct()
     )
-    common = lines.groupBy("host", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_docs).drop("n")
-    return lines.join(common, ["host", "h1", "h2"]).groupBy("_k1", "_k2").agg(F.sum("chars").alias("removed"))
+    common = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_docs).drop("n")
+    return lines.join(common, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("h1", "h2")).alias("common"))
 
 
-def quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
-    """The base figures of each row, the characters that boilerplate lines take from it, and the verdict.
-
-    A text whose row repeats in the table removes its lines once for each distinct row only."""
+def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
+    """The base figures of each row, its text without the common lines of its host, the characters these take from it,
+    and the verdict."""
     d = docs.select("doc_id", "source", "text")
-    scored = base_figures(d).join(removed_chars(d, max_docs), ["_k1", "_k2"], "left")
-    return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.coalesce("removed", F.lit(0)).cast("long").alias("removed_chars"),
-    ).withColumn("kept", ~F.col("base_failed") & ((F.col("word_chars") - F.col("removed_chars")) >= min_kept * F.col("word_chars")))
+    joined = base_figures(d).join(common_lines(d, max_docs), ["_k1", "_k2"], "left")
+    rest = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("common"), F.struct(*line_hashes(x))))
+    text = F.when(F.col("common").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", let(text, lambda t: F.struct(t.alias("text"), F.length(F.translate(F.coalesce(t, F.lit("")), SPACE, "")).cast("long").alias("chars"))).alias("rest"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("word_chars") - F.col("rest.chars")).alias("removed_chars"), F.col("rest.text").alias("text")).withColumn(
+        "kept", ~F.col("base_failed") & ((F.col("word_chars") - F.col("removed_chars")) >= min_kept * F.col("word_chars"))
+    )
+
+
+def quality(docs: DataFrame, max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
+    """What ``cleaned`` gives, without the texts."""
+    return cleaned(docs, max_docs, min_kept).drop("text")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

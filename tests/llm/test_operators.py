@@ -74,6 +74,16 @@ def test_quality(docs, none):
     assert quality_rules.quality(none).collect() == []
 
 
+def test_quality_removes_common_lines(docs):
+    got = quality_rules.cleaned(docs).collect()
+    text = dict(DOC[:2] for DOC in DOCS)
+    gone = lambda t: "\n".join(x for x in t.split("\n") if x.strip().lower() != COMMON.lower())
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted((d[0], gone(d[1] or "")) for d in DOCS)
+    assert [r["text"] for r in got if r["doc_id"] == 0] == [None] and sum(r["text"] != text[r["doc_id"]] for r in got) == 12
+    size = lambda t: len(re.sub(r"[\x20\x09-\x0D]", "", t or ""))
+    assert all(r["removed_chars"] == r["word_chars"] - size(r["text"]) for r in got)
+
+
 def test_line_dedup(docs, none):
     from pyspark.sql import functions as F
 
