@@ -10,7 +10,7 @@ part that has no more).
 
 Passages are pairs of neighbouring chunks, a chunk being as long as the longest item, so an item inside a text is
 inside a passage. Texts are read whole. The index goes along with the tasks; benchmarks beyond ``PASS_ITEMS`` items
-are split by a hash of the id, and the texts are scanned once for each part.
+are split by a hash of the id, and the texts are scanned once for each part; weights and passages are those of all items.
 
 Cases: null or empty texts and items match nothing; equal items are found each by its id; for equal doc_ids the
 largest figures of their rows count; an item without a question mark has its last quarter of words as answer; empty
@@ -20,7 +20,8 @@ tables give no rows. Only doc_id and text, item_id and text are read.
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,21 +61,28 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return own[:cut] or own, own[cut:]
 
 
+def item_figures(parts: Iterable[list[tuple[int, str]]]) -> tuple[int, float, int, Counter]:
+    """Number, mean and largest length of the items of all parts, and how many items hold each word."""
+    n, total, longest, df = 0, 0, 0, Counter()
+    for items in parts:
+        for own in filter(None, (plain_words(t) for _, t in items)):
+            n, total, longest = n + 1, total + len(own), max(longest, len(own))
+            df.update(set(own))
+    return n, total / max(n, 1), longest, df
+
+
 class ItemIndex:
-    """Inverted index of items with normalised BM25 impacts and block maxima."""
+    """Inverted index of items with normalised BM25 impacts and block maxima; ``figures`` are those of all items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], figures: tuple[int, float, int, Counter]) -> None:
         texts = sorted(((i, plain_words(t), t) for i, t in items if plain_words(t)), key=lambda x: (len(x[1]), x[0]))
         self.ids = [x[0] for x in texts]
-        n, mean = len(texts), np.mean([len(x[1]) for x in texts]) if texts else 1.0
+        n, mean, longest, found = figures
         self.terms = {w: k for k, w in enumerate(sorted({w for _, own, _ in texts for w in own}))}
-        df = np.zeros(len(self.terms))
-        for _, own, _ in texts:
-            for w in set(own):
-                df[self.terms[w]] += 1
+        df = np.array([found[w] for w in self.terms], float)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.blocks = -(-n // BLOCK_ITEMS)
-        self.chunk = max([CHUNK, *(len(x[1]) for x in texts)])
+        self.blocks = -(-len(texts) // BLOCK_ITEMS)
+        self.chunk = max(CHUNK, longest)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         at, term, impact = [], [], []
         for k, (_, own, _) in enumerate(texts):
@@ -147,9 +155,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the best figures of each leak."""
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     passes = max(1, -(-items.count() // PASS_ITEMS))
-    found = None
+    part = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]  # noqa: E731, about PASS_ITEMS
+    figures, found = item_figures(map(part, range(passes))), None
     for k in range(passes):
-        index = ItemIndex([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()])  # about PASS_ITEMS
+        index = ItemIndex(part(k), figures)
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -156,6 +156,14 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(none, items).collect() == [] and decontaminate.leaks(docs, items.where("false")).collect() == []
 
 
+def test_decontamination_in_parts_equals_one_pass(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(k, sentence(5 * (k % 4)) + " " + b) for k, b in enumerate(BASE)], "item_id long, text string")
+    found = lambda: {(r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontaminate.leaks(docs, items).collect()}
+    whole = found()
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 4)
+    assert whole and found() == whole
+
+
 def test_decontamination_of_short_parts(spark):
     items = [(1, "Which city lies on the river Seine and is a capital? Paris"), (2, "Who wrote the long poem about a sailor and a bird? Samuel Coleridge"), (3, "seven plain words without any question mark"), (4, "Really? Yes"), (5, "lonely"), (6, "ten plain words with no mark at their very end")]
     docs = [(k, f"{sentence(70)} {t}. {sentence(70)}") for k, t in items] + [(11, items[0][1]), (12, items[0][1].replace("Paris", "Rome")), (13, sentence(90))]
