@@ -6,6 +6,8 @@ slices of a few MB, so a worker's memory doesn't depend on how many rows come in
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -37,7 +39,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and rereads it: lost executors lose nothing, and lineage ends here."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["written"])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -45,6 +57,33 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have a few MB, however long the texts are, unless it says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "2147483647", "268435456", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
+
+
+def released(run):
+    """run over batches, with the memory that it has used given back to the system at its end: Python workers serve
+    one task after another, and what each leaves behind would add up."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all elements of runs given by start and size, run after run."""
+    total = int(sizes.sum())
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+
+
 def row_key(*cols: str) -> list[Column]:
     """Two 64-bit hashes that stand for a row's content, nulls included; equal rows share them."""
     parts = [x for c in cols for x in (F.col(c), F.col(c).isNull())]

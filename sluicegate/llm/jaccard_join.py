@@ -8,16 +8,23 @@ threshold needs is dropped, and surviving pairs are verified on the sets.
 The tree alone can't be spread over a cluster without comparing everything with everything, so the points are dealt
 by an exact filter first: with one order of all shingles, linked sets share a shingle among their first
 n - ceil(t n) + 1. The order puts shingles that are frequent in a sample last (any order is exact), so common passages
-make no large groups. Sets that are equal become one. Then two steps keep groups of near copies linear:
-1. each set is verified against the one with which it shares most among the sets of smallest id that its first
-   shingles lead to; links give components;
-2. what shares a shingle across components goes into R-trees, per shingle and size class, skipping nodes and pairs
-   inside one component; survivors are verified and join the components.
-No link between different components is lost, so components are exact; links inside a component need no listing.
-
-Cases: a null or empty text has no shingle and is linked with nothing; with fewer than 5 words the whole sequence
-is one shingle; rows with equal doc_id are one document; rows with a null doc_id are linked through their set but
-never name a component; an empty table gives no rows. Only doc_id and text are read.
+make no large groups. Sets that are equal become one node. What has a shingle in common is a run, and has a tree.
+
+Only components are wanted, so no list of all pairs is ever made:
+1. Each set is verified against the one with which it shares most among the first sets of its runs; links give
+   components.
+2. In runs of ``CROWD`` components or more, points outside of the run's largest component search the tree for the
+   likeliest few of its members; this is repeated while it links something. It only saves work in
+3. where the points outside of each run's largest component search the tree for all points of other components. A
+   point's candidates in one component are one row, verified until the first link, as one joins the whole component.
+No link between different components is lost, so components are exact; links inside a component need no listing. A
+run's tree has ``RUN_ROWS`` points of its largest component at most: longer runs are cut into blocks, and the points
+outside of that component visit each. Candidates in a component meet its members in blocks of ``BLOCK_SIZE`` shingles.
+
+Cases: a null or empty text has no shingle and is linked with nothing (its component is its doc_id); with fewer than 5
+words the whole sequence is one shingle; each row has the component of its own text, so rows that share a doc_id may
+differ; rows with a null doc_id are linked as others, and a component is named by its smallest doc_id that isn't null
+(null if there is none); an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,24 +37,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from sluicegate.llm.common import documents, hash_words, materialise, ngram_hashes, slices, words
+from sluicegate.llm.common import discard, documents, hash_words, materialise, mix, ngram_hashes, ragged, released, slices, small_batches, words
 
-SHINGLE, PERCENT, GROUPS = 5, 75, 64
+SHINGLE, PERCENT, GROUPS = 5, 75, 128
 #: Texts of the sample that ranks frequent shingles, least count in it, and ranked shingles at most.
 SAMPLE, LEAST, RANKED = 8_000, 3, 200_000
-#: Children of a node of the tree.
-FANOUT = 32
-NO_LIMIT = 65535
-#: The first step verifies pairs that share one in so many of the set's shingles among their first ones; all other
-#: pairs are left to the trees of the second step.
+#: Children of a node of the tree, and a coordinate that says nothing.
+FANOUT, NO_LIMIT = 32, 255
+#: The first step verifies pairs that share one in so many of the set's shingles among their first ones.
 CLEAR = 20
-#: Groups of the finer vector (a byte each) that pairs meet before whole sets do; it prunes large sets.
-FINE = 512
-#: A size class spans a little more than the ratio of linked sizes, so linked sets are in neighbouring classes.
-CLASS_RATIO = 1.3334
-#: Ids that are broadcast at most; above it the same join shuffles.
-BROADCAST_IDS = 500_000
-I64 = np.iinfo(np.int64)
+#: Components of a run from which the second step sees to it, candidates of a point in it, and repetitions.
+CROWD, LIKELIEST, REPEATS = 8, 4, 4
+#: Points of a block of a run; shingles of a block of a component's members; queries of a verifying group.
+RUN_ROWS, BLOCK_SIZE, QUERIES = 8192, 1 << 21, 4096
+#: Point pairs held at once while a tree is searched.
+HELD_PAIRS = 200_000
+#: Rows that are broadcast at most (about 60 bytes each); above it the same join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def need(n: int) -> int:
@@ -67,14 +73,20 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield ngram_hashes(own[s:e], int(e - s)) if e > s else np.zeros(0, np.uint64)
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def count_vector(own: np.ndarray) -> np.ndarray:
-    """Counts of the groups; a count too large for two bytes lifts the whole bound, which stays valid."""
-    n = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return np.full(GROUPS, NO_LIMIT, np.uint16) if n.max(initial=0) >= NO_LIMIT else n.astype(np.uint16)
+    """Counts of the groups in bytes; a count too large for one lifts the whole bound, which stays valid."""
+    n = np.bincount((own >> np.uint64(57)).astype(np.int64), minlength=GROUPS)
+    return np.full(GROUPS, NO_LIMIT, np.uint8) if n.max(initial=0) >= NO_LIMIT else n.astype(np.uint8)
 
 
-def fine_vector(own: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((own >> np.uint64(55)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes()
+def bounds(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """What sets with such vectors share at most."""
+    most = np.minimum(u, v).sum(-1, dtype=np.int64)
+    return np.where(most == NO_LIMIT * GROUPS, 1 << 40, most)
 
 
 def prefix(own: np.ndarray, ranked: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -105,69 +117,104 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, signature (s1, s2), count vector and first shingles of each row."""
+    """rid (a number of its own), doc_id, n, signature (s1, s2), count vector and first shingles of each row."""
     ranked, rank = frequent(docs)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = list(shingle_sets(part.column("text")))
                 firsts = [prefix(s, ranked, rank) for s in sets]
-                sign = np.array([divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).view(np.int64)
+                sign = signatures(sets)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in firsts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array([count_vector(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(firsts).view(np.int64)))],
                     ["doc_id", "n", "s1", "s2", "vec", "first"],
                 )
 
-    return materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, vec binary, first array<long>"), "jaccard-sets")
-
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, vec binary, first array<long>")
+    return materialise(found.withColumn("rid", F.monotonically_increasing_id()), "jaccard-sets")
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the threshold. Sets are made again from the texts of the nodes that
-    are in pairs, so no table of all sets is needed."""
 
-    def made(content, ids: DataFrame) -> DataFrame:
-        """content (bytes) of the set of each node in ids."""
+ROLE = "kind int, node long, c long, block int, ys array<long>"
+#: Kinds of rows: a member of a component that is a candidate, a set to verify, its candidates.
+MEMBER, QUERY, LIST = 0, 1, 2
 
-        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch):
-                    sets = list(shingle_sets(part.column("text")))
-                    sign = np.array([divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array([content(s) for s in sets], pa.binary())], ["node", "s1", "s2", "own"])
 
-        texts = docs.select(F.col("doc_id").alias("node"), "text").join(ids.select("node"), "node", "left_semi")
-        return texts.mapInArrow(make, "node long, s1 long, s2 long, own binary").join(ids, ["node", "s1", "s2"], "left_semi").groupBy("node").agg(F.first("own").alias("own"))
+@released
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group, members first, then each query's set and its candidates: one link of each query that
+    has any in the group. Holds the members of one group."""
+    group, members, node, own, sure = None, {}, None, None, False
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        """The nodes in pairs with their signatures, broadcast where their number allows it."""
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "s1", "s2"), "node"), "jaccard-wanted")
-        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def with_both(pairs: DataFrame, own: DataFrame) -> DataFrame:
-        return pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int32) for c in ("own_a", "own_b"))
-                same = np.minimum(u, v).sum(1)
-                full = (u == 255).any(1) | (v == 255).any(1)  # a count too large for a byte: nothing is known
-                keep = full | (100 * same >= PERCENT * (u.sum(1) + v.sum(1) - same))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+    def linked(ys: np.ndarray) -> int | None:
+        ys, n = np.unique(ys, return_counts=True)
+        ys = ys[np.argsort(-n, kind="stable")]  # those met in most runs first
+        done, step = 0, 4
+        while done < len(ys):
+            sets = [members[y] for y in ys[done : done + step].tolist()]
+            size = np.array([len(s) for s in sets])
+            flat = np.concatenate(sets)
+            same = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, np.cumsum(size) - size, dtype=np.int64)
+            hit = np.flatnonzero(100 * same >= PERCENT * (len(own) + size - same))
+            if len(hit):
+                return int(ys[done + hit[0]])
+            done, step = done + step, 64
+        return None
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = [], []
+        columns = [batch.column(c).to_pylist() for c in ("c", "block", "salt", "kind", "node")]
+        for k, (*g, kind, x) in enumerate(zip(*columns, strict=True)):
+            if g != group:
+                group, members, node, sure = g, {}, None, False
+            if kind == MEMBER:
+                if x not in members:
+                    members[x] = np.frombuffer(batch.column("own")[k].as_py(), np.uint64)
+            elif kind == QUERY:
+                if x != node:
+                    node, own, sure = x, np.frombuffer(batch.column("own")[k].as_py(), np.uint64), False
+            elif not sure:
+                y = linked(np.asarray(batch.column("ys")[k].values))
+                if y is not None:
+                    a.append(x)
+                    b.append(y)
+                    sure = True
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def verified(roles: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) of query nodes a with members b of the components c that they have candidates in: one at least
+    of each query, component and block that has any. Sets are made again from the texts of the nodes in roles."""
+    lists = roles.where(F.col("kind") == LIST)
+    queries = lists.select("node", "c", "block").distinct()
+    salts = materialise(queries.groupBy("c", "block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts")), "jaccard-salts")
+    salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
+    members = roles.where(F.col("kind") == MEMBER).select("node", "c", "block").distinct().join(salts, ["c", "block"]).select("node", "c", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(MEMBER).alias("kind"))
+    asked = queries.join(salts, ["c", "block"]).select("node", "c", "block", salt, F.lit(QUERY).alias("kind"))
+    wanted = materialise(members.unionByName(asked).join(nodes.select("node", "s1", "s2", "id"), "node"), "jaccard-wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    within = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+
+    @released
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * same >= PERCENT * (len(u) + len(v) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch):
+                sets = list(shingle_sets(part.column("text")))
+                sign = signatures(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(sign[:, 0]), pa.array(sign[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["s1", "s2", "own"])
 
-    near = materialise(with_both(pairs, made(fine_vector, ends(pairs))).mapInArrow(likely, "a long, b long"), "jaccard-near")
-    return materialise(with_both(near, made(lambda s: s.tobytes(), ends(near))).mapInArrow(check, "a long, b long"), "jaccard-links")
+    ids = wanted.select(F.col("id").alias("_id")).distinct()
+    texts = docs.join(within(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = texts.mapInArrow(make, "s1 long, s2 long, own binary").join(within(wanted.drop("id")), ["s1", "s2"])
+    rows = sets.select("c", "block", "salt", "kind", "node", "own", F.lit(None).cast("array<long>").alias("ys"))
+    rows = rows.unionByName(lists.join(salts, ["c", "block"]).select("c", "block", salt, "kind", "node", F.lit(None).cast("binary").alias("own"), "ys"))
+    ordered = rows.repartition("c", "block", "salt").sortWithinPartitions("c", "block", "salt", F.col("kind") > MEMBER, "node", "kind")
+    links = materialise(ordered.mapInArrow(_verify, "a long, b long"), "jaccard-links")
+    discard(salts, wanted)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,9 +227,12 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         new = materialise(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label"), "old"), "labels")
+        discard(labels)
         if not new.where("label <> old").limit(1).count():
+            discard(both)
             return new.select("node", "label")
         labels = new.select("node", "label")
+        labels.written = new.written
 
 
 class RTree:
@@ -196,19 +246,28 @@ class RTree:
             cut = np.arange(0, len(top), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.minimum.reduceat(c_lo, cut), np.maximum.reduceat(c_hi, cut)))
 
-    def search(self, vec: np.ndarray, n: int, comp: int) -> np.ndarray:
-        """Points of other components that may be linked with the given one."""
-        at = None
+    def search(self, vec: np.ndarray, n: np.ndarray, comp: np.ndarray, only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, point) of different components that may be linked, with their bounds, for queries with the
+        given vectors, sizes and components; ``only``: points of this component."""
+        q = at = most = None
         for level in range(len(self.levels) - 1, -1, -1):
             top, lo, hi, c_lo, c_hi = self.levels[level]
-            at = np.arange(len(top)) if at is None else (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            at = at[at < len(top)]
-            at = at[(100 * hi[at] >= PERCENT * n) & (PERCENT * lo[at] <= 100 * n) & ~((c_lo[at] == comp) & (c_hi[at] == comp))]
-            bound = np.minimum(top[at], vec).sum(1)  # of what any point below can share
-            at = at[100 * bound >= PERCENT * (n + np.maximum(lo[at], bound) - bound)]
-        return self.order[at]
-
-
+            if q is None:
+                q, at = np.repeat(np.arange(len(n)), len(top)), np.tile(np.arange(len(top)), len(n))
+            else:
+                q, at = np.repeat(q, FANOUT), (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+                q, at = q[at < len(top)], at[at < len(top)]
+            keep = (100 * hi[at] >= PERCENT * n[q]) & (PERCENT * lo[at] <= 100 * n[q]) & ~((c_lo[at] == comp[q]) & (c_hi[at] == comp[q]))
+            if only is not None:
+                keep &= (c_lo[at] <= only) & (only <= c_hi[at])
+            q, at = q[keep], at[keep]
+            most = bounds(top[at], vec[q])  # of what any point below can share
+            keep = 100 * most >= PERCENT * (n[q] + np.maximum(lo[at], most) - most)
+            q, at, most = q[keep], at[keep], most[keep]
+        return q, self.order[at], most
+
+
+@released
 def _shared_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted (first, node) rows those whose shingle two or more nodes have, with the smallest node as head. Holds
     one row of a run, however long it is."""
@@ -232,71 +291,157 @@ def _shared_posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["first", "node", "head"])
 
 
-def _search_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates across components of each run (shingle and size class) of the sorted rows."""
-    names = ("first", "size", "node", "n", "comp", "home")
-    held: list[dict] = []
+def _search(widely: bool):
+    """Candidates across components of each run (shingle and block) of the sorted rows, as roles: all of them, or
+    (not ``widely``) the likeliest few in the run's largest component of each point outside of it."""
+    names = ("first", "part", "node", "n", "comp", "main", "blocks", "home")
+
+    def pairs(r: dict, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Surviving pairs of rows, and their bounds."""
+        size = np.diff(starts)
+        run = np.repeat(np.arange(len(size)), size)
+        few = np.flatnonzero((size <= FANOUT)[run])  # a run of one leaf: all its rows at once with their neighbours
+        for d in range(1, min(FANOUT, int(size[size <= FANOUT].max(initial=1)))):
+            a = few[:-d] if d < len(few) else few[:0]
+            a = a[run[a] == run[np.minimum(a + d, len(run) - 1)]] if len(a) else a
+            a = a[a + d < len(run)]
+            b = a + d
+            keep = (r["comp"][a] != r["comp"][b]) & (r["home"][a] | r["home"][b]) & (100 * r["n"][a] >= PERCENT * r["n"][b]) & (PERCENT * r["n"][a] <= 100 * r["n"][b])
+            if not widely:
+                keep &= (r["comp"][a] == r["main"][a]) | (r["comp"][b] == r["main"][b])
+            a, b = a[keep], b[keep]
+            most = bounds(r["vec"][a], r["vec"][b])
+            keep = 100 * most >= PERCENT * (r["n"][a] + r["n"][b] - most)
+            if keep.any():
+                yield a[keep], b[keep], most[keep]
+        for k in np.flatnonzero(size > FANOUT):
+            rows = np.arange(starts[k], starts[k + 1])
+            main = int(r["main"][rows[0]])
+            home, ask = rows[r["home"][rows]], rows[r["comp"][rows] != main]
+            if not len(home) or not len(ask):
+                continue
+            tree = RTree(r["vec"][home], r["n"][home], r["comp"][home])
+            step = max(1, HELD_PAIRS // len(home))
+            for s in range(0, len(ask), step):
+                own = ask[s : s + step]
+                q, at, most = tree.search(r["vec"][own], r["n"][own], r["comp"][own], None if widely else main)
+                keep = own[q] != home[at]
+                if keep.any():
+                    yield own[q][keep], home[at][keep], most[keep]
+
+    def roles(r: dict, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a_main, b_main = r["comp"][a] == r["main"][a], r["comp"][b] == r["main"][b]
+        turn = (a_main & ~b_main) | ((a_main == b_main) & (r["comp"][a] < r["comp"][b]))  # the query is outside of the largest one, else in the later one
+        x, y = np.where(turn, b, a), np.where(turn, a, b)
+        if not widely:
+            order = np.lexsort((-most, x))
+            x, y = x[order], y[order]
+            rank = np.arange(len(x)) - np.maximum.accumulate(np.where(np.concatenate([[True], x[1:] != x[:-1]]), np.arange(len(x)), 0))
+            x, y = x[rank < LIKELIEST], y[rank < LIKELIEST]
+        node, c = r["node"], r["comp"][y]
+        block = (mix(node[y].view(np.uint64)) % r["blocks"][y].astype(np.uint64)).astype(np.int32)
+        order = np.lexsort((block, c, node[x]))
+        x, y, c, block = node[x][order], node[y][order], c[order], block[order]
+        cut = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (c[1:] != c[:-1]) | (block[1:] != block[:-1])]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(y)).astype(np.int32)), pa.array(y))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), LIST, np.int32)), pa.array(x[cut]), pa.array(c[cut]), pa.array(block[cut]), lists], ["kind", "node", "c", "block", "ys"])
+        _, once = np.unique(y, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(once), MEMBER, np.int32)), pa.array(y[once]), pa.array(c[once]), pa.array(block[once]), pa.nulls(len(once), pa.list_(pa.int64()))], ["kind", "node", "c", "block", "ys"])
+
+    def found(r: dict, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for some in pairs(r, starts):
+            held.append(some)
+            size += len(some[0])
+            if size >= HELD_PAIRS and widely:  # the likeliest of a point are chosen from all of them
+                yield from roles(r, *map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield from roles(r, *map(np.concatenate, zip(*held, strict=True)))
+
+    @released
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            x["vec"] = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            held = x if held is None else {k: np.concatenate([held[k], v]) for k, v in x.items()}
+            new = (held["first"][1:] != held["first"][:-1]) | (held["part"][1:] != held["part"][:-1])
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            if len(starts) > 1:
+                yield from found(held, starts)
+                held = {k: v[starts[-1] :] for k, v in held.items()}
+        if held is not None:
+            yield from found(held, np.array([0, len(held["first"])]))
+
+    return search
+
+
+def candidates(live: DataFrame, comps: DataFrame, sized: DataFrame, widely: bool) -> DataFrame:
+    """Roles of the candidates in runs of several components (``widely``) or of many."""
+    whole = comps.join(sized.select("node", "n"), "node").groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_SIZE).cast("int").alias("blocks"))
+    labelled = materialise(comps.join(whole, "label").select("node", "label", "blocks"), "jaccard-labels")
+    member = live.select("first", "node").join(labelled, "node", "left").select("first", "node", F.coalesce("label", "node").alias("comp"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    runs = member.groupBy("first", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("first").agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    mixed = runs.where(F.col("comps") >= (2 if widely else CROWD)).select("first", F.ceil(F.col("rows") / RUN_ROWS).cast("int").alias("parts"), "main")
+    points = member.join(mixed, "first").join(sized, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    visits = F.when((F.col("parts") == 1) | (F.col("comp") == F.col("main")), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = points.select("first", "node", "n", "vec", "comp", "main", "blocks", own.alias("own"), F.explode(visits).alias("part"))
+    dealt = dealt.select("first", "part", "node", "n", "comp", "main", "blocks", (F.col("part") == F.col("own")).alias("home"), "vec")
+    roles = materialise(dealt.repartition("first", "part").sortWithinPartitions("first", "part").mapInArrow(_search(widely), ROLE), "jaccard-roles")
+    discard(labelled)
+    return roles
+
+
+def heads(live: DataFrame, sized: DataFrame) -> DataFrame:
+    """Roles that give each node the one with which it shares most among the first nodes of its runs."""
+    shared = live.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
+    own = sized.select("node", "n")
+    fitting = shared.join(own, "node").join(own.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head").where((100 * F.col("head_n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("head_n")) & (CLEAR * F.col("c") >= F.col("n")))
+    best = fitting.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("head"))).alias("b")).select("node", (-F.col("b.head")).alias("head"))
+    both = best.join(sized.select("node", "n", "vec"), "node").join(sized.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("vec").alias("head_vec")), "head")
 
-    def flush(runs: list[dict]) -> pa.RecordBatch | None:
-        r = {c: np.concatenate([x[c] for x in runs]) for c in (*names[2:], "vec")}
-        if r["comp"].min() == r["comp"].max() or not r["home"].any():
-            return None
-        home = np.flatnonzero(r["home"])
-        tree = RTree(r["vec"][home], r["n"][home], r["comp"][home])
-        a, b = [], []
-        for i in range(len(r["n"])):
-            for j in home[tree.search(r["vec"][i], int(r["n"][i]), int(r["comp"][i]))]:
-                if not r["home"][i] or r["node"][i] < r["node"][j]:
-                    a.append(min(r["node"][i], r["node"][j]))
-                    b.append(max(r["node"][i], r["node"][j]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS) for c in ("vec", "head_vec"))
+                most = bounds(u, v)
+                keep = 100 * most >= PERCENT * (batch.column("n").to_numpy() + batch.column("head_n").to_numpy() - most)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("head")], ["node", "head"]).filter(pa.array(keep))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        x["vec"] = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
-        cut = np.flatnonzero((x["first"][1:] != x["first"][:-1]) | (x["size"][1:] != x["size"][:-1])) + 1
-        for s, e in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-            if held and (held[0]["first"][0] != x["first"][s] or held[0]["size"][0] != x["size"][s]):
-                if out := flush(held):
-                    yield out
-                held = []
-            held.append({k: v[s:e] for k, v in x.items()})
-    if held and (out := flush(held)):
-        yield out
+    pairs = materialise(both.mapInArrow(likely, "node long, head long"), "jaccard-heads")
+    role = lambda kind, node, ys: pairs.select(F.lit(kind).alias("kind"), F.col(node).alias("node"), F.col("head").alias("c"), F.lit(0).alias("block"), ys.cast("array<long>").alias("ys"))
+    return role(LIST, "node", F.array("head")).unionByName(role(MEMBER, "head", F.lit(None)).distinct())
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table = describe(docs)
-    # equal sets are one node, named by the smallest doc_id; sets of nameless rows get a number below all ids
-    nodes = materialise(table.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id")).withColumn("node", F.coalesce("id", F.lit(int(I64.min)) + F.abs(F.col("s1") % (1 << 40)))), "jaccard-nodes")
-    named = table.where("n > 0").withColumn("node", F.coalesce("doc_id", F.lit(int(I64.min)) + F.abs(F.col("s1") % (1 << 40))))
-    rep = named.join(nodes.select("node", "s1", "s2"), ["node", "s1", "s2"], "left_semi").select("node", "n", "vec", "first")
+    # equal sets are one node, numbered by the first of their rows
+    nodes = materialise(table.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("id")), "jaccard-nodes")
+    rep = table.select(F.col("rid").alias("node"), "n", "vec", "first").join(nodes.select("node"), "node", "left_semi")
+    sized = materialise(rep.select("node", "n", "vec"), "jaccard-points")
     posts = rep.select(F.explode("first").alias("first"), "node")
     live = materialise(posts.repartition("first").sortWithinPartitions("first", "node").mapInArrow(_shared_posts, "first long, node long, head long"), "jaccard-posts")
-    # 1. each set against the head with which it shares most
-    shared = live.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("c"))
-    sized = nodes.select("node", "n")
-    fitting = shared.join(sized, "node").join(sized.select(F.col("node").alias("head"), F.col("n").alias("head_n")), "head").where((100 * F.col("head_n") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("head_n")) & (CLEAR * F.col("c") >= F.col("n")))
-    best = materialise(fitting.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("head"))).alias("b")).select(F.col("node").alias("a"), (-F.col("b.head")).alias("b")), "jaccard-heads")
-    named_docs = docs.where("doc_id IS NOT NULL")
-    first_links = verified(best, named_docs, nodes)
-    first_comps = components(first_links)
-    # 2. across components
-    member = live.select("first", "node").join(first_comps, "node", "left").select("first", "node", F.coalesce("label", "node").alias("comp"))
-    mixed = member.groupBy("first").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("first")
-    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS_RATIO))).cast("int")
-    points = member.join(mixed, "first").join(rep.select("node", "n", "vec"), "node")
-    dealt = points.select("first", "node", "n", "vec", "comp", size.alias("own")).select("*", F.explode(F.array(F.struct(F.col("own").alias("size"), F.lit(True).alias("home")), F.struct((F.col("own") + 1).alias("size"), F.lit(False).alias("home")))).alias("x")).select("first", "x.size", "node", "n", "comp", "x.home", "vec")
-    found = dealt.repartition("first", "size").sortWithinPartitions("first", "size").mapInArrow(_search_runs, "a long, b long").distinct()
-    second_links = verified(materialise(found, "jaccard-candidates"), named_docs, nodes)
-    links = first_comps.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(second_links)
-    comps = components(links)
-    labelled = nodes.join(comps, "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("component_id"))
-    return table.select("doc_id", "n", "s1", "s2").join(labelled, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    comps, more = components(verified(heads(live, sized), docs, nodes)), True
+    for widely in [False] * REPEATS + [True]:
+        if widely or more:
+            roles = candidates(live, comps, sized, widely)
+            links = verified(roles, docs, nodes)
+            more = not links.isEmpty()
+            if more:
+                comps = components(comps.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b").unionByName(links))
+            discard(roles, links)
+    discard(live, sized)
+    labelled = nodes.join(comps, "node", "left").select("n", "s1", "s2", "id", F.coalesce("label", "node").alias("label"))
+    named = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    final = materialise(labelled.join(named, "label").select("n", "s1", "s2", "component_id"), "jaccard-components")
+    return table.select("doc_id", "n", "s1", "s2").join(final, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

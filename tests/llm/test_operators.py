@@ -109,42 +109,88 @@ def test_runs_that_cross_partitions(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_jaccard(docs, none):
-    sets = {}
-    for i, t, *_ in DOCS:
-        w = re.findall(SPACE, (t or "").lower())
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    root = {i: i for i in sets}
+def jaccard(rows):
+    """(doc_id, size, smallest doc_id that is reached) of each row by comparing all sets."""
+    words = [re.findall(SPACE, re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    got = as_set(jaccard_join.similarity_components(docs).collect(), ["doc_id", "n_shingles", "component_id"])
-    assert got == {(i, len(s), find(i)) for i, s in sets.items()} and len({c for *_, c in got}) < len(sets) - 6
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            groups[find(k)].append(i)
+    return Counter((i, len(s), min(groups[find(k)], default=None) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets)))
+
+
+def components_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(df).collect())
+
+
+def test_jaccard(spark, docs, none):
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(docs).collect())
+    assert got == jaccard([d[:2] for d in DOCS]) and len({c for *_, c in got}) < len(DOCS) - 6
     assert jaccard_join.similarity_components(none).collect() == []
 
 
+def test_jaccard_of_nameless_and_repeated_rows(spark):
+    a, b, c = BASE[0], BASE[0] + " " + sentence(3), BASE[1]
+    rows = [(None, a), (1, b), (7, c), (7, sentence(40)), (4, c + " end"), (None, sentence(30)), (None, sentence(30) + " x"), (9, a), (9, a), (None, None), (3, "É é é é é"), (2, "é é é é é")]
+    got = components_of(spark, rows)
+    assert got == jaccard(rows) and got[None, 36, 1] == 1 and got[7, 36, 4] == 1
+
+
+def test_jaccard_of_a_group_in_which_many_are_not_linked(spark, monkeypatch):
+    base = sentence(90).split()
+
+    def edited(n):
+        w = list(base)
+        for k in RNG.sample(range(90), n):
+            w[k] = RNG.choice(WORDS)
+        return " ".join(w)
+
+    rows = [(k, edited(RNG.choice([0, 1, 1, 2, 2, 3, 4, 9]))) for k in range(150)] + [(200 + k, sentence(60)) for k in range(30)]
+    want = jaccard(rows)
+    assert 3 < len({c for *_, c in want if c < 200}) < 150
+    assert components_of(spark, rows) == want
+    for name, value in (("RUN_ROWS", 16), ("BLOCK_SIZE", 500), ("QUERIES", 3), ("HELD_PAIRS", 40), ("FANOUT", 4), ("CROWD", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert components_of(spark, rows) == want  # in many blocks
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "REPEATS", 0)
+    assert components_of(spark, rows) == want
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(1)
     base = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(40)]
     sets = [np.unique(np.concatenate([b[k:], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for b in base for k in (0, 5, 20, 60)]
-    vec, n = np.stack([jaccard_join.count_vector(s) for s in sets]).astype(np.int32), np.array([len(s) for s in sets])
+    vec, n = np.stack([jaccard_join.count_vector(s) for s in sets]), np.array([len(s) for s in sets])
     tree, found = jaccard_join.RTree(vec, n, np.arange(len(sets))), 0
+    assert len(tree.levels) > 1
+    near = set(zip(*(x.tolist() for x in tree.search(vec, n, np.arange(len(sets)))[:2])))
     for i, s in enumerate(sets):
-        near = set(tree.search(vec[i], int(n[i]), i).tolist())
         for j, o in enumerate(sets):
             same = len(np.intersect1d(s, o))
             if i != j and 100 * same >= 75 * (len(s) + len(o) - same):
-                assert j in near
+                assert (i, j) in near
                 found += 1
-    assert found > 100
+    assert 100 < found <= len(near) < len(sets) ** 2 / 4
+
+
+def test_bounds_of_very_large_sets():
+    big = jaccard_join.count_vector(np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
+    small = jaccard_join.count_vector(np.arange(64, dtype=np.uint64) << np.uint64(58))
+    assert jaccard_join.bounds(big, big) > 1 << 20 and jaccard_join.bounds(big, small) == 64
 
 
 def test_decontamination(spark, docs, none):
@@ -270,22 +316,76 @@ def test_language_model_counts_words_found_once(spark):
     assert all(sum(p(a, w) for w in words) == pytest.approx(1) for a in ("<s>", "gamma", "unheard"))
 
 
+def viterbi(pieces, text):
+    """Ids of normalised text by the best of all segmentations, whole text at once; of equal ones, that with the longer piece."""
+    score = {i: s for i, s in pieces.table.values() if i >= 0}
+    named = {p: i for p, (i, _) in pieces.table.items() if i >= 0}
+    best = [(0, [])]
+    for end in range(1, len(text) + 1):
+        options = []
+        for size in range(min(16, end), 0, -1):  # a longer piece goes before a shorter one of the same score
+            i = named.get(text[end - size : end])
+            if i is not None:
+                options.append((best[end - size][0] + score[i], (end - size, [i])))
+        if text[end - 1] not in named:
+            raw = text[end - 1].encode()
+            options.append((best[end - 1][0] + pieces.byte_score * len(raw), (end - 1, [pieces.byte_id[b] for b in raw])))
+        top = max(o[0] for o in options)
+        best.append(next(o for o in options if o[0] == top))
+    out, at = [], len(text)
+    while at:
+        at, ids = best[at][1]
+        out = ids + out
+    return out
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(viterbi_pieces.MODEL, "rb") as f:
+        return viterbi_pieces.Pieces(f.read())
+
+
+def test_piece_scores_follow_the_ranks(pieces):
+    normal = sorted((i, s) for i, s in pieces.table.values() if i >= 0)
+    total = sum(1 / (k + 2.7) for k in range(1, len(normal) + 1))
+    assert pieces.longest == 16 and all(s == round(-(1 << 20) * math.log((k + 2.7) * total)) for k, (_, s) in enumerate(normal, 1))
+    assert pieces.byte_score == round((1 << 20) * (-math.log((len(normal) + 2.7) * total) - 10))
+
+
 def test_pieces(docs, none):
     got = viterbi_pieces.encode_documents(docs).collect()
     assert len(got) == len(DOCS) and all(r["round_trip"] for r in got)
     assert {r["n_ids"] for r in got if r["doc_id"] == 1} == {0} and [r["ids"] for r in got if r["doc_id"] == 0] == [None]
+    assert all(r["n_ids"] == len(r["ids"]) for r in got if r["ids"] is not None)
     assert viterbi_pieces.encode_documents(none).collect() == []
-    with open(viterbi_pieces.MODEL, "rb") as f:
-        p = viterbi_pieces.Pieces(f.read())
 
-    def whole(text):
-        best, back = [0.0] + [-math.inf] * len(text), [None] * (len(text) + 1)
-        for i in range(len(text)):
-            p._push(text, i, best, back)
-        return p._path(text, len(text), back)
 
+def test_pieces_of_a_stream_equal_those_of_the_whole_text(pieces):
+    meta = viterbi_pieces.META
     for _ in range(300):
         t = "".join(RNG.choice("abcdetion  é漢😀\n.,the") for _ in range(RNG.choice([3, 20, 300])))
+        normal = meta + t.replace(" ", meta)
+        want = viterbi(pieces, normal)
+        assert pieces.encode(t) == want == [i for _, part in pieces.commits([normal[:7], normal[7:]]) for i in part]
+        assert pieces.decode(want) == t
+    for t in ("a▁b ▁", "▁", "▁▁x", " ", "  two  spaces  "):
+        assert pieces.decode(pieces.encode(t)) == t
+
+
+def test_streams_of_real_texts_commit_in_a_bounded_window(pieces):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts = [t for t in texts if t][:60] + ["A" * 3000, "ab" * 2000]
+    for t in texts:
         normal = viterbi_pieces.META + t.replace(" ", viterbi_pieces.META)
-        assert list(p.encode(t)) == whole(normal) == [i for part in p.encode_stream([normal[:7], normal[7:]]) for i in part]
-    assert p.decode(p.encode("a▁b ▁")) == "a▁b ▁"
+        parts = list(pieces.commits(normal[k : k + 50] for k in range(0, len(normal), 50)))
+        assert sum(n for n, _ in parts) == len(normal) and (len(set(t)) < 3 or max(n for n, _ in parts) <= 2 * pieces.longest)
+        assert (len(set(t)) < 3 or len(parts) >= len(normal) // 16) and [i for _, p in parts for i in p] == pieces.encode(t) == viterbi(pieces, normal)
+
+
+def test_kept_stretches_are_bounded(pieces, monkeypatch):
+    monkeypatch.setattr(viterbi_pieces, "KEPT_BYTES", 50)
+    t = " ".join(WORDS[:100])
+    want = viterbi(pieces, viterbi_pieces.META + t.replace(" ", viterbi_pieces.META))
+    assert pieces.encode(t) == want and pieces.kept_bytes <= 60
