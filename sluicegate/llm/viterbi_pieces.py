@@ -2,12 +2,17 @@
 
 The vocabulary file gives the pieces (never trained here). It holds ranks, so a piece's log-probability is taken as
 Zipf-Mandelbrot in its rank; characters without a piece fall back to byte pieces. The encoder pushes scores forward
-and keeps what lies between the last commit and the longest piece ahead; as soon as the backpointer paths of all
-live ends meet in one boundary, it commits the ids before it and forgets them. Ties keep the longer piece.
+over a window that begins at the last commit and ends one longest piece ahead. As soon as the backpointer paths of all
+live ends meet in one boundary it commits the ids before it and forgets them. That is seen at once where no piece that
+began earlier reaches beyond a place, and else by walking the paths back when the window has grown to twice the longest
+piece (and, where they don't meet, as in a long run of one character, whenever it has doubled). Ties keep the longer
+piece.
 
 Spaces become the meta symbol and one is put in front of the text; a meta symbol in the text itself goes through
-byte pieces, so decoding gives every text back exactly. As no piece holds a meta symbol after another character
-(this is checked), all paths meet at the starts of words, and encoded words are kept in a bounded table.
+byte pieces, so decoding gives every text back exactly. No piece holds a meta symbol after another character (this is
+checked), so every stream commits in front of each word, whatever follows. What is committed between two such places
+depends on the characters there alone, so a slice's distinct ones are streamed once each and replayed from a bounded
+table, and ids are put together and decoded for whole slices in arrays.
 
 Cases: a null text has null ids, an empty one none; lone rows, repeated rows and ties need nothing special; an empty
 table gives no rows. Only doc_id and text are read.
@@ -16,20 +21,22 @@ table gives no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 import math
-import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicegate.llm.common import documents, slices
+from sluicegate.llm.common import documents, ragged, released, slices, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
-#: Zipf-Mandelbrot's shift, what a byte piece costs below the rarest piece, words kept, characters of a kept word.
-SHIFT, BYTE_COST, KEPT_WORDS, KEPT_CHARS = 2.7, 10.0, 400_000, 64
+#: Zipf-Mandelbrot's shift, and what a byte piece costs below the rarest piece.
+SHIFT, BYTE_COST = 2.7, 10.0
+#: Bytes of the stretches whose ids are kept for replay (with about twenty times as much for the ids and the table).
+KEPT_BYTES = 1 << 20
 MISSING = (-2, 0)
 #: Scores are whole multiples of one over this, so sums are exact and ties are the same wherever a text is cut.
 SCALE = 1 << 20
@@ -43,15 +50,15 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
-        self.byte_id, self.text_of, normal = {}, [""] * n, []
+        self.byte_id, self.bytes_of, normal = {}, [b""] * n, []
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
+                self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 normal.append((i, piece))
-                self.text_of[i] = piece
-        self.byte_of = {i: b for b, i in self.byte_id.items()}
+                self.bytes_of[i] = piece.replace(META, " ").encode()
         total = sum(1 / (k + SHIFT) for k in range(1, len(normal) + 1))
         self.table: dict[str, tuple[int, int]] = {}
         for k, (i, piece) in enumerate(normal, 1):
@@ -61,153 +68,150 @@ class Pieces:
         self.byte_score = round(SCALE * (-math.log((len(normal) + SHIFT) * total) - BYTE_COST))
         self.longest = max((len(p) for _, p in normal), default=1)
         self.splits = not any(a != META and b == META for _, p in normal for a, b in zip(p, p[1:]))
-        self.kept: dict[str, array] = {}
-        self.cuts = re.compile(f"{META}*[^{META}]+|{META}+")
-
-    def _fallback(self, c: str) -> list[int]:
-        return [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")]
-
-    def encode_stream(self, chunks: Iterator[str]) -> Iterator[list[int]]:
-        """Ids of normalised text that comes in chunks, committed as soon as all live paths share a boundary."""
-        text, pos, best, back, done = "", 0, [0], [None], False
-        chunks = iter(chunks)
-        while not done or pos < len(text):
-            if not done and pos + self.longest > len(text):
-                try:
-                    text += next(chunks)
-                except StopIteration:
-                    done = True
-                best += [-math.inf] * (len(text) + 1 - len(best))
-                back += [None] * (len(text) + 1 - len(back))
+        self.spelled = pa.array(self.bytes_of, pa.binary())
+        self.kept: dict[tuple[bool, bytes], array] = {}
+        self.kept_bytes = 0
+
+    def commits(self, chunks: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
+        """Streams normalised text that comes in chunks; gives (characters, ids) at each commit."""
+        chunks, get, longest, inf = iter(chunks), self.table.get, self.longest, -math.inf
+        text, pos, reach, done, patience = "", 0, 0, False, 2 * longest
+        best, size, piece = [0], [0], [-1]  # of the best path to each boundary: score, and its last piece
+        while True:
+            if not done and pos + longest > len(text):
+                more = next(chunks, None)
+                done = more is None
+                text += more or ""
+                fresh = len(text) + 1 - len(best)
+                best += [inf] * fresh
+                size += [0] * fresh
+                piece += [-1] * fresh
                 continue
-            self._push(text, pos, best, back)
-            pos += 1
-            if pos >= 2 * self.longest:
-                at = self._meeting(pos, best, back)
+            if pos:
+                at = pos if reach == pos else 0
+                if not at and pos >= patience:
+                    at = self._meeting(pos, reach, best, size)
+                    patience = 2 * longest if at else 2 * pos
                 if at:
-                    yield self._path(text, at, back)
-                    text, pos, best, back = text[at:], pos - at, best[at:], back[at:]
-        yield self._path(text, len(text), back)
-
-    def _push(self, text: str, pos: int, best: list, back: list) -> None:
-        """Extends the best path that ends at pos by every piece that begins there."""
-        score, get = best[pos], self.table.get
-        if score == -math.inf:
-            return
-        single = True
-        for end in range(pos + 1, min(pos + self.longest, len(text)) + 1):
-            i, s = get(text[pos:end], MISSING)
-            if i == -2:
-                break
-            if i >= 0:
-                if end == pos + 1:
-                    single = False
-                if score + s > best[end]:
-                    best[end], back[end] = score + s, (end - pos, i)
-        if single:
-            s = self.byte_score * len(text[pos].encode("utf-8", "surrogatepass"))
-            if score + s > best[pos + 1]:
-                best[pos + 1], back[pos + 1] = score + s, (1, -1)
-
-    def _meeting(self, pos: int, best: list, back: list) -> int:
+                    yield at, self._path(text, at, size, piece)
+                    text, pos, reach = text[at:], pos - at, reach - at
+                    best, size, piece = best[at:], size[at:], piece[at:]
+            if pos == len(text):
+                if done:
+                    return
+                continue
+            score = best[pos]
+            if score != inf:
+                end, entry, single = pos + 1, get(text[pos]), True
+                while entry is not None:
+                    i, s = entry
+                    if i >= 0:
+                        single &= end > pos + 1
+                        if score + s > best[end]:
+                            best[end], size[end], piece[end] = score + s, end - pos, i
+                        if end > reach:
+                            reach = end
+                    end += 1
+                    if end > len(text):
+                        break
+                    entry = get(text[pos:end])
+                if single:
+                    s = score + self.byte_score * len(text[pos].encode("utf-8", "surrogatepass"))
+                    if s > best[pos + 1]:
+                        best[pos + 1], size[pos + 1], piece[pos + 1] = s, 1, -1
+                    reach = max(reach, pos + 1)
+            pos += 1
+
+    def _meeting(self, pos: int, reach: int, best: list, size: list) -> int:
         """The last boundary that the paths of all live ends share (0: none but the start)."""
-        live = [e for e in range(pos, min(pos + self.longest, len(best))) if best[e] > -math.inf]
-        common = max(live)
-        while True:  # walk the latest end back until all are equal
-            low = min(live)
-            if all(e == low for e in live):
-                common = low
-                break
-            live = [e if e == low else e - back[e][0] for e in live]
-        return common if common <= pos else 0
-
-    def _path(self, text: str, end: int, back: list) -> list[int]:
-        out = []
+        live = {e for e in range(pos, reach + 1) if best[e] > -math.inf}
+        while len(live) > 1:  # the latest end steps back until all are one
+            last = max(live)
+            live.remove(last)
+            live.add(last - size[last])
+        return live.pop()
+
+    def _path(self, text: str, end: int, size: list, piece: list) -> list[int]:
+        out: list[int] = []
         while end > 0:
-            size, i = back[end]
-            end -= size
-            out.append(self._fallback(text[end]) if i < 0 else (i,))
-        return [x for part in reversed(out) for x in part]
-
-    def _short(self, word: str) -> array:
-        """encode_stream for a word that fits the window: one push for each place, one commit at the end."""
-        n, get = len(word), self.table.get
-        best, size, piece = [-math.inf] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
-        best[0] = 0
-        for pos in range(n):
-            score, end = best[pos], pos + 1
-            if score == -math.inf:
-                continue
-            entry = get(word[pos:end])
-            if entry is None or entry[0] < 0:
-                s = score + self.byte_score * len(word[pos].encode("utf-8", "surrogatepass"))
-                if s > best[end]:
-                    best[end], size[end], piece[end] = s, 1, -1
-            while entry is not None:
-                i, s = entry
-                if i >= 0:
-                    s += score
-                    if s > best[end]:
-                        best[end], size[end], piece[end] = s, end - pos, i
-                end += 1
-                if end > n:
-                    break
-                entry = get(word[pos:end])
-        out = []
-        while n > 0:
-            i = piece[n]
-            n -= size[n]
-            if i < 0:
-                out.extend(reversed(self._fallback(word[n])))
-            else:
-                out.append(i)
-        return array("i", reversed(out))
+            i = piece[end]
+            end -= size[end]
+            out.extend((i,) if i >= 0 else [self.byte_id[b] for b in reversed(text[end].encode("utf-8", "surrogatepass"))])
+        out.reverse()
+        return out
 
-    def encode_word(self, word: str) -> array:
-        ids = self.kept.get(word)
+    def _stretch(self, key: bytes, first: bool) -> array:
+        """Ids of what lies between two places where every stream commits; ``first``: at the start of a text."""
+        ids = self.kept.get((first, key))
         if ids is None:
-            if len(word) > KEPT_CHARS:
-                return array("i", (x for part in self.encode_stream(word[k : k + 4096] for k in range(0, len(word), 4096)) for x in part))
-            if len(self.kept) >= KEPT_WORDS:
+            if key == META.encode():
+                ids = array("i", [self.byte_id[b] for b in key])
+            else:
+                text = key.decode("utf-8", "surrogatepass").replace(" ", META)
+                ids = array("i", [i for _, part in self.commits([META + text if first else text]) for i in part])
+            if self.kept_bytes > KEPT_BYTES:
                 self.kept.clear()
-            ids = self.kept[word] = self._short(word)
+                self.kept_bytes = 0
+            self.kept[first, key] = ids
+            self.kept_bytes += len(key)
         return ids
 
-    def encode(self, text: str) -> array:
-        """Ids of a whole text."""
-        if not text:
-            return array("i")
-        if META in text:  # these go through their bytes
-            out = array("i")
-            for k, part in enumerate(text.split(META)):
-                if k:
-                    out.extend(self.byte_id[b] for b in META.encode())
-                if part or not k:
-                    out.extend(self._normal((META if not k else "") + part.replace(" ", META)))
-            return out
-        return self._normal(META + text.replace(" ", META))
-
-    def _normal(self, text: str) -> array:
-        out, get = array("i"), self.kept.get
-        for word in self.cuts.findall(text) if self.splits else [text]:
-            out += get(word) or self.encode_word(word)
-        return out
-
-    def decode(self, ids: array) -> str:
-        """The text of ids; runs of byte pieces are UTF-8."""
-        text_of, byte_of = self.text_of, self.byte_of
-        if byte_of.keys().isdisjoint(ids):
-            return "".join([text_of[i] for i in ids])[1:].replace(META, " ")
-        out, run = [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                run.append(byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "surrogatepass"))
-                run = bytearray()
-            out.append(text_of[i].replace(META, " "))
-        return "".join([*out, run.decode("utf-8", "surrogatepass")])[1:]
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in order, and where each text's ids begin (one entry more than texts)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+        filled = np.diff(at) > 0
+        cut = np.zeros(len(data) + 1, bool)
+        cut[at[:-1][filled]] = True
+        first = cut.copy()
+        meta = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)) if len(data) > 2 else np.zeros(0, np.int64)
+        first[meta] = False  # a meta symbol stands alone; the space in front of the text is put before it
+        if self.splits:
+            space = data == 0x20
+            cut[1:-1] |= space[1:] & ~space[:-1]
+        cut[meta] = cut[meta + 3] = True
+        starts = np.flatnonzero(cut[:-1])
+        runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        code = runs.indices.to_numpy().astype(np.int64) * 2 + first[starts]
+        present, code = np.unique(code, return_inverse=True)
+        keys = runs.dictionary.take(pa.array(present // 2)).to_pylist()
+        own = [self._stretch(k, bool(c & 1)) for k, c in zip(keys, present.tolist(), strict=True)]
+        size = np.array([len(x) for x in own], np.int64)
+        flat = np.frombuffer(b"".join(own), np.int32) if size.any() else np.zeros(0, np.int32)
+        ids = flat[ragged((np.cumsum(size) - size)[code], size[code])]
+        ends = np.concatenate([[0], np.cumsum(size[code])])
+        offsets = ends[np.searchsorted(starts, at)]
+        alone = np.intersect1d(meta, at[:-1][filled])  # texts that begin with a meta symbol: their space is a stretch of its own
+        if len(alone):
+            space = self._stretch(b"", True)
+            texts_at = np.flatnonzero(filled & np.isin(at[:-1], alone))
+            ids = np.insert(ids, np.repeat(offsets[texts_at], len(space)), np.tile(np.array(space, np.int32), len(texts_at)))
+            offsets = offsets + len(space) * np.concatenate([[0], np.cumsum(np.isin(np.arange(len(texts)), texts_at))])
+        return ids, offsets
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of ids (as UTF-8), without the space in front."""
+        if not len(ids):
+            return pa.array([b""] * (len(offsets) - 1), pa.binary())
+        spelled = self.spelled.take(pa.array(ids)).cast(pa.large_binary())
+        data = np.frombuffer(spelled.buffers()[2], np.uint8)
+        ends = np.frombuffer(spelled.buffers()[1], np.int64)[offsets]
+        filled, rest = np.diff(ends) > 0, np.ones(len(data), bool)
+        rest[ends[:-1][filled]] = False
+        at = ends - np.concatenate([[0], np.cumsum(filled)])
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[rest])])
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of one text."""
+        return self.encode_all(pa.array([text.encode("utf-8", "surrogatepass")], pa.binary()))[0].tolist()
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids."""
+        return b"".join([self.bytes_of[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -215,21 +219,19 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     with open(model_path, "rb") as f:
         model = f.read()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
                 pieces = pieces or Pieces(model)
-                texts = part.column("text").to_pylist()
-                ids = [None if t is None else pieces.encode(t) for t in texts]
-                same = [t is None or pieces.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-                size = np.array([len(x or ()) for x in ids], np.int32)
-                flat = array("i")
-                for x in ids:
-                    flat += x or array("i")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)), mask=pa.array([x is None for x in ids]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(size.astype(np.int64)), pa.array(same)], ["doc_id", "ids", "n_ids", "round_trip"])
+                texts = part.column("text")
+                ids, offsets = pieces.encode_all(texts)
+                same = pc.fill_null(pc.equal(pieces.decode_all(ids, offsets), texts.cast(pa.binary())), True)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=texts.is_null())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(np.diff(offsets)), same], ["doc_id", "ids", "n_ids", "round_trip"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 
