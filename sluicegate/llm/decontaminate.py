@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sluicegate.llm.common import documents, ngram_hashes, slices, words
+from sluicegate.llm.common import documents, ngram_hashes, released, slices, small_batches, words
 
 PASS_ITEMS, BLOCK_ITEMS, CHUNK = 2000, 16, 64
 K1, B = 1.2, 0.75
@@ -153,6 +153,7 @@ def find_leaks(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, fl
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the best figures of each leak."""
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
     passes = max(1, -(-items.count() // PASS_ITEMS))
     part = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]  # noqa: E731, about PASS_ITEMS
@@ -160,9 +161,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(passes):
         index = ItemIndex(part(k), figures)
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=1 << 20):
                     rows = list(find_leaks(index, part.column("text")))
                     if rows:
                         ids = part.column("doc_id").to_pylist()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import documents, materialise, row_key
+from sluicegate.llm.common import documents, materialise, released, row_key, small_batches
 
 SPACE = " \t\n\x0b\f\r"
 DROP, OPEN, EDGE = 0, 1, 2
@@ -152,6 +152,9 @@ def keep_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     joined = docs.select(*own, *row_key("doc_id", "text")).join(bitmaps.where("n_dropped > 0").select("_k1", "_k2", F.col("keep_bitmap").alias("_bitmap")), ["_k1", "_k2"], "left").drop("_k1", "_k2")
     schema = joined.drop("_bitmap").withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
 
+    small_batches(docs.sparkSession)
+
+    @released
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lines_n, dropped = [], [], []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import crc_mod, documents, materialise, mix, open_fs, shared_dir, slices
+from sluicegate.llm.common import crc_mod, documents, materialise, mix, open_fs, released, shared_dir, slices, small_batches
 from sluicegate.llm.kn_lm import Arrays, discounts, of_counts, token_hashes, write_arrays
 
 MAX_TOXIC, MAX_ORDINARY = 4000, 8000
@@ -160,7 +160,9 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
     if not m["fitted"]:
         return docs.withColumn("toxic_score", F.lit(0.0))
     weights = np.array(m["w"])
+    small_batches(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = None
         for batch in batches:
