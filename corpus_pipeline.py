@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 from sluicegate.llm import decontaminate, jaccard_join, line_dedup, toxicity, viterbi_pieces
 from sluicegate.llm.common import materialise
 
-#: SQL has no form of the models and of the encoding; tests hold each stage against brute force.
+#: SQL has no form of the models and of the encoding; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and all else in one struct, so that no operator's own column meets one of the same name."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_none")).alias("_rest"))
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    return docs.select("doc_id", "text", F.struct(*rest).alias("_rest"))
 
 
 def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
-    return packed.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+    return packed.select(*[F.col("text") if c == "text" else F.col("_rest").getField(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +41,24 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.similarity_components(docs)
-    others = materialise(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "pipeline-copies")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group stays: of its smallest doc_id the row with the smallest text hash. Rows without words
+    are in no group, and of a group in which no row has a doc_id the one with the smallest text hash stays."""
+    keyed = materialise(_packed(docs).withColumn("_own", F.monotonically_increasing_id()), "pipeline-rows")
+    # each row is a document of its own here, so rows that share a doc_id or have none can be told apart
+    found = jaccard_join.similarity_components(keyed.select(F.col("_own").alias("doc_id"), "text")).where("n_shingles > 0").withColumnsRenamed({"doc_id": "_own", "component_id": "_group"}).select("_own", "_group")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_own")
+    grouped = materialise(found.join(keyed.select("_own", rank.alias("_rank")), "_own"), "pipeline-groups")
+    first = grouped.groupBy("_group").agg(F.min("_rank").alias("_rank")).select(F.col("_rank._own").alias("_own"))
+    copies = materialise(grouped.select("_own").join(first, "_own", "left_anti"), "pipeline-copies")
+    return _unpacked(keyed.join(copies, "_own", "left_anti"), docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that share a doc_id go together, rows without one as if they were one document."""
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(materialise(found.select("doc_id").distinct(), "pipeline-leaks"), "doc_id", "left_anti").select(docs.columns)
+    leaked = materialise(found.select(F.col("doc_id").alias("_leaked")).distinct(), "pipeline-leaks")
+    packed = _packed(docs)
+    return _unpacked(packed.join(leaked, F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
