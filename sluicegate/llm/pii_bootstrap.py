@@ -60,7 +60,7 @@ def luhn(digits: Column) -> Column:
 
 
 def _words(piece: Column) -> Column:
-    return F.btrim(F.lower(F.translate(piece, SPACE + PUNCTUATION, " " * (len(SPACE) + len(PUNCTUATION)))))
+    return F.btrim(F.regexp_replace(F.lower(F.translate(piece, SPACE + PUNCTUATION, " " * (len(SPACE) + len(PUNCTUATION)))), " {2,}+", " "))
 
 
 def located(text: Column, pattern: str, kind: int) -> Column:
@@ -70,11 +70,11 @@ def located(text: Column, pattern: str, kind: int) -> Column:
         start = acc["at"] + F.length(F.get(z["gaps"], i))
         found = F.get(z["found"], i)
         end = start + F.length(found)
-        before, after = _words(F.right(F.get(z["gaps"], i), F.lit(64))), _words(F.left(F.get(z["gaps"], i + 1), F.lit(64)))
+        before, after = F.get(z["words"], i), F.get(z["words"], i + 1)
         row = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), found.alias("text"), F.substring_index(before, " ", -2).alias("before"), F.substring_index(before, " ", -1).alias("left"), F.substring_index(after, " ", 1).alias("right"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    both = let(F.split(text, pattern, -1), lambda gaps: F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), gaps.alias("gaps"), F.transform(gaps, _words).alias("words")))
     init = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     return let(both, lambda z: F.when(F.size(z["found"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(z["found"]) - 1), init, lambda acc, i: step(z, acc, i))["out"]).otherwise(F.array().cast(SPAN)))
 
@@ -147,6 +147,10 @@ def discover(table: DataFrame) -> DataFrame:
     return reached.groupBy("_k1", "_k2", "start", "end").agg(F.min("of").alias("kind"))
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def _named(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
@@ -160,7 +164,7 @@ def extract(docs: DataFrame) -> DataFrame:
     found = discover(table.where((F.size("spans") > 0) | (F.size("tokens") > 0))).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     joined = table.select("doc_id", "_k1", "_k2", F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("own")).join(found, ["_k1", "_k2"], "left")
     everything = F.array_sort(F.concat("own", F.coalesce("more", F.filter("own", lambda s: F.lit(False)))))
-    counts = [F.size(F.filter("own", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count(F.col("own"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return joined.select("doc_id", *counts, _named(F.col("own")).alias("base"), _named(everything).alias("spans"))
 
 

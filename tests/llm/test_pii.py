@@ -1,5 +1,6 @@
 """Base spans against brute force, and discovery of identifiers from contexts."""
 
+import hashlib
 import random
 import re
 
@@ -34,7 +35,27 @@ def test_base_spans_equal_brute_force(spark):
     got = run(spark, texts)
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        assert got[i]["base"] == brute(t), t
+        want = brute(t)
+        assert got[i]["base"] == want, t
+        assert [got[i][f"n_{k}"] for k in FORMS] == [sum(s.startswith(k) for s in want.split(",")) for k in FORMS], t
+
+
+def test_query_has_the_columns_of_its_contract(spark, tmp_path):
+    rng = random.Random(4)
+    parts = ["a@b.c", "x@y.example", "10.0.0.1", "4111 1111 1111 1111", "+1 (743) 555-3824", "plain", "\n"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.op5_pii(spark, str(tmp_path)).collect():
+        want = brute(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in FORMS] == [len(re.findall(f"(?:^|,){k}:", want)) for k in FORMS]
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and set(want.split(",")) <= set(r["spans"].split(","))
+
+
+def test_long_words_are_contexts(spark):
+    word = "b" * 300
+    seeds = [f"w{i} {'a' * 200} {word}, +1 (5{i}2) 555-01{i:02d} {word}c now" for i in range(10, 40)]
+    got = run(spark, [*seeds, f"hello {'a' * 200} {word}: 55501-2345x", f"hello {'a' * 201} {word}: 55501-2345x"])
+    assert got[30]["spans"] == f"phone:{6 + 200 + 303}:{6 + 200 + 303 + 11}" and got[31]["spans"] == ""
 
 
 def test_contexts_discover_unseen_identifiers(spark):
