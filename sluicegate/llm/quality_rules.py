@@ -2,12 +2,13 @@
 
 Lines are normalised (trimmed, lower-cased, digits as 0) and hashed with their host (``source``) to 128 bits; the
 distinct documents of each hash are counted. Lines in at least ``max_docs`` documents of their host are removed, and a
-document that keeps less than ``min_kept`` of its characters in words is rejected. Lines are counted by (hash,
-document) of each distinct line, reduced per task first; the hashes of a document's common lines then meet its text in
-one join, where the text is put together again without them. Blank lines stay.
+document that keeps less than ``min_kept`` of its characters in words is rejected. The hashes are written once and
+counted, reduced per task first; documents are counted for those that are found often enough. The hashes of a
+document's common lines then meet its text in one join, where the text is put together again without them. Blank lines
+stay.
 
 Base figures are computed in the row: 5-word windows are hashed, sorted with their places, and those equal to a
-neighbour are merged into covered words, so a text costs n log n however long it is.
+neighbour are merged into covered words, so a text costs n log n however long it is (n if no window is found twice).
 
 Cases: a null or empty text has no words and fails the base; a null source is a host of its own; rows equal in
 doc_id, source and text count as one document and get the same verdict; an empty table gives no rows. Only doc_id,
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import documents, row_key
+from sluicegate.llm.common import discard, documents, materialise, row_key
 from sluicegate.llm.line_dedup import SPACE, line_key
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -39,11 +40,18 @@ def word_array(text: Column) -> Column:
 def repeated_words(words: Column, window: int = 5) -> Column:
     """Words in windows that are found twice or more, the first included."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(window)]).alias("h"), i.alias("i")))
-    twice = let(F.array_sort(hashes), lambda s: F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])))
-    places = F.array_sort(F.transform(F.filter(twice, lambda x: F.lit(True)), lambda x: x["i"]))
-    merged = F.aggregate(places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last")), lambda acc, p: F.struct((acc["n"] + F.least(p - acc["last"], F.lit(window))).cast("long").alias("n"), p.alias("last")), lambda acc: acc["n"])
-    return F.when(n > window, F.coalesce(merged, F.lit(0))).otherwise(F.lit(0)).cast("long")
+
+    def covered(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        twice = let(placed, lambda s: F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])))
+        places = F.sort_array(F.transform(twice, lambda x: x["i"]))
+        merged = F.aggregate(places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-window).alias("last")), lambda acc, p: F.struct((acc["n"] + F.least(p - acc["last"], F.lit(window))).cast("long").alias("n"), p.alias("last")), lambda acc: acc["n"])
+        return F.coalesce(merged, F.lit(0)).cast("long")
+
+    hashed = let(F.transform(words, lambda w: F.xxhash64(w)), lambda own: F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(window)])))
+    # most texts have no window twice, and are not sorted
+    found = let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))
+    return F.when(n > window, found).otherwise(F.lit(0).cast("long"))
 
 
 def base_figures(docs: DataFrame) -> DataFrame:
@@ -74,14 +82,14 @@ def line_hashes(line: Column) -> list[Column]:
 
 def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """_k1, _k2, common: hashes of a document's lines that reach the limit of their host."""
-    lines = (
-        docs.select("source", *row_key("doc_id", "source", "text"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-        .where(F.translate("line", SPACE, "") != "")
-        .select(*line_hashes(F.col("line")), "_k1", "_k2")
-        .distinct()
-    )
-    common = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_docs).drop("n")
-    return lines.join(common, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("h1", "h2")).alias("common"))
+    lines = docs.select("source", *row_key("doc_id", "source", "text"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).where(F.translate("line", SPACE, "") != "")
+    table = materialise(lines.select(F.struct(*line_hashes(F.col("line"))).alias("h"), "_k1", "_k2"), "quality-lines")
+    # a line found less often than the limit can't reach it; the documents of the others are told apart
+    often = table.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_docs).drop("n")
+    pairs = materialise(table.join(often, "h").distinct(), "quality-pairs")
+    discard(table)
+    common = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_docs).drop("n")
+    return pairs.join(common, "h").groupBy("_k1", "_k2").agg(F.collect_list("h").alias("common"))
 
 
 def cleaned(docs: DataFrame, max_docs: int = MAX_DOCS, min_kept: float = MIN_KEPT) -> DataFrame:
