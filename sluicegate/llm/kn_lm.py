@@ -2,14 +2,16 @@
 
 Training makes two passes. The first counts words: a sorted array of 64-bit word hashes with counts, in
 range-partitioned shards in the shared folder. Each word has its place in that array as id; unseen words share one
-id, which no bigram of the training text has. The second pass counts bigrams as pairs of ids (one 64-bit key), summed in hash
-buckets and written as sorted arrays, a shard for each bucket, keys found once apart from those with a count. What
-contexts and words need (distinct successors by count, distinct predecessors) is pre-aggregated while writing and
-stored as arrays in the order of ids. Discounts come from counts of counts; all counts cover the whole corpus.
+id, which no bigram of the training text has. The second pass counts bigrams as pairs of ids (one 64-bit key). A task
+sums those of ``HELD`` tokens and passes them on as one sorted array for each hash bucket; a bucket's arrays are merged
+and written as a shard, keys found once apart from those with a count. There is a bucket for every ``BUCKET`` tokens, so
+what a task holds doesn't grow with the data. What contexts and words need (distinct successors by count, distinct
+predecessors) is pre-aggregated while writing and stored as arrays in the order of ids. Discounts come from counts of
+counts; all counts cover the whole corpus.
 
 Workers map the arrays of a ``file:`` folder into memory (pages are shared and dropped at will); of a folder
-elsewhere each shard is read once a worker. A text is its words (A-Z lower-cased) and an end token; its first
-context is a begin token.
+elsewhere they hold ``CACHE`` bytes of shards at most, those used last. A text is its words (A-Z lower-cased) and an end
+token; its first context is a begin token.
 
 p(w | v) = max(c(v w) - D, 0) / c(v) + g(v) p(w), D and g by modified Kneser-Ney; p(w) = max(n(w) - D', 0) / n + g'
 / (V + 1), n(w) the distinct contexts of w; an unseen context leaves p(w), and an unseen word has p(w) = g' / (V + 1).
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,11 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import crc_mod, documents, hash_words, materialise, open_fs, shared_dir, slices, words
+from sluicegate.llm.common import crc_mod, discard, documents, hash_words, materialise, mix, open_fs, released, shared_dir, slices, small_batches, words
 
 END, BEGIN = np.uint64(0x5EED000000000001), np.uint64(0x5EED000000000002)
-#: Tokens whose bigrams a counting task holds before it passes them on.
-HELD = 1_000_000
+#: Tokens whose bigrams a counting task holds before it passes them on, and tokens of a bucket of bigrams.
+HELD, BUCKET = 1_000_000, 2_000_000
+#: Bytes of shards that a worker holds where it can't map them.
+CACHE = 256 << 20
 #: Ids of unseen words and of the begin of a text; the words of the training text follow.
 UNSEEN, START, KNOWN = 0, 1, 2
 
@@ -97,20 +102,41 @@ def write_arrays(rows: DataFrame, key: str, values: dict[str, str], folder: str)
     return sorted((r.asDict() for r in ordered.mapInArrow(write, "name string, n long, first long, last long").collect()), key=lambda r: r["first"])
 
 
+class Files:
+    """The files of a model as arrays: mapped into memory where the folder is a local or mounted one; of others those
+    used last, ``CACHE`` bytes of them (one at least)."""
+
+    def __init__(self, folder: str) -> None:
+        self.fs, self.top = open_fs(folder)
+        self.mapped, self.held, self.size = folder.startswith("file:"), OrderedDict(), 0
+
+    def get(self, name: str, kind: str) -> np.ndarray:
+        if name in self.held:
+            self.held.move_to_end(name)
+            return self.held[name]
+        path = f"{self.top}/{name}"
+        if self.mapped:
+            found = np.memmap(path, kind, "r") if self.fs.get_file_info(path).size else np.zeros(0, kind)
+        else:
+            with self.fs.open_input_file(path) as f:
+                found = np.frombuffer(f.read(), kind)
+            self.size += found.nbytes
+            while self.held and self.size > CACHE:
+                self.size -= self.held.popitem(last=False)[1].nbytes
+        self.held[name] = found
+        return found
+
+
 class Arrays:
-    """Sorted shards of keys and values. Local shards are mapped, others are read once."""
+    """Sorted shards of keys and values."""
 
     def __init__(self, folder: str, shards: list[dict], key: str, values: dict[str, str]) -> None:
-        self.folder, self.shards, self.key, self.values = folder, shards, key, values
-        self.fs, self.top = open_fs(folder)
+        self.shards, self.key, self.values, self.files = shards, key, values, Files(folder)
         self.firsts = np.array([s["first"] for s in shards], np.int64)
         self.starts = np.concatenate([[0], np.cumsum([s["n"] for s in shards], dtype=np.int64)]).astype(np.int64)
-        self.maps: dict[tuple[int, str], np.ndarray] = {}
 
     def _load(self, i: int, c: str, kind: str) -> np.ndarray:
-        if (i, c) not in self.maps:
-            self.maps[i, c] = load_array(self.folder, f"{self.shards[i]['name']}.{c}", kind)
-        return self.maps[i, c]
+        return self.files.get(f"{self.shards[i]['name']}.{c}", kind)
 
     def get(self, keys: np.ndarray) -> dict[str, np.ndarray]:
         """The values at the keys (sorted, distinct), 0 where a key isn't there; ``at``: the key's place in all."""
@@ -129,39 +155,30 @@ class Arrays:
         return out
 
 
-def load_array(folder: str, name: str, kind: str) -> np.ndarray:
-    """A file of the model as an array: mapped into memory where the folder is a local or mounted one."""
-    fs, top = open_fs(folder)
-    if not folder.startswith("file:"):
-        with fs.open_input_file(f"{top}/{name}") as f:
-            return np.frombuffer(f.read(), kind)
-    path = f"{top}/{name}"
-    return np.memmap(path, kind, "r") if fs.get_file_info(path).size else np.zeros(0, kind)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 class Pairs:
     """Counts of bigrams by key, from the shards of the key's bucket."""
 
     def __init__(self, folder: str, shards: dict[str, str], buckets: int) -> None:
-        self.folder, self.shards, self.buckets, self.maps = folder, {int(k): v for k, v in shards.items()}, buckets, {}
+        self.files, self.shards, self.buckets = Files(folder), {int(k): v for k, v in shards.items()}, buckets
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        bucket = np.mod(long_hash(keys.view(np.uint64)).view(np.int64), self.buckets)
+        bucket = bucket_of(keys, self.buckets)
         order = np.argsort(bucket, kind="stable")  # keys stay sorted in each bucket
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b, shard in self.shards.items():
-            mine = order[edges[b] : edges[b + 1]]
-            if not len(mine):
-                continue
-            if b not in self.maps:
-                self.maps[b] = [load_array(self.folder, f"{shard}.{c}", "<i8") for c in ("once", "k", "n")]
-            once, k, n = self.maps[b]
-            for own, value in ((once, None), (k, n)):
-                if len(own):
-                    at = np.minimum(np.searchsorted(own, keys[mine]), len(own) - 1)
-                    hit = own[at] == keys[mine]
-                    out[mine[hit]] = 1 if value is None else value[at[hit]]
+        present, start = np.unique(bucket[order], return_index=True)
+        for b, mine in zip(present.tolist(), np.split(order, start[1:]), strict=False):
+            if b in self.shards:
+                once, k, n = (self.files.get(f"{self.shards[b]}.{c}", kind) for c, kind in (("once", "<i8"), ("k", "<i8"), ("n", "<i8")))
+                wanted = keys[mine]
+                for own, value in ((once, None), (k, n)):
+                    if len(own):
+                        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+                        hit = own[at] == wanted
+                        out[mine[hit]] = 1 if value is None else value[at[hit]]
         return out
 
 
@@ -182,13 +199,23 @@ def pair_ids(texts: pa.Array, own: Arrays) -> tuple[np.ndarray, np.ndarray, np.n
     return context, at, n, offsets
 
 
-def _pair_counts(words_at: tuple):
+def _pair_counts(words_at: tuple, buckets: int):
+    """For runs of tokens and each bucket one row: its pairs that are found once, the others, and their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, own = [], 0, None
 
         def emit() -> pa.RecordBatch:
             k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["k", "n"])
+            bucket = bucket_of(k, buckets)
+            order = np.argsort(bucket, kind="stable")
+            b, start = np.unique(bucket[order], return_index=True)
+            rows = [[], [], []]
+            for mine in np.split(order, start[1:]):
+                once = n[mine] == 1
+                for out, x in zip(rows, (k[mine[once]], k[mine[~once]], n[mine[~once]].astype(np.int64)), strict=True):
+                    out.append(x.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(b), *(pa.array(x, pa.binary()) for x in rows)], ["b", "once", "k", "n"])
 
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
@@ -202,69 +229,67 @@ def _pair_counts(words_at: tuple):
         if held:
             yield emit()
 
-    return run
+    return released(run)
 
 
 STATS = "context boolean, id long, c long, m1 long, m2 long, m3 long, m4 long"
 
 
 def _write_pairs(folder: str):
-    """Writes the sorted pairs of each bucket as a shard; emits what contexts and words need, a row for each of them
-    and run of pairs, and a row for each shard (id: the bucket, c: keys
-    with a count, m1 to m4: pairs found so often)."""
+    """Merges the arrays of each bucket (rows come by bucket) and writes them as a shard; emits what contexts and words
+    need, a row for each of them and bucket, and a row for each shard (id: the bucket, m1 to m4: pairs found so often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_fs(folder)
         fs.create_dir(top, recursive=True)
-        attempt, outs, bucket, sizes = uuid.uuid4().hex, {}, None, np.zeros(5, np.int64)
+        attempt, bucket, held = uuid.uuid4().hex, None, []
         schema = pa.schema([("context", pa.bool_()), ("id", pa.int64()), *[(c, pa.int64()) for c in ("c", "m1", "m2", "m3", "m4")], ("shard", pa.string())])
 
-        def close() -> pa.RecordBatch:
-            for f in outs.values():
-                f.close()
-            outs.clear()
-            return pa.RecordBatch.from_pylist([{"id": bucket, "c": int(sizes[0]), **{f"m{k}": int(sizes[k]) for k in (1, 2, 3, 4)}, "shard": f"{bucket}-{attempt}"}], schema=schema)
-
         def stats(context: bool, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             u, at = np.unique(ids, return_inverse=True)
             total = lambda x: pa.array(np.bincount(at, x, len(u)).astype(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), context)), pa.array(u), total(n), total(n == 1), total(n == 2), total(n > 2), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.string())], schema=schema)
 
-        for batch in batches:
-            b, k, n = (batch.column(c).to_numpy() for c in ("b", "k", "n"))
-            if not len(k):
-                continue
-            cut = np.concatenate([[0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]])
-            for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if b[s] != bucket:
-                    if bucket is not None:
-                        yield close()
-                    bucket, sizes = int(b[s]), np.zeros(5, np.int64)
-                    outs |= {c: fs.open_output_stream(f"{top}/{bucket}-{attempt}.{c}", compression=None) for c in ("once", "k", "n")}
-                once = n[s:e] == 1
-                outs["once"].write(k[s:e][once].astype("<i8").tobytes())
-                outs["k"].write(k[s:e][~once].astype("<i8").tobytes())
-                outs["n"].write(n[s:e][~once].astype("<i8").tobytes())
-                sizes += [(~once).sum(), *((n[s:e] == c).sum() for c in (1, 2, 3, 4))]
+        def close() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate([np.frombuffer(x[c], np.int64) for x in held]) for c in range(3)]
+            held.clear()
+            k, n = np.concatenate(columns[:2]), np.concatenate([np.ones(len(columns[0]), np.int64), columns[2]])
+            del columns
+            order = np.argsort(k, kind="stable")
+            k, n = k[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            k, n = k[first], np.add.reduceat(n, first)
+            once = n == 1
+            for c, x in (("once", k[once]), ("k", k[~once]), ("n", n[~once])):
+                with fs.open_output_stream(f"{top}/{bucket}-{attempt}.{c}", compression=None) as f:
+                    f.write(x.astype("<i8").tobytes())
             yield stats(True, k >> 32, n)
             yield stats(False, k & 0xFFFFFFFF, n)
-        if bucket is not None:
-            yield close()
+            yield pa.RecordBatch.from_pylist([{"id": bucket, **{f"m{c}": int((n == c).sum()) for c in (1, 2, 3, 4)}, "shard": f"{bucket}-{attempt}"}], schema=schema)
+
+        for batch in batches:
+            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("b", "once", "k", "n")), strict=True):
+                if b != bucket and held:
+                    yield from close()
+                bucket = b
+                held.append(row)
+        if held:
+            yield from close()
 
-    return run
+    return released(run)
 
 
 def train(docs: DataFrame, folder: str | None = None) -> str:
     """Counts words and bigrams of all texts and writes the model; returns its folder."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_dir(spark, "kn-model")
     texts = docs.select("text")
     counted = materialise(texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "kn-words")
     total = counted.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("v")).first().asDict()
     words_at = (f"{folder}/words", write_arrays(counted, "w", {"n": "<i8"}, f"{folder}/words"), "w", {"n": "<i8"})
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = texts.mapInArrow(_pair_counts(words_at), "k long, n long").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
-    pairs = pairs.repartition(buckets, "b").groupBy("b", "k").agg(F.sum("n").alias("n")).sortWithinPartitions("b", "k")
+    buckets = max(1, -(-int(total["tokens"] or 0) // BUCKET))
+    pairs = texts.mapInArrow(_pair_counts(words_at, buckets), "b long, once binary, k binary, n binary").repartition(buckets, "b").sortWithinPartitions("b")
     stats = materialise(pairs.mapInArrow(_write_pairs(f"{folder}/pairs"), f"{STATS}, shard string"), "kn-stats")
     done = stats.where("shard IS NOT NULL").collect()  # a row a bucket
     shards, d = {r["id"]: r["shard"] for r in done}, discounts({f"n{k}": sum(r[f"m{k}"] for r in done) for k in (1, 2, 3, 4)})
@@ -281,6 +306,7 @@ def train(docs: DataFrame, folder: str | None = None) -> str:
         "contexts": write_arrays(contexts, "id", {"c": "<i8", "g": "<f4"}, f"{folder}/contexts"),
         "own": write_arrays(own.select("id", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.lit(types or 1.0) + F.lit(rest)).alias("p")), "id", {"p": "<f8"}, f"{folder}/own"),
     }
+    discard(counted, stats, own)
     fs, top = open_fs(folder)
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/model.json", compression=None) as out:
@@ -288,17 +314,6 @@ def train(docs: DataFrame, folder: str | None = None) -> str:
     return folder
 
 
-def long_hash(x: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64 gives for a long (XXH64 with seed 42)."""
-    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
-    turn = lambda v, r: (v << np.uint64(r)) | (v >> np.uint64(64 - r))
-    h = np.full(len(x), np.uint64(42) + p5 + np.uint64(8)) ^ (turn(x * p2, 31) * p1)
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
 def scorer(folder: str) -> Callable[[pa.Array], dict[str, np.ndarray]]:
     """Scores texts from the model in a folder."""
     fs, top = open_fs(folder)
@@ -335,6 +350,9 @@ def scorer(folder: str) -> Callable[[pa.Array], dict[str, np.ndarray]]:
 def score_documents(docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row."""
 
+    small_batches(docs.sparkSession)
+
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = None
         for batch in batches:

@@ -247,44 +247,39 @@ def test_toxicity(spark, none):
     assert {r["toxic_score"] for r in toxicity.score(docs, toxicity.train(docs, labels.where("false"))).collect()} == {0.0}
 
 
-def kneser_ney(train, test):
-    """The model by plain counting."""
-    tokens = lambda t: [*re.findall(SPACE, (t or "").lower()), "</s>"]
-    words = Counter(w for t in train for w in tokens(t))
-    name = lambda w: w if words[w] > 1 else "<rare>"
-    pairs = Counter((a, name(b)) for t in train for a, b in zip(["<s>", *map(name, tokens(t))], tokens(t)))
-    cc = Counter(pairs.values())
-    after, before = defaultdict(Counter), Counter(b for _, b in pairs)
-    for (a, b), n in pairs.items():
-        after[a][b] = n
-    d, e = kn_lm.discounts({f"n{k}": cc[k] for k in (1, 2, 3, 4)}), kn_lm.discounts({f"n{k}": Counter(before.values())[k] for k in (1, 2, 3, 4)})
-    cut = lambda n, d: 0 if not n else d[min(n, 3) - 1]
-    types, v, rare = sum(before.values()), len(before), sum(n == 1 for n in words.values()) + 1
-    low = lambda w: max(before[w] - cut(before[w], e), 0) / types + sum(cut(n, e) for n in before.values()) / types / v
-    total, out = sum(words.values()), []
-    for t in test:
-        own, score, base = tokens(t), 0.0, 0.0
-        for a, raw in zip(["<s>", *map(name, own)], own):
-            w, c = name(raw), sum(after[a].values())
-            p = (max(after[a][w] - cut(after[a][w], d), 0) + sum(cut(n, d) for n in after[a].values()) * low(w)) / c if c else low(w)
-            score += math.log10(p / rare if w == "<rare>" else p)
-            base += math.log10((words[raw] + 1) / (total + len(words) + 1))
-        out.append((len(own), sum(words[w] > 0 for w in own), base, score))
-    return out, total
-
-
-def test_language_model(docs, none):
+def test_language_model(docs, none, monkeypatch):
     train = [r for r in DOCS if r[0] % 3]
-    folder = kn_lm.train(docs.where("doc_id % 3 <> 0"))
-    want, total = kneser_ney([r[1] for r in train], [r[1] for r in DOCS])
-    key = lambda r: tuple(x if isinstance(x, int) else round(x, 2) for x in r)
-    got = kn_lm.score_documents(docs, folder).collect()
-    assert {r["train_tokens"] for r in got} == {total}
-    assert sorted(key((r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"])) for r in got) == sorted(key((d[0], *w)) for d, w in zip(DOCS, want))
+    texts, tokens = [r[1] for r in DOCS], lambda t: [*re.findall(SPACE, (t or "").lower()), "</s>"]
+    words = Counter(w for r in train for w in tokens(r[1]))
+    base = [sum(math.log10((words[w] + 1) / (words.total() + len(words) + 1)) for w in tokens(t)) for t in texts]
+    want = every_word([r[1] for r in train], texts)[1]
+    for name, value in (("HELD", 1_000_000), ("HELD", 100), ("BUCKET", 3000)):  # counted at once, in many runs, in many buckets
+        monkeypatch.setattr(kn_lm, name, value)
+        got = sorted(kn_lm.score_documents(docs, kn_lm.train(docs.where("doc_id % 3 <> 0"))).collect(), key=lambda r: (r["doc_id"], r["score"]))
+        order = sorted(range(len(DOCS)), key=lambda k: (DOCS[k][0], want[k]))
+        assert [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got] == [(DOCS[k][0], len(tokens(texts[k])), sum(words[w] > 0 for w in tokens(texts[k])), words.total()) for k in order]
+        assert [r["base_score"] for r in got] == pytest.approx([base[k] for k in order], rel=1e-9)
+        assert [r["score"] for r in got] == pytest.approx([want[k] for k in order], rel=1e-6)
+        assert [r["perplexity"] for r in got] == pytest.approx([10 ** (-want[k] / len(tokens(texts[k]))) for k in order], rel=1e-5)
     empty = kn_lm.train(none)
     assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in kn_lm.score_documents(docs, empty).collect())
 
 
+def test_language_model_where_files_cannot_be_mapped(spark, docs, monkeypatch):
+    folder = kn_lm.train(docs)
+    texts = pa.array([t for _, t, *_ in DOCS], pa.string())
+    mapped = kn_lm.scorer(folder)(texts)["score"]
+    start = kn_lm.Files.__init__
+
+    def unmapped(self, folder):
+        start(self, folder)
+        self.mapped = False
+
+    monkeypatch.setattr(kn_lm.Files, "__init__", unmapped)
+    monkeypatch.setattr(kn_lm, "CACHE", 2000)
+    assert kn_lm.scorer(folder)(texts)["score"].tolist() == mapped.tolist()
+
+
 def every_word(train, test):
     """Log10 scores by plain counting, each word of the training texts for itself."""
     tokens = lambda t: ["<s>", *re.findall(SPACE, (t or "").lower()), "</s>"]
