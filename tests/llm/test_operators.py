@@ -159,6 +159,9 @@ def test_jaccard_of_a_group_in_which_many_are_not_linked(spark, monkeypatch):
         return " ".join(w)
 
     rows = [(k, edited(RNG.choice([0, 1, 1, 2, 2, 3, 4, 9]))) for k in range(150)] + [(200 + k, sentence(60)) for k in range(30)]
+    for k, size in enumerate((130, 200, 260, 300, 700, 1300)):  # sets of all sizes, with a copy that shares just enough or too little
+        text = sentence(size)
+        rows += [(300 + 10 * k + j, text + " " + sentence(int(size * share))) for j, share in enumerate((0, 0.2, 0.32, 0.35))]
     want = jaccard(rows)
     assert 3 < len({c for *_, c in want if c < 200}) < 150
     assert components_of(spark, rows) == want
