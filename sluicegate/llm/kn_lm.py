@@ -140,7 +140,7 @@ class Arrays:
 
     def get(self, keys: np.ndarray) -> dict[str, np.ndarray]:
         """The values at the keys (sorted, distinct), 0 where a key isn't there; ``at``: the key's place in all."""
-        out = {c: np.zeros(len(keys), kind) for c, kind in self.values.items()} | {"at": np.zeros(len(keys), np.int64)}
+        out = {c: np.zeros(len(keys), kind) for c, kind in self.values.items()} | {"at": np.zeros(len(keys), np.int64), "there": np.zeros(len(keys), bool)}
         if not len(self.shards) or not len(keys):
             return out
         edges = np.concatenate([np.searchsorted(keys, self.firsts), [len(keys)]])
@@ -150,6 +150,7 @@ class Arrays:
                 at = np.minimum(np.searchsorted(own, keys[s:e]), len(own) - 1)
                 hit = own[at] == keys[s:e]
                 out["at"][s:e][hit] = self.starts[i] + at[hit]
+                out["there"][s:e] = hit
                 for c, kind in self.values.items():
                     out[c][s:e][hit] = self._load(i, c, kind)[at[hit]]
         return out

@@ -238,16 +238,76 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(none)).collect()} == {"und"}
 
 
+def word_ratios(rows, asked):
+    """Log-likelihood ratios of words by plain counting of their beginnings in the words of each text."""
+    count = [defaultdict(Counter), defaultdict(Counter)]
+    for text, toxic in rows:
+        for w in {x.strip(toxicity.STRIP) for x in text.lower().split()} - {""}:
+            for k, c in enumerate(w + "$"):
+                count[toxic][w[:k]][c] += 1
+    both = defaultdict(Counter)
+    for c in count:
+        for h, n in c.items():
+            both[h].update(n)
+
+    def model(c, below):
+        cc = Counter(n for after in c.values() for n in after.values())
+        d = kn_lm.discounts({f"n{k}": cc[k] for k in (1, 2, 3, 4)})
+        cut = lambda n: 0 if not n else d[min(n, 3) - 1]
+
+        def p(h, x):
+            if h not in c:
+                return below(h, x)
+            return (c[h][x] - cut(c[h][x]) + sum(map(cut, c[h].values())) * below(h, x)) / c[h].total()
+
+        return p
+
+    shared = model(both, lambda h, x: 1 / 64)
+    o, t = (model(c, shared) for c in count)
+    return [sum(math.log(t(w[:k], x) / o(w[:k], x)) for k, x in enumerate(w + "$") if w[:k] in both) for w in asked]
+
+
+def test_toxicity_ratios_equal_plain_counting(spark):
+    rows = [(k, sentence(25) + (" vile, rotten" if k % 5 == 0 else " fine") + (" " + sentence(5).upper()), int(k % 5 == 0)) for k in range(60)]
+    used = spark.createDataFrame([(t, x, k % 3) for k, t, x in rows], "text string, toxic int, fold int")
+    counts = used.mapInArrow(toxicity._counts, f"v long, w long, {', '.join(f'{c} long' for c in toxicity.CELLS)}").groupBy("v", "w").sum(*toxicity.CELLS).toDF("v", "w", *toxicity.CELLS)
+    asked = ["vile", "VILE!", "vilest", "rot", "fine", "zebra", *WORDS[:20]]
+    plain = [w.strip("!").lower() for w in asked]
+    for folds in ([0, 1, 2], [0, 2]):
+        folder = f"{kn_lm.shared_dir(spark, 'toxic-test')}"
+        toxicity._save(folder, toxicity.ratios(counts, folds, folder))
+        x = toxicity.features(folder)(pa.array([*asked, None, " ".join(asked)]))
+        want = word_ratios([(t, y) for k, t, y in rows if k % 3 in folds], plain)
+        assert x[: len(asked), 0].tolist() == pytest.approx(want, abs=1e-9) and want[0] > max(1, want[4])
+        assert x[len(asked)].tolist() == [0] * 5
+        own = sorted(set(zip(plain, want)), key=lambda r: -r[1])
+        assert x[-1].tolist() == pytest.approx([*(sum(r for _, r in own[:k]) for k in (2, 4, 8)), sum(r for _, r in own) / len(own), math.log(len(own))])
+
+
 def test_toxicity(spark, none):
     rows = [(i, sentence(40) + (" vile!" if i % 7 == 0 else "") + " " + sentence(10)) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(600)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(600)] + [(None, 1), (5, None), (3, 0), (601, 0), (601, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(docs, model).collect()}
     assert all((got[i] >= 0.7) == (i % 7 == 0) for i in range(600, 900))
-    odd = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "vile " * 20000)], "doc_id long, text string"), model).collect()
-    assert all(0 <= r["toxic_score"] <= 1 for r in odd) and odd[2]["toxic_score"] > 0.7
+    odd = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "vile " * 20000), (4, "12 .. !"), (5, "v" * 30000)], "doc_id long, text string"), model).collect()
+    assert all(0 <= r["toxic_score"] <= 1 for r in odd) and odd[0]["toxic_score"] == odd[1]["toxic_score"] == odd[3]["toxic_score"] < 0.7
     assert {r["toxic_score"] for r in toxicity.score(docs, toxicity.train(docs, labels.where("false"))).collect()} == {0.0}
+    assert toxicity.score(none, model).collect() == []
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """About 40 of the 449 toxic rows hold no word that only toxic rows hold."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("toxic IS NOT NULL").select("toxic", "predicted").collect()
+    hits = sum(r["toxic"] and r["predicted"] for r in got)
+    assert hits >= 0.85 * sum(r["toxic"] for r in got) and hits >= 0.9 * sum(r["predicted"] for r in got)
+
+
+def test_best_cut():
+    y = np.array([1, 1, 0, 1, 0, 0.0])
+    assert toxicity.best_cut(np.array([9, 8, 7, 6, 2, 1.0]), y) == 4 and toxicity.best_cut(np.array([1, 1, 1, 1, 1, 1.0]), y) == 1
 
 
 def test_language_model(docs, none, monkeypatch):
