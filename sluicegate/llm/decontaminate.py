@@ -3,14 +3,17 @@
 Items are the indexed side, passages of the training texts the queries. Item impacts are divided by the item's own
 score, so a score is the share of an item's BM25 weight that a passage holds, and one threshold fits all items.
 Items are ordered by length and cut into blocks with the largest impact per term and block. Every passage is a
-query: a block whose summed maxima stay below the threshold is skipped (block-max WAND over aligned blocks,
-computed for many passages at once), all items of the other blocks are scored exactly. Retrieved items count as
+query. The block maxima of many passages are first added up at once, which leaves out passages of which no block can
+reach the threshold; the others go through the postings item by item with block-max WAND: cursors are ordered by item,
+the pivot is where the terms' maxima reach the threshold, a block whose maxima don't is skipped in all lists, and only
+pivots that all earlier cursors have reached are scored. All items above the threshold are retrieved. They count as
 leaks when enough of their question's and of their answer's word trigrams are in the passage (the bigram or word of a
 part that has no more).
 
 Passages are pairs of neighbouring chunks, a chunk being as long as the longest item, so an item inside a text is
-inside a passage. Texts are read whole. The index goes along with the tasks; benchmarks beyond ``PASS_ITEMS`` items
-are split by a hash of the id, and the texts are scanned once for each part; weights and passages are those of all items.
+inside a passage. Texts are read whole and once. The index goes along with the tasks; that of a benchmark beyond
+``PASS_ITEMS`` items is split by a hash of the id into parts in the shared folder, which each run of texts meets one
+after another; weights and passages are those of all items.
 
 Cases: null or empty texts and items match nothing; equal items are found each by its id; for equal doc_ids the
 largest figures of their rows count; an item without a question mark has its last quarter of words as answer; empty
@@ -19,7 +22,9 @@ tables give no rows. Only doc_id and text, item_id and text are read.
 
 from __future__ import annotations
 
+import pickle
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sluicegate.llm.common import documents, ngram_hashes, released, slices, small_batches, words
+from sluicegate.llm.common import documents, ngram_hashes, open_fs, released, shared_dir, slices, small_batches, words
 
 PASS_ITEMS, BLOCK_ITEMS, CHUNK = 2000, 16, 64
 K1, B = 1.2, 0.75
 #: Share of an item's weight from which it is retrieved, and shares of trigrams from which a leak is certain.
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
+#: What maxima in single precision may lack; maxima of chunk terms and blocks that are held at once.
+SLACK, HELD_BOUNDS = 1e-5, 4_000_000
 STRIP = string.punctuation
 LEAKS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -77,12 +84,11 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], figures: tuple[int, float, int, Counter]) -> None:
         texts = sorted(((i, plain_words(t), t) for i, t in items if plain_words(t)), key=lambda x: (len(x[1]), x[0]))
         self.ids = [x[0] for x in texts]
-        n, mean, longest, found = figures
+        n, mean, _, found = figures
         self.terms = {w: k for k, w in enumerate(sorted({w for _, own, _ in texts for w in own}))}
         df = np.array([found[w] for w in self.terms], float)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.blocks = -(-len(texts) // BLOCK_ITEMS)
-        self.chunk = max(CHUNK, longest)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         at, term, impact = [], [], []
         for k, (_, own, _) in enumerate(texts):
@@ -94,84 +100,152 @@ class ItemIndex:
             term += ids.tolist()
             impact += w.tolist()
         order = np.lexsort((at, term))
-        self.post_item, self.post_impact = np.array(at, np.int64)[order], np.array(impact)[order]
-        self.post_start = np.searchsorted(np.array(term, np.int64)[order], np.arange(len(self.terms) + 1))
+        start = np.searchsorted(np.array(term, np.int64)[order], np.arange(len(self.terms) + 1))
+        items, impacts = np.array(at, np.int64)[order].tolist(), np.array(impact)[order].tolist()
+        self.postings = [(items[s:e], impacts[s:e]) for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+        self.term_max = self.block_max.max(1, initial=0).tolist()
         hashed = lambda own: np.array([xxh64_intdigest(w) for w in own], np.uint64)
         self.parts = [tuple(trigrams(hashed(p)) for p in split_item(t)) for _, _, t in texts]
 
-    def score(self, terms: np.ndarray, blocks: np.ndarray) -> list[tuple[int, float]]:
-        """Items of the given blocks whose score reaches the threshold; terms are distinct."""
-        lo, hi = self.post_start[terms], self.post_start[terms + 1]
-        take = np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())
-        got = np.bincount(self.post_item[take], self.post_impact[take], len(self.ids))
-        keep = np.flatnonzero(got >= THRESHOLD)
-        return [(int(k), float(got[k])) for k in keep if blocks[k // BLOCK_ITEMS]]
-
-
-def find_leaks(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
+    def wand(self, terms: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[tuple[int, float]], int]:
+        """All (item, score) that reach the threshold for distinct terms, by block-max WAND; and the postings read."""
+        end, low = len(self.ids), threshold - SLACK
+        lists = [(*self.postings[t], self.term_max[t], self.block_max[t]) for t in terms.tolist()]
+        place, item = [0] * len(lists), [x[0][0] for x in lists]
+        order, out, read = sorted(range(len(lists)), key=item.__getitem__), [], 0
+
+        def move(k: int, to: int) -> None:
+            place[k] = bisect_left(lists[k][0], to, place[k])
+            item[k] = lists[k][0][place[k]] if place[k] < len(lists[k][0]) else end
+
+        while True:
+            total, pivot = 0.0, -1
+            for n, k in enumerate(order):
+                total += lists[k][2]
+                if total >= low:
+                    pivot = n
+                    break
+            if pivot < 0 or item[order[pivot]] == end:
+                return out, read
+            at = item[order[pivot]]
+            while pivot + 1 < len(order) and item[order[pivot + 1]] == at:
+                pivot += 1
+            block = at // BLOCK_ITEMS
+            here = order[: pivot + 1]
+            if sum(float(lists[k][3][block]) for k in here) < low:
+                to = (block + 1) * BLOCK_ITEMS
+                if pivot + 1 < len(order):
+                    to = min(to, item[order[pivot + 1]])
+                for k in here:
+                    move(k, to)
+            elif item[here[0]] == at:
+                score = 0.0
+                for k in here:
+                    score += lists[k][1][place[k]]
+                    read += 1
+                    move(k, at + 1)
+                if score >= threshold:
+                    out.append((at, score))
+            else:
+                for k in here:
+                    if item[k] < at:
+                        move(k, at)
+            order.sort(key=item.__getitem__)
+
+
+class Passages:
+    """The words of a run of texts, cut into chunks; neighbouring chunks of a text are passages."""
+
+    def __init__(self, texts: pa.Array, size: int) -> None:
+        flat, at = words(texts, unicode=True)
+        coded = flat.dictionary_encode()
+        self.names = [w.strip(STRIP) for w in coded.dictionary.to_pylist()]
+        code = coded.indices.to_numpy() if len(flat) else np.zeros(0, np.int64)
+        full = np.array([bool(w) for w in self.names], bool)[code]  # words of punctuation only are none
+        self.at = np.concatenate([[0], np.cumsum(full)])[at]
+        self.code, self.size = code[full], size
+        chunks = -(-np.diff(self.at) // size)  # of each text
+        self.first = np.concatenate([[0], np.cumsum(chunks)])
+        self.text = np.repeat(np.arange(len(texts)), chunks)
+        row = np.repeat(np.arange(len(texts)), np.diff(self.at))
+        self.chunk = self.first[row] + (np.arange(len(self.code)) - self.at[row]) // size
+        self.hashes = None
+
+    def words_of(self, k: int) -> np.ndarray:
+        """Hashes of the words of the passage that begins with chunk k."""
+        if self.hashes is None:
+            self.hashes = np.array([xxh64_intdigest(w) for w in self.names], np.uint64)
+        r = self.text[k]
+        s = self.at[r] + (k - self.first[r]) * self.size
+        return self.hashes[self.code[s : min(s + 2 * self.size, self.at[r + 1])]]
+
+
+def find_leaks(index: ItemIndex, passages: Passages) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item, score, question overlap, answer overlap) of each verified passage."""
-    flat, at = words(texts, unicode=True)
-    if not len(flat) or not index.ids:
+    if not len(passages.code) or not index.ids:
         return
-    coded = flat.dictionary_encode()
-    own = [w.strip(STRIP) for w in coded.dictionary.to_pylist()]
-    code = coded.indices.to_numpy()
-    full = np.array([bool(w) for w in own])[code]  # words of punctuation only are none
-    at = np.concatenate([[0], np.cumsum(full)])[at]
-    code = code[full]
-    term = np.array([index.terms.get(w, -1) for w in own], np.int64)[code]
-    chunks = -(-np.diff(at) // index.chunk)  # of each text
-    first = np.concatenate([[0], np.cumsum(chunks)])
-    row = np.repeat(np.arange(len(texts)), np.diff(at))
-    chunk = first[row] + (np.arange(len(code)) - at[row]) // index.chunk
+    term = np.array([index.terms.get(w, -1) for w in passages.names], np.int64)[passages.code]
     known = term >= 0
-    pairs = np.unique(chunk[known] * len(index.terms) + term[known])
+    pairs = np.unique(passages.chunk[known] * len(index.terms) + term[known])
     c, t = pairs // len(index.terms), pairs % len(index.terms)
-    n = int(first[-1])
+    n, of = int(passages.first[-1]), passages.text
     start = np.searchsorted(c, np.arange(n + 1))
-    bound = np.zeros((n + 1, index.blocks), np.float32)
-    has = np.flatnonzero(np.diff(start))
-    if not len(has):
-        return
-    bound[has] = np.add.reduceat(index.block_max[t], start[has], axis=0)
-    of = np.repeat(np.arange(len(texts)), chunks)
-    pair = bound[:n].copy()
-    pair[:-1][of[:-1] == of[1:]] += bound[1:n][of[:-1] == of[1:]]
-    live = pair >= THRESHOLD - 1e-5
-    hashes = None
-    for k in np.flatnonzero(live.any(1)):
-        r, end = of[k], k + 2 if k + 1 < n and of[k + 1] == of[k] else k + 1
-        for item, score in index.score(np.unique(t[start[k] : start[end]]), live[k]):
-            if hashes is None:
-                hashes = np.array([xxh64_intdigest(w) for w in own], np.uint64)
-            s = at[r] + (k - first[r]) * index.chunk
-            here = hashes[code[s : min(s + 2 * index.chunk, at[r + 1])]]
-            q, a = (float(np.isin(p, ngram_hashes(here, n)).mean()) if len(p) else 1.0 for n, p in index.parts[item])
-            if q >= QUESTION and a >= ANSWER:
-                yield int(r), index.ids[item], score, q, a
+    follows = np.append(of[:-1] == of[1:], False)
+    step = max(1, HELD_BOUNDS // index.blocks)  # terms of chunks whose block maxima are held at once
+    s = 0
+    while s < n:
+        e = max(s + 1, int(np.searchsorted(start, start[s] + step, side="right")) - 1)
+        last = min(e + 1, n)  # with the chunk behind, the other half of the last passage
+        bound = np.zeros((last - s + 1, index.blocks), np.float32)
+        has = s + np.flatnonzero(np.diff(start[s : last + 1]))
+        if len(has):
+            bound[has - s] = np.add.reduceat(index.block_max[t[start[s] : start[last]]], start[has] - start[s], axis=0)
+            pair = bound[: e - s] + np.where(follows[s:e, None], bound[1 : e - s + 1], 0)
+            for k in s + np.flatnonzero((pair >= THRESHOLD - SLACK).any(1)):
+                for item, score in index.wand(np.unique(t[start[k] : start[k + 2 if follows[k] else k + 1]]))[0]:
+                    here = passages.words_of(k)
+                    q, a = (float(np.isin(p, ngram_hashes(here, n)).mean()) if len(p) else 1.0 for n, p in index.parts[item])
+                    if q >= QUESTION and a >= ANSWER:
+                        yield int(of[k]), index.ids[item], score, q, a
+        s = e
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and the best figures of each leak."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    passes = max(1, -(-items.count() // PASS_ITEMS))
-    part = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()]  # noqa: E731, about PASS_ITEMS
-    figures, found = item_figures(map(part, range(passes))), None
-    for k in range(passes):
-        index = ItemIndex(part(k), figures)
-
-        @released
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, limit=1 << 20):
-                    rows = list(find_leaks(index, part.column("text")))
-                    if rows:
-                        ids = part.column("doc_id").to_pylist()
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[j] for r in rows]) for j in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        own = docs.select("doc_id", "text").mapInArrow(run, LEAKS)
-        found = own if found is None else found.unionByName(own)
+    parts = max(1, -(-items.count() // PASS_ITEMS))
+    part = lambda k: [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]  # noqa: E731, about PASS_ITEMS
+    figures = item_figures(map(part, range(parts)))
+    folder, only = shared_dir(spark, "item-index"), ItemIndex(part(0), figures) if parts == 1 else None
+    if parts > 1:
+        fs, top = open_fs(folder)
+        fs.create_dir(top, recursive=True)
+        for k in range(parts):
+            with fs.open_output_stream(f"{top}/{k}", compression=None) as f:
+                f.write(pickle.dumps(ItemIndex(part(k), figures)))
+
+    def indexes() -> Iterator[ItemIndex]:
+        if only is not None:
+            yield only
+            return
+        fs, top = open_fs(folder)
+        for k in range(parts):
+            with fs.open_input_stream(f"{top}/{k}", compression=None) as f:
+                yield pickle.loads(f.read())
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch, limit=(1 << 20) * min(parts, 8)):
+                passages = Passages(texts.column("text"), max(CHUNK, figures[2]))
+                rows = [r for index in indexes() for r in find_leaks(index, passages)]
+                if rows:
+                    ids = texts.column("doc_id").to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[j] for r in rows]) for j in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, LEAKS)
     return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
