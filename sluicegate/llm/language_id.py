@@ -6,11 +6,13 @@ length-normalised TF-IDF vector. Spherical k-means gives several centroids per l
 of the centroid with the largest cosine. Distance-based rejection: each centroid has a least cosine (the
 ``REJECT`` quantile of its own training texts less a margin); below it the prediction is marked rejected.
 
-Fitting uses a bounded sample, chosen by a hash of the id: ``PER_LANG`` texts a language, ``MAX_FIT`` at most in
-all (each language keeps 20 at least). Predicting reads whole texts; the centroids are a few hundred KB.
+Fitting uses a bounded sample, chosen by a hash of the id: about ``PER_LANG`` texts a language, fewer where there are
+so many languages that this would exceed ``MAX_FIT`` in all, but ``LEAST_FIT`` a language in any case. Predicting reads
+whole texts; the centroids are a few hundred KB.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null lang teach nothing; without
-any training row every text is ``und``; ties go to the language that sorts first; an empty table gives no rows.
+any training row every text is ``und``; ties go to the language that sorts first; equal texts get equal results; an
+empty table gives no rows.
 Only doc_id and text (and lang when fitting) are read.
 """
 
@@ -24,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import crc_mod, documents, slices
+from sluicegate.llm.common import crc_mod, documents, released, slices, small_batches
 
 DIMS = 4096
-PER_LANG, MAX_FIT = 500, 4000
+PER_LANG, MAX_FIT, LEAST_FIT = 500, 4000, 20
 CENTROIDS, ROUNDS = 4, 12
 REJECT, MARGIN = 0.01, 0.1
 #: Share of a language's training texts that a centroid must have; smaller clusters are stray texts.
@@ -80,12 +82,10 @@ def cluster(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame) -> dict:
     """The model: langs, idf, centroids, the language and the least cosine of each centroid."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    each = max(20, min(PER_LANG, MAX_FIT // max(len(n), 1)))
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    each = F.greatest(F.lit(LEAST_FIT), F.least(F.lit(PER_LANG), F.lit(MAX_FIT // max(n.count(), 1)))) / F.col("_n")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(0.0)
-    for lang, total in n.items():
-        share = F.when(F.col("lang") == lang, each / total).otherwise(share)
+    drawn = rows.join(n, "lang").where(draw < each).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +93,7 @@ def fit(docs: DataFrame) -> dict:
                 x = vectors(part.column("text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "lang", "v"])
 
-    got = sorted((tuple(r) for r in rows.where(draw < share).mapInArrow(run, "doc_id long, lang string, v binary").collect()), key=lambda r: (r[1], r[0] is None, r[0] or 0, r[2]))  # bounded by MAX_FIT
+    got = sorted((tuple(r) for r in drawn.mapInArrow(run, "doc_id long, lang string, v binary").collect()), key=lambda r: (r[1], r[0] is None, r[0] or 0, r[2]))  # bounded by the sample
     if not got:
         return {"langs": [], "idf": np.ones(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, int), "least": np.zeros(0)}
     x = np.stack([np.frombuffer(r[2], np.float16) for r in got]).astype(np.float32)
@@ -119,7 +119,9 @@ def predict(docs: DataFrame, model: dict, reject: bool = True) -> DataFrame:
     """doc_id, lang_pred, score (cosine with the nearest centroid, 0 to 1), rejected. With ``reject`` a rejected text
     is ``und``; without it the nearest language stays."""
     langs = [*model["langs"], "und"]
+    small_batches(docs.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _groups(batch):

@@ -205,6 +205,76 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(none, items).collect() == [] and decontaminate.leaks(docs, items.where("false")).collect() == []
 
 
+def bm25(items, passage):
+    """Share of each item's own BM25 score that the passage's distinct words hold, by the formula."""
+    plain = {i: decontaminate.plain_words(t) for i, t in items}
+    n, mean = len(plain), sum(map(len, plain.values())) / len(plain)
+    df, held, out = Counter(w for own in plain.values() for w in set(own)), set(decontaminate.plain_words(passage)), {}
+    for i, own in plain.items():
+        weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, f in Counter(own).items()}
+        out[i] = sum(x for w, x in weight.items() if w in held) / sum(weight.values())
+    return out
+
+
+def test_wand_retrieves_what_scoring_all_items_does():
+    items = [(k, " ".join(RNG.sample(WORDS[: 60 + k], RNG.randint(6, 40)))) for k in range(150)]
+    index = decontaminate.ItemIndex(items, decontaminate.item_figures([items]))
+    read = total = found = 0
+    for _ in range(150):
+        i, passage = RNG.randrange(150), RNG.sample(WORDS, 30)
+        passage += items[i][1].split()[: RNG.randint(0, 30)]
+        terms = np.unique([index.terms[w] for w in passage if w in index.terms])
+        for threshold in (0.3, 0.5, 0.8):
+            got, postings = index.wand(terms, threshold)
+            want = {k: x for k, x in bm25(items, " ".join(passage)).items() if x >= threshold}
+            assert {index.ids[k]: x for k, x in got} == pytest.approx(want)
+            read, total, found = read + postings, total + sum(len(index.postings[t][0]) for t in terms), found + len(want)
+    assert found > 100 and read < total / 3
+
+
+def test_decontamination_equals_scoring_all_passages(spark, docs, monkeypatch):
+    items = [(k, f"{sentence(10)}? {sentence(5)}") for k in range(30)] + [(k, sentence(RNG.randint(8, 60))) for k in range(30, 50)]
+    texts = []
+    for k in range(200):  # copies in part, with other words between
+        own = items[k % 50][1].split()
+        cut = RNG.randint(len(own) // 3, len(own))
+        texts.append((k, f"{sentence(RNG.randint(0, 150))} {' '.join(own[:cut])} {sentence(RNG.randint(0, 9))} {' '.join(own[cut:])} {sentence(RNG.randint(0, 150))}"))
+    figures, want = decontaminate.item_figures([items]), {}
+    size = max(64, figures[2])
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    for d, text in texts:
+        own = decontaminate.plain_words(text)
+        for s in range(0, max(len(own), 1), size):
+            passage = own[s : s + 2 * size]
+            for i, score in bm25(items, " ".join(passage)).items():
+                parts = decontaminate.split_item(dict(items)[i])
+                over = [len(grams(p, min(3, len(p))) & grams(passage, min(3, len(p)))) / len(grams(p, min(3, len(p)))) for p in parts]
+                if score >= 0.5 and over[0] >= 0.6 and over[1] >= 0.5:
+                    want[d, i] = [max(a, b) for a, b in zip(want.get((d, i), [0, 0, 0]), [score, *over])]
+    for name, value in (("HELD_BOUNDS", 4_000_000), ("HELD_BOUNDS", 300), ("PASS_ITEMS", 7)):
+        monkeypatch.setattr(decontaminate, name, value)
+        got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r["doc_id"], r["item_id"]): list(r[2:]) for r in got} == {k: pytest.approx(v) for k, v in want.items()}
+    assert 50 < len(want) < 200
+
+
+def test_all_contained_items_are_found(spark):
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    squeezed = lambda t: " " + " ".join(decontaminate.plain_words(t)) + " "
+    items = {r["item_id"]: squeezed(r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()}
+    rare = {i: max(t.split(), key=len) for i, t in items.items()}
+    want = set()
+    for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist():
+        low = (r["text"] or "").lower()
+        near = [i for i in items if rare[i] in low]
+        own = squeezed(r["text"]) if near else ""
+        want |= {(r["doc_id"], i) for i in near if items[i] in own}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.op4_decontamination(spark, sf).collect()}
+    assert len(want) > 200 and want <= got
+
+
 def test_decontamination_in_parts_equals_one_pass(spark, docs, monkeypatch):
     items = spark.createDataFrame([(k, sentence(5 * (k % 4)) + " " + b) for k, b in enumerate(BASE)], "item_id long, text string")
     found = lambda: {(r["doc_id"], r["item_id"], round(r["score"], 6)) for r in decontaminate.leaks(docs, items).collect()}
@@ -238,6 +308,24 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.fit(none)).collect()} == {"und"}
 
 
+def test_language_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    got = language_id.op7_language_id(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", "lang_pred", "rejected", "text").collect()
+    assert len(got) > 2000 and sum(r["lang"] == r["lang_pred"] for r in got) >= 0.995 * len(got)
+    assert sum(r["rejected"] for r in got) < 0.02 * len(got)
+
+
+def test_language_of_odd_texts(spark):
+    rows = [(i, " ".join(RNG.choice(v) for _ in range(30)), k, "s", "", 0) for i in range(120) for k, v in (("xa", ["alba", "lana", "nala"]), ("yo", ["ytro", "roty", "tyro"]))]
+    model = language_id.fit(spark.createDataFrame(rows, COLUMNS))
+    odd = ["alba lana nala " * 20000, "a", "ALBA Nala", "alba nala", "alba nala", "漢字 だけ", "alba roty"]
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame([(k, t, None, "", "", 0) for k, t in enumerate(odd)], COLUMNS), model).collect()}
+    assert got[0]["lang_pred"] == "xa" and got[2][1:] == got[3][1:] == got[4][1:] and got[5]["lang_pred"] == "und" and got[5]["rejected"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    same = {"langs": ["b", "c"], "idf": model["idf"], "centroids": np.repeat(model["centroids"][:1], 2, 0), "of": np.array([0, 1]), "least": np.zeros(2)}
+    assert {r["lang_pred"] for r in language_id.predict(spark.createDataFrame([(1, "alba", None, "", "", 0)], COLUMNS), same).collect()} == {"b"}
+
+
 def word_ratios(rows, asked):
     """Log-likelihood ratios of words by plain counting of their beginnings in the words of each text."""
     count = [defaultdict(Counter), defaultdict(Counter)]
