@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class has an interpolated modified Kneser-Ney model of the characters of a word, given all of the word before
-them. Both classes back off to one model with the shared counts of both, of the same order: an expression that is rare
-favours a class by no more than what its discounted count says, and an unseen word is judged by the beginning that it
-shares with known ones. Counts are of documents that hold the word, so repetition within a text counts once. A text's
+them. Both classes back off, with one weight, to a model with the shared counts of both, of the same order: an
+expression that is rare favours a class by no more than what its discounted count says, what is unknown favours none,
+and an unseen word is judged by the beginning that it shares with known ones. Counts are of documents that hold the word, so repetition within a text counts once. A text's
 log-likelihood ratio is that of its 2, 4 and 8 most telling distinct words, and the mean of all; a logistic fit weighs
 these and normalises them by the logarithm of the number of words, as more words give larger maxima by chance. Its
 offset is moved so that ``THRESHOLD`` is where the fitted rows are told apart best (by F1). Words are lower-cased and
@@ -126,21 +126,20 @@ def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> str:
 
 
 def ratios(counts: DataFrame, folds: Iterable[int], folder: str) -> dict:
-    """Writes the models of the given folds' counts: log-likelihood ratios of all beginnings known, and of an unknown
-    one by what goes before it. Gives their shards."""
+    """Writes the models of the given folds' counts as log-likelihood ratios of all beginnings known (that of others
+    is 0). Gives their shards."""
     summed = lambda c: sum((F.col(f"{c}{k}") for k in folds), F.lit(0))
     pairs = materialise(counts.select("v", "w", summed("t").alias("t"), summed("o").alias("o"), (summed("t") + summed("o")).alias("s")).where("s > 0"), "toxicity-pairs")
     n = pairs.agg(*[x.alias(f"{c}{k}") for c in "tos" for k, x in enumerate(of_counts(c), 1)]).first()
     d = {c: discounts({f"n{k}": n[f"{c}{k}"] for k in (1, 2, 3, 4)}) for c in "tos"}
     cut = lambda c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[c][0]).when(F.col(c) == 2, d[c][1]).otherwise(d[c][2])
     contexts = materialise(pairs.groupBy("v").agg(*[F.sum(c).alias(f"n{c}") for c in "tos"], *[F.sum(cut(c)).alias(f"g{c}") for c in "tos"]), "toxicity-contexts")
-    # what a model leaves to the one below it, in a context; all if it doesn't know the context
-    left = lambda c: F.when(F.col(f"n{c}") > 0, F.col(f"g{c}") / F.col(f"n{c}")).otherwise(1.0)
+    # what a model leaves to the one below it, in a context; the same for both classes, so what is unknown favours none
+    left = lambda c: F.col(f"g{c}") / F.col(f"n{c}")
     shared = (F.col("s") - cut("s")) / F.col("ns") + left("s") * ANY_CHARACTER
-    p = lambda c: F.when(F.col(f"n{c}") > 0, (F.col(c) - cut(c)) / F.col(f"n{c}")).otherwise(0.0) + left(c) * F.col("shared")
+    p = lambda c: F.when(F.col(f"n{c}") > F.col(f"g{c}"), (F.col(c) - cut(c)) / (F.col(f"n{c}") - F.col(f"g{c}")) * (1 - left("s")) + left("s") * F.col("shared")).otherwise(F.col("shared"))
     known = pairs.join(contexts, "v").withColumn("shared", shared).select("w", (F.log(p("t")) - F.log(p("o"))).alias("ratio"))
-    new = contexts.select("v", (F.log(F.greatest(left("t"), F.lit(1e-3))) - F.log(F.greatest(left("o"), F.lit(1e-3)))).alias("ratio"))
-    shards = {"known": write_arrays(known, "w", {"ratio": "<f8"}, f"{folder}/known"), "new": write_arrays(new, "v", {"ratio": "<f8"}, f"{folder}/new")}
+    shards = {"known": write_arrays(known, "w", {"ratio": "<f8"}, f"{folder}/known")}
     discard(pairs, contexts)
     return shards
 
@@ -185,20 +184,13 @@ def features(folder: str) -> Callable[[pa.Array], np.ndarray]:
     fs, top = open_fs(folder)
     with fs.open_input_stream(f"{top}/model.json") as f:
         m = json.loads(f.read())
-    known, new = Arrays(f"{folder}/known", m["known"], "w", {"ratio": "<f8"}), Arrays(f"{folder}/new", m["new"], "v", {"ratio": "<f8"})
-
-    def looked_up(arrays: Arrays, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, at = np.unique(keys, return_inverse=True)
-        found = arrays.get(u)
-        return found["ratio"][at], found["there"][at]
+    known = Arrays(f"{folder}/known", m["known"], "w", {"ratio": "<f8"})
 
     def of(texts: pa.Array) -> np.ndarray:
         names, text, word = word_sets(texts)
-        at, before, own = beginnings(names)
-        ratio, there = looked_up(known, own)
-        away = np.flatnonzero(~there)
-        ratio[away] = looked_up(new, before[away])[0]  # 0 where the beginning isn't known either
-        ratio = np.bincount(at, ratio, len(names))[word]
+        at, _, own = beginnings(names)
+        own, place = np.unique(own, return_inverse=True)
+        ratio = np.bincount(at, known.get(own)["ratio"][place], len(names))[word]
         order = np.lexsort((-ratio, text))
         text, ratio = text[order], ratio[order]
         n = np.bincount(text, minlength=len(texts))

@@ -338,21 +338,27 @@ def word_ratios(rows, asked):
         for h, n in c.items():
             both[h].update(n)
 
-    def model(c, below):
+    def parts(c):
         cc = Counter(n for after in c.values() for n in after.values())
         d = kn_lm.discounts({f"n{k}": cc[k] for k in (1, 2, 3, 4)})
         cut = lambda n: 0 if not n else d[min(n, 3) - 1]
+        return lambda h, x: c[h][x] - cut(c[h][x]), lambda h: sum(map(cut, c[h].values()))
+
+    net, freed = parts(both)
+    left = lambda h: freed(h) / both[h].total()
+    shared = lambda h, x: net(h, x) / both[h].total() + left(h) / 64
+
+    def model(c):
+        own, lost = parts(c)
 
         def p(h, x):
-            if h not in c:
-                return below(h, x)
-            return (c[h][x] - cut(c[h][x]) + sum(map(cut, c[h].values())) * below(h, x)) / c[h].total()
+            rest = c[h].total() - lost(h)
+            return own(h, x) / rest * (1 - left(h)) + left(h) * shared(h, x) if rest > 0 else shared(h, x)
 
         return p
 
-    shared = model(both, lambda h, x: 1 / 64)
-    o, t = (model(c, shared) for c in count)
-    return [sum(math.log(t(w[:k], x) / o(w[:k], x)) for k, x in enumerate(w + "$") if w[:k] in both) for w in asked]
+    o, t = map(model, count)
+    return [sum(math.log(t(w[:k], x) / o(w[:k], x)) for k, x in enumerate(w + "$") if both[w[:k]][x]) for w in asked]
 
 
 def test_toxicity_ratios_equal_plain_counting(spark):
@@ -366,7 +372,7 @@ def test_toxicity_ratios_equal_plain_counting(spark):
         toxicity._save(folder, toxicity.ratios(counts, folds, folder))
         x = toxicity.features(folder)(pa.array([*asked, None, " ".join(asked)]))
         want = word_ratios([(t, y) for k, t, y in rows if k % 3 in folds], plain)
-        assert x[: len(asked), 0].tolist() == pytest.approx(want, abs=1e-9) and want[0] > max(1, want[4])
+        assert x[: len(asked), 0].tolist() == pytest.approx(want, abs=1e-9) and want[0] > 1 and want[5] == 0
         assert x[len(asked)].tolist() == [0] * 5
         own = sorted(set(zip(plain, want)), key=lambda r: -r[1])
         assert x[-1].tolist() == pytest.approx([*(sum(r for _, r in own[:k]) for k in (2, 4, 8)), sum(r for _, r in own) / len(own), math.log(len(own))])
