@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.operators.checks import named, ordinal
@@ -36,8 +36,10 @@ def upsert(log: DataFrame, order: str = "seq") -> DataFrame:
     return log.groupBy(*KEY).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_newest")).select(*KEY, "_newest.*")
 
 
-def latest_status(results: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("window_end", "status", "value", "threshold"), F.col("window_end"))
+def latest_status(results: DataFrame, order: str = "window_start") -> DataFrame:
+    """The newest row of each series: the latest window end, of rows with one end the last by ``order`` (the sequence
+    in which they were written, where there is one)."""
+    newest = F.max_by(F.struct("window_end", "status", "value", "threshold"), F.struct("window_end", order, ordinal(F.col("status"))))
     return results.groupBy(*SERIES).agg(newest.alias("_newest")).select(*SERIES, "_newest.*")
 
 
@@ -51,9 +53,11 @@ def topic_health(latest: DataFrame, now: Column, stale_s: int = 300) -> DataFram
 
 
 def status_gauge(results: DataFrame) -> DataFrame:
-    """Ordinal of each series in its topic's newest window; 0 for a series without a row there."""
-    newest = results.withColumn("_last", F.max("window_end").over(Window.partitionBy("topic")))
-    return newest.groupBy(*SERIES).agg(F.coalesce(F.max(F.when(F.col("window_end") == F.col("_last"), ordinal(F.col("status")))), F.lit(0)).alias("gauge"))
+    """Ordinal of each series in its topic's newest window; 0 for a series without a row there. Both sides are
+    aggregates, so no task holds a topic's rows."""
+    series = results.groupBy(*SERIES).agg(F.max(F.struct("window_end", ordinal(F.col("status")).alias("state"))).alias("_newest"))
+    last = series.groupBy(F.col("topic").alias("_topic")).agg(F.max("_newest.window_end").alias("_last"))
+    return series.join(last, F.col("topic").eqNullSafe(F.col("_topic"))).select(*SERIES, F.when(F.col("_newest.window_end") == F.col("_last"), F.col("_newest.state")).otherwise(0).alias("gauge"))
 
 
 def purge(table: DataFrame, column: str, now: Column, days: int) -> DataFrame:

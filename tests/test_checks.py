@@ -1,4 +1,6 @@
-"""Golden cases of the checks, baselines and configuration."""
+"""The checks, baselines and configuration against formulas worked out here."""
+
+import random
 
 import pytest
 
@@ -10,77 +12,131 @@ from sluicegate.sources.topics import TopicLister, listed_topics, preflight, top
 V, C, T, S = (checks.DEFAULTS[k] for k in ("volume", "cardinality", "type_drift", "schema_drift"))
 
 
-def test_volume():
-    v = checks.volume(50, 10, [], None, V)
-    assert (v.value, v.status, v.threshold, v.details["warming_up"]) == (5.0, "ok", 0.0, True)
-    ten = [10.0] * 5
-    assert [(round(x.threshold, 6), x.status) for x in (checks.volume(n, 10, ten, None, V) for n in (90, 60, 20))] == [(0.0, "ok"), (7.0, "warn"), (4.0, "fail")]
-    assert checks.volume(1000, 10, ten, None, V).status == "ok"
-    assert checks.volume(0, 10, [], None, V).status == "fail" and checks.volume(0, 10, [], None, V).threshold == 0
-    assert checks.volume(0, 10, ten, None, V | {"fail_on_zero": False}).status == "fail"
-    assert checks.volume(60, 10, [1.0] * 5, [10.0], V).status == "warn" and checks.volume(60, 10, ten, [6.0], V).status == "ok"
+def level(x, warn, fail):
+    return ["ok", "warn", "fail"][(x > warn) + (x > fail)]
+
+
+@pytest.mark.parametrize("rate", [0.0, 1.2, 2.6, 2.9, 4.8, 5.1, 7.0, 55.0])
+def test_volume_against_history(rate):
+    history = [6.0, 7.0, 8.0, 7.0, 7.0, 7.0]
+    v = checks.volume(round(rate * 20), 20, history, None, V)
+    drop = max(0.0, 100 * (1 - rate / 7))
+    status = "fail" if rate == 0 else level(drop, 30, 60)
+    assert v.status == status and v.value == pytest.approx(rate) and v.sample == v.value
+    assert v.threshold == pytest.approx({"ok": 0.0, "warn": 7 * 0.7, "fail": 7 * 0.4}[status])
+    assert v.details["drop_pct"] == round(drop, 1) and v.details["baseline_source"] == "recent" and not v.details["warming_up"]
+
+
+def test_volume_without_history_and_with_a_season():
+    few = checks.volume(3, 20, [9.0] * 4, None, V)
+    assert (few.status, few.threshold, few.details["warming_up"]) == ("ok", 0.0, True)
+    assert checks.volume(0, 20, [], None, V).status == "fail" and checks.volume(0, 20, [], None, V | {"fail_on_zero": False}).status == "ok"
+    busy, quiet = [30.0] * 9, [12.0, 14.0]
+    assert checks.volume(200, 20, busy, None, V).status == "fail" and checks.volume(200, 20, busy, quiet, V).status == "ok"
+    seasonal = checks.volume(80, 20, quiet, busy, V)
+    assert seasonal.status == "fail" and seasonal.threshold == pytest.approx(12.0) and seasonal.details["baseline_source"] == "seasonal"
 
 
-def test_cardinality_and_types():
-    assert [checks.cardinality(n, [100.0] * 5, C).status for n in (110, 250, 1000, 15)] == ["ok", "warn", "fail", "fail"]
-    assert checks.cardinality(15, [100.0] * 5, C).details["direction"] == "down" and checks.cardinality(40, [3.0] * 5, C).status == "ok"
-    assert (round(checks.type_drift([20, 80, 0, 0, 0], [], T).value, 6), checks.type_drift([20, 80, 0, 0, 0], [], T).status) == (0.2, "fail")
-    assert checks.type_drift([3, 97, 0, 0, 0], [], T).status == "warn" and checks.type_drift([0] * 5, [], T) is None
-    learned = checks.type_drift([100, 0, 0, 0, 0], [1.0] * 5, T)
-    assert (learned.value, learned.status, learned.sample) == (1.0, "fail", 0.0)
+@pytest.mark.parametrize(("estimate", "mean"), [(37, 40), (19, 40), (81, 40), (7, 40), (201, 40), (300, 9), (25, 40), (0, 40)])
+def test_cardinality(estimate, mean):
+    v = checks.cardinality(float(estimate), [mean - 4.0, mean + 4.0, float(mean), float(mean), float(mean)], C)
+    factor = max(estimate / mean, mean / max(estimate, 1)) if mean >= 10 else 1.0
+    assert v.status == level(factor, 2, 5) and v.details["factor"] == round(factor, 2) and v.threshold == {"ok": 0, "warn": 2, "fail": 5}[v.status]
+    assert mean < 10 or v.details["direction"] == ("up" if estimate >= mean else "down")
+    assert checks.cardinality(float(estimate), [float(mean)] * 4, C).status == "ok"
+
+
+def test_type_drift():
+    tag = {t: k for k, t in enumerate(checks.TAGS)}
+
+    def counts(**n):
+        return [n.get(t, 0) for t in checks.TAGS]
+
+    for strings, numbers in ((0, 50), (1, 249), (4, 196), (30, 120), (120, 30)):
+        v = checks.type_drift(counts(string=strings, number=numbers), [], T)
+        off = min(strings, numbers) / (strings + numbers)
+        assert v.value == pytest.approx(off) and v.status == level(off, 0.01, 0.10) and v.sample == tag["number" if numbers > strings else "string"]
+    learned = [float(tag["boolean"])] * 6 + [float(tag["string"])] * 3
+    v = checks.type_drift(counts(string=18, boolean=2), learned, T)
+    assert v.value == pytest.approx(0.9) and v.status == "fail" and v.details["baseline"] == "boolean" and v.sample == tag["string"]
+    assert checks.type_drift(counts(), learned, T) is None
 
 
 def test_schema_drift():
-    known, five = {"id": [1.0] * 5, "amount": [1.0] * 5}, [0.0] * 5
-    judge = lambda keys: checks.schema_drift(keys, 100, five, known, S)
-    both = {"id": 100, "amount": 100}
-    assert judge(both | {"currency_v2": 100}).details["appeared"] == ["currency_v2"] and judge(both | {"x": 100}).status == "warn"
-    assert judge({"id": 100}).details["disappeared"] == ["amount"] and judge({"id": 100}).extra["amount"] == 0.0
-    assert judge(both | {k: 100 for k in "abcd"}).status == "fail" and judge(both | {"rare": 1}).status == "ok"
-
-
-def test_learning():
-    s, kept = 0, 0
-    for _ in range(40):
-        s = baseline.streak(s, "fail")
-        kept += baseline.learns("fail", s, 30)
-    assert kept == 10 and baseline.streak(5, "ok") == 0
-    cycles = []
-    for c, x in ((10, 4.0), (10, 6.0), (11, 100.0)):
-        cycles = baseline.season_push(cycles, c, x, 7)
-    assert baseline.season_prior(cycles, 11) == [5.0]
-    for c in range(10):
-        cycles = baseline.season_push(cycles if c else [], c, float(c), 3)
-    assert [c[0] for c in cycles] == [7, 8, 9]
-    rows = [{"check_type": "volume", "n": n, "start_ms": i} for i, n in enumerate([100] * 6 + [20] * 6)]
-    whole, _ = baseline.fold(rows, V, 10, 30, 4)
-    half, state = baseline.fold(rows[:7], V, 10, 30, 4)
-    rest, _ = baseline.fold(rows[7:], V, 10, 30, 4, state)
-    assert [v.status for _, v in whole] == [v.status for _, v in half + rest]
-    assert [v.status for _, v in whole][6:11] == ["fail"] * 5
+    known = {"sku": [1.0] * 6, "price": [0.9, 1.0, 0.8, 0.9, 1.0], "memo": [0.2] * 6}
+    judge = lambda keys, p=S: checks.schema_drift(keys, 400, [0.0] * 6, known, p)
+    usual = {"sku": 400, "price": 380}
+    assert judge(usual).status == "ok" and judge(usual).extra["memo"] == 0.0 and judge(usual).extra["price"] == 0.95
+    more = judge(usual | {"coupon": 20, "blip": 19})
+    assert more.details["appeared"] == ["coupon"] and more.status == "warn" and more.value == 1
+    less = judge({"sku": 400, "price": 3})
+    assert less.details["disappeared"] == ["price"] and less.status == "warn"
+    assert judge({"price": 400, "x1": 400, "x2": 300, "x3": 200}).status == "fail"
+    assert checks.schema_drift(usual, 400, [0.0] * 4, {}, S).status == "ok" and checks.schema_drift({}, 0, [0.0] * 6, known, S) is None
+
+
+def test_seasons_by_plain_grouping():
+    rng, cycles, seen, keep = random.Random(7), [], {}, 4
+    for cycle in range(3, 12):
+        assert baseline.season_prior(cycles, cycle) == pytest.approx([sum(seen[c]) / len(seen[c]) for c in sorted(seen)[-keep:]])
+        for _ in range(rng.randint(0, 3)):
+            x = rng.random()
+            seen.setdefault(cycle, []).append(x)
+            cycles = baseline.season_push(cycles, cycle, x, keep)
+    hour = 3_600_000
+    assert baseline.slot_and_cycle(50 * hour + 17, "daily") == (2, 2) and baseline.slot_and_cycle(170 * hour, "weekly") == (2, 1)
+
+
+def test_fold_learns_from_healthy_windows_only():
+    """A plain simulation of a volume series with drops of all lengths; and the fold goes on from its own state."""
+    rng = random.Random(9)
+    counts = [rng.choice([60, 66, 72, 20, 20, 0, 40]) if rng.random() < 0.4 else 66 for _ in range(150)] + [25] * 30
+    for size, after in ((6, 3), (30, 8)):
+        kept, bad, want = [], 0, []
+        for n in counts:
+            base = sum(kept) / len(kept) if kept else 0
+            drop = 100 * max(0, 1 - n / 12 / base) if len(kept) >= 5 and base > 0 else 0
+            status = "fail" if n == 0 else level(drop, 30, 60)
+            bad = 0 if status == "ok" else bad + 1
+            if status == "ok" or bad > after:
+                kept = [*kept, n / 12][-size:]
+            want.append(status)
+        rows = [{"check_type": "volume", "n": n, "start_ms": i} for i, n in enumerate(counts)]
+        whole, _ = baseline.fold(rows, V, 12, size, after)
+        assert [v.status for _, v in whole] == want and {"ok", "warn", "fail"} == set(want)
+        state, parts = None, []
+        for k in range(0, len(rows), 17):
+            out, state = baseline.fold(rows[k : k + 17], V, 12, size, after, state)
+            parts += [v.status for _, v in out]
+        assert parts == want
 
 
 def test_configuration():
-    t = Thresholds.parse("{defaults: {null_rate: {warn: 0.1}}, topics: {a: {null_rate: {warn: 0.2}, fields: {f: {required: true, null_rate: {warn: 0.3}}}}}}")
-    assert [t.get("a", "null_rate", "warn", 0.05, "f"), t.get("a", "null_rate", "warn", 0.05, "g"), t.get("b", "null_rate", "warn", 0.05), t.get("b", "null_rate", "fail", 0.2)] == [0.3, 0.2, 0.1, 0.2]
-    assert t.required("a", "f") and not t.cardinality("a", "f") and t.window_ms == 60000 and t.disorder_ms == 10000 and t.event_time_field == "ts" and t.rebaseline_after == 30
-    assert [duration_ms(x) for x in ("500ms", "30s", "2m", "1h")] == [500, 30000, 120000, 3600000]
-    with pytest.raises(ValueError):
-        duration_ms("5d")
-    assert expand_env("${env:A:-x}/${env:B}", {"B": "y"}) == "x/y"
+    t = Thresholds.parse("{history_windows: 12, defaults: {freshness: {warn_p95_ms: 900}, null_rate: {fail: 0.4}}, topics: {web: {null_rate: {fail: 0.6, warn: 0.15}, fields: {url: {required: true, cardinality: true, null_rate: {warn: 0.02}}, ref: {}}}}}")
+    asked = [("web", "url", "warn"), ("web", "ref", "warn"), ("web", "url", "fail"), ("app", "url", "fail"), ("app", "url", "warn")]
+    assert [t.get(topic, "null_rate", key, 0.07, name) for topic, name, key in asked] == [0.02, 0.15, 0.6, 0.4, 0.07]
+    assert t.get("web", "freshness", "warn_p95_ms", 1) == 900 and t.history_windows == 12
+    assert t.required("web", "url") and not t.required("web", "ref") and t.cardinality("web", "url") and not t.cardinality("app", "url")
+    plain = Thresholds.parse("{}")
+    assert (plain.window_ms, plain.disorder_ms, plain.event_time_field, plain.rebaseline_after) == (60_000, 10_000, "ts", 30)
+    assert [duration_ms(x) for x in ("250ms", "45s", "7m", "3h")] == [250, 45_000, 420_000, 10_800_000]
+    for wrong in ("2w", "fast", "-1s"):
+        with pytest.raises(ValueError):
+            duration_ms(wrong)
+    assert expand_env("${env:HOST:-local}:${env:PORT}", {"PORT": "80"}) == "local:80"
     with pytest.raises(KeyError):
-        expand_env("${env:A}", {})
-    assert load_properties("sq.a=1\n# no\nbootstrap.servers=${env:H:-h}", {}) == ({"sq.a": "1"}, {"bootstrap.servers": "h"})
-    assert is_transient("08006") and is_transient(None) and not is_transient("23505")
+        expand_env("${env:PORT}", {})
+    assert load_properties("# comment\nsq.window=5\n\nclient.id=${env:ID:-me}", {"ID": "you"}) == ({"sq.window": "5"}, {"client.id": "you"})
+    assert [is_transient(x) for x in ("57P01", "40001", None, "22003", "42P01")] == [True, True, True, False, False]
 
 
 def test_topics():
     import re
 
-    p = re.compile(topic_pattern("ev[.].*", "ev[.]s.*", "ev.dlq"))
-    assert [bool(p.fullmatch(t)) for t in ("ev.a", "ev.sx", "ev.dlq", "ev.dlq2", "xev.a")] == [True, False, False, True, False]
-    assert listed_topics(" a, ,b", ["c"]) == ["a", "b"] and listed_topics("", ["c"]) == ["c"]
-    answers = [["b", "a", "x1"], OSError()]
+    p = re.compile(topic_pattern("(web|app)_.*", ".*_tmp", "web_dead"))
+    assert [t for t in ("web_hits", "app_hits_tmp", "web_dead", "web_dead2", "my_web_hits", "app_x") if p.fullmatch(t)] == ["web_hits", "web_dead2", "app_x"]
+    assert listed_topics("web_hits,,  app_x ", ["z"]) == ["web_hits", "app_x"] and listed_topics(" , ", ["z"]) == ["z"]
+    answers = [["q9", "q3", "other"], OSError(), ["q4"]]
 
     def listing():
         a = answers.pop(0)
@@ -88,7 +144,8 @@ def test_topics():
             raise a
         return a
 
-    lister = TopicLister(listing, "[a-z]", 1)
-    assert lister.refresh(0) == ["a"] and lister.refresh(10) == ["a"] and lister.refresh(60_000) == ["a"] and not answers
+    lister = TopicLister(listing, "q[0-9]", 2)
+    assert lister.refresh(0) == lister.refresh(1_000) == ["q3", "q9"] and len(answers) == 2
+    assert lister.refresh(120_000) == ["q3", "q9"] and not answers[1:]  # a failed listing changes nothing
     with pytest.raises(ValueError):
-        preflight(["a"], ["a", "b"])
+        preflight(["web_hits"], ["web_hits", "app_x"])
