@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicegate.config import Thresholds
@@ -62,20 +62,27 @@ def empty_state() -> dict:
     return {"history": [], "streak": 0, "seasonal": {}, "known": {}}
 
 
+def _judge_volume(row: dict, state: dict, p: dict, window_s: float) -> Verdict:
+    prior = None
+    if p["seasonality"] in SEASONS:
+        slot, cycle = slot_and_cycle(row["start_ms"], p["seasonality"])
+        prior = season_prior(state["seasonal"].get(str(slot), []), cycle)
+        prior = prior if prior and len(prior) >= p["seasonal_min_cycles"] else None
+    return checks.volume(int(row["n"]), window_s, state["history"], prior, p)
+
+
+#: How each check with a history judges a row of its series; a new one is added here, to ``SAMPLES`` and to
+#: ``checks.DEFAULTS``.
+JUDGES = {
+    "volume": _judge_volume,
+    "cardinality": lambda row, state, p, window_s: checks.cardinality(row["estimate"], state["history"], p),
+    "type_drift": lambda row, state, p, window_s: checks.type_drift([int(c) for c in row["tags"]], state["history"], p),
+    "schema_drift": lambda row, state, p, window_s: checks.schema_drift({k: int(c) for k, c in dict(row["keys"] or {}).items()}, int(row["n"]), state["history"], state["known"], p),
+}
+
+
 def judge(row: dict, state: dict, p: dict, window_s: float) -> Verdict | None:
-    check = row["check_type"]
-    if check == "volume":
-        prior = None
-        if p["seasonality"] in SEASONS:
-            slot, cycle = slot_and_cycle(row["start_ms"], p["seasonality"])
-            prior = season_prior(state["seasonal"].get(str(slot), []), cycle)
-            prior = prior if prior and len(prior) >= p["seasonal_min_cycles"] else None
-        return checks.volume(int(row["n"]), window_s, state["history"], prior, p)
-    if check == "cardinality":
-        return checks.cardinality(row["estimate"], state["history"], p)
-    if check == "type_drift":
-        return checks.type_drift([int(c) for c in row["tags"]], state["history"], p)
-    return checks.schema_drift({k: int(c) for k, c in dict(row["keys"] or {}).items()}, int(row["n"]), state["history"], state["known"], p)
+    return JUDGES[row["check_type"]](row, state, p, window_s)
 
 
 def fold(rows: Iterable[dict], p: dict, window_s: float, history_windows: int, rebaseline_after: int, state: dict | None = None) -> tuple[list[tuple[dict, Verdict]], dict]:
@@ -98,22 +105,27 @@ def fold(rows: Iterable[dict], p: dict, window_s: float, history_windows: int, r
     return out, state
 
 
-def samples(windows: DataFrame, keys: DataFrame | None, fields: list[str], distinct_fields: list[str]) -> DataFrame:
-    """The rows that series are made of, for all checks with a history."""
-    none = {"estimate": F.lit(None).cast("double"), "tags": F.lit(None).cast("array<bigint>"), "keys": F.lit(None).cast("map<string,bigint>")}
-
-    def rows(check: str, name: str, source: DataFrame, when: Column, **own: Column) -> DataFrame:
-        return source.where(when).select("topic", F.lit(check).alias("check_type"), F.lit(name).alias("field"), F.col("window_start").cast("timestamp").alias("window_start"), F.col("n").cast("long").alias("n"), *[own.get(k, v).alias(k) for k, v in none.items()])
-
-    out = rows("volume", "", windows, F.lit(True))
-    for f in distinct_fields:
-        out = out.unionByName(rows("cardinality", f, windows, F.col(f"present_{f}") > 0, estimate=F.col(f"distinct_{f}").cast("double")))
-    for f in fields:
-        counts = [F.coalesce(F.col(f"{t}_{f}"), F.lit(0)).cast("long") for t in TAGS]
-        out = out.unionByName(rows("type_drift", f, windows, F.col(f"present_{f}") > 0, tags=F.array(*counts)))
-    if keys is not None:
-        out = out.unionByName(rows("schema_drift", "", windows.join(keys, ["topic", "window_start"]), F.col("n") > 0, keys=F.col("keys").cast("map<string,bigint>")))
-    return out
+#: Of each check with a history: the kind of name its series have, when a window is a row of it, and what the row holds.
+SAMPLES = {
+    "volume": ("", lambda f: F.lit(True), lambda f: {}),
+    "cardinality": ("distinct", lambda f: F.col(f"present_{f}") > 0, lambda f: {"estimate": F.col(f"distinct_{f}").cast("double")}),
+    "type_drift": ("field", lambda f: F.col(f"present_{f}") > 0, lambda f: {"tags": F.array(*[F.coalesce(F.col(f"{t}_{f}"), F.lit(0)).cast("long") for t in TAGS])}),
+    "schema_drift": ("keys", lambda f: (F.col("decoded") > 0) & F.col("keys").isNotNull(), lambda f: {"n": F.col("decoded"), "keys": F.col("keys").cast("map<string,bigint>")}),
+}
+
+
+def samples(windows: DataFrame, fields: list[str], distinct_fields: list[str], only: list[str] | None = None) -> DataFrame:
+    """The rows that series are made of, for all checks with a history (or ``only`` some); the windows are read once.
+    Schema drift needs a column ``keys`` (a map of counts)."""
+    names = {"": [""], "distinct": distinct_fields, "field": fields, "keys": [""] if "keys" in windows.columns else []}
+    rows = []
+    for check, (kind, when, own) in SAMPLES.items():
+        for f in names[kind] if only is None or check in only else []:
+            values = {"n": F.col("n"), "estimate": F.lit(None), "tags": F.lit(None), "keys": F.lit(None)} | own(f)
+            typed = [values[k].cast(t).alias(k) for k, t in (("n", "long"), ("estimate", "double"), ("tags", "array<bigint>"), ("keys", "map<string,bigint>"))]
+            rows.append(F.when(when(f), F.struct(F.lit(check).alias("check_type"), F.lit(f).alias("field"), *typed)))
+    kept = F.filter(F.array(*rows), lambda x: x.isNotNull())
+    return windows.select("topic", F.col("window_start").cast("timestamp").alias("window_start"), F.explode(kept).alias("r")).select("topic", "r.check_type", "r.field", "window_start", "r.n", "r.estimate", "r.tags", "r.keys")
 
 
 def judged(series: DataFrame, thresholds: Thresholds, window_s: float) -> DataFrame:

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.config import Thresholds
@@ -30,41 +31,78 @@ def named(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, STATUSES)), (rank + 1).cast("int"))
 
 
-def _per_topic(thresholds: Thresholds, topics: list[str], check: str, key: str, default, name: str | None = None) -> Column:
-    """A threshold as a column: literals for the topics whose value is their own, else the default's."""
-    common = thresholds.get("", check, key, default)
-    out = F.lit(common)
-    for t in topics:
-        own = thresholds.get(t, check, key, default, name)
-        if own != common:
-            out = F.when(F.col("topic") == t, F.lit(own)).otherwise(out)
-    return out
+@dataclass(frozen=True)
+class PlainCheck:
+    """A check without memory over a window's statistics: a value that is judged by two thresholds. One for each field
+    (``name`` is its name) or one for the topic (``name`` is empty). Adding one to ``PLAIN`` is all that it takes."""
 
+    per_field: bool
+    warn: tuple[str, float]
+    fail: tuple[str, float]
+    when: Callable[[str], Column]
+    value: Callable[[str], Column]
+    details: Callable[[str], dict[str, Column]]
 
-def _rows(windows: DataFrame, check: str, name: str, value: Column, warn: Column, fail: Column, when: Column) -> DataFrame:
-    judged = windows.where(when).select("topic", F.lit(name).alias("field"), F.lit(check).alias("check_type"), "window_start", value.cast("double").alias("value"), warn.cast("double").alias("_warn"), fail.cast("double").alias("_fail"))
-    judged = judged.withColumn("status", status_of(F.col("value"), F.col("_warn"), F.col("_fail")))
-    return judged.withColumn("threshold", F.when(F.col("status") == "fail", F.col("_fail")).otherwise(F.col("_warn"))).drop("_warn", "_fail")
 
+def _details_of_lags(name: str) -> dict[str, Column]:
+    return {f"{k}_ms": F.round(F.col(f"{k}_ms")).cast("long") for k in ("p50", "p95", "p99", "max")} | {"n": F.col("measured"), "future_timestamps": F.col("future")}
 
-def null_rate(windows: DataFrame, t: Thresholds, topics: list[str], name: str) -> DataFrame:
-    rate = (F.col("n") - F.col(f"present_{name}")) / F.col("n")
-    return _rows(windows, "null_rate", name, rate, _per_topic(t, topics, "null_rate", "warn", 0.05, name), _per_topic(t, topics, "null_rate", "fail", 0.20, name), F.col("n") > 0)
 
+def _type_counts(name: str) -> list[Column]:
+    return [F.coalesce(F.col(f"{tag}_{name}"), F.lit(0)) for tag in TAGS]
 
-def freshness(windows: DataFrame, t: Thresholds, topics: list[str]) -> DataFrame:
-    return _rows(windows, "freshness", "", F.col("p95_ms"), _per_topic(t, topics, "freshness", "warn_p95_ms", 30000), _per_topic(t, topics, "freshness", "fail_p95_ms", 120000), F.col("measured") > 0)
+
+#: Names of checks, thresholds and details are fixed values.
+PLAIN = {
+    "null_rate": PlainCheck(True, ("warn", 0.05), ("fail", 0.20), lambda f: F.col("decoded") > 0, lambda f: (F.col("decoded") - F.col(f"present_{f}")) / F.col("decoded"), lambda f: {"nulls": F.col("decoded") - F.col(f"present_{f}"), "total": F.col("decoded")}),
+    "freshness": PlainCheck(False, ("warn_p95_ms", 30000), ("fail_p95_ms", 120000), lambda f: F.col("measured") > 0, lambda f: F.col("p95_ms"), _details_of_lags),
+    "structural": PlainCheck(False, ("warn", 0.0), ("fail", 0.01), lambda f: F.col("checked") > 0, lambda f: F.col("invalid") / F.col("checked"), lambda f: {k: F.col(k) for k in ("checked", "invalid", "skipped")} | {"top_errors": F.col("errors")}),
+    "type_drift": PlainCheck(True, ("warn", 0.01), ("fail", 0.10), lambda f: sum(_type_counts(f)) > 0, lambda f: 1 - F.greatest(*_type_counts(f)) / sum(_type_counts(f)), lambda f: {}),
+}
+
+
+def threshold_table(spark: SparkSession, t: Thresholds, names: dict[str, list[str]]) -> DataFrame:
+    """(topic, check_type, field, warn, fail, required) of the topics that the thresholds name; small."""
+    rows = [(topic, check, f, float(t.get(topic, check, *PLAIN[check].warn, f or None)), float(t.get(topic, check, *PLAIN[check].fail, f or None)), bool(f) and t.required(topic, f)) for topic in t.topics for check, own in names.items() for f in own]
+    return spark.createDataFrame(rows, "_topic string, _check string, _field string, _warn double, _fail double, _required boolean")
+
+
+def plain_rows(windows: DataFrame, t: Thresholds, fields: list[str], names: tuple[str, ...] = ("null_rate", "freshness", "structural")) -> DataFrame:
+    """Rows of all named checks without memory: the windows are read once, thresholds come by a broadcast join."""
+    if "errors" not in windows.columns:
+        windows = windows.withColumn("errors", F.lit(None).cast("map<string,bigint>"))
+    wanted = {n: fields if PLAIN[n].per_field else [""] for n in names}
+    entries = []
+    for n, own in wanted.items():
+        for f in own:
+            check = PLAIN[n]
+            details = check.details(f)
+            entries.append(F.when(check.when(f), F.struct(F.lit(f).alias("field"), F.lit(n).alias("check_type"), check.value(f).cast("double").alias("value"), (F.to_json(F.struct(*[c.alias(k) for k, c in details.items()])) if details else F.lit("{}")).alias("details"))))
+    rows = windows.select("topic", "window_start", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("r")).select("topic", "r.field", "r.check_type", "window_start", "r.value", "r.details")
+    table = F.broadcast(threshold_table(windows.sparkSession, t, wanted))
+    joined = rows.join(table, (F.col("topic") == F.col("_topic")) & (F.col("check_type") == F.col("_check")) & (F.col("field") == F.col("_field")), "left")
+    common = lambda part: F.element_at(F.create_map(*[x for n in names for x in (F.lit(n), F.lit(float(t.get("", n, *getattr(PLAIN[n], part)))))]), F.col("check_type"))
+    warn, fail = F.coalesce("_warn", common("warn")), F.coalesce("_fail", common("fail"))
+    status = status_of(F.col("value"), warn, fail)
+    required = F.concat(F.expr("substring(details, 1, length(details) - 1)"), F.lit(',"required":'), F.coalesce("_required", F.lit(False)).cast("string"), F.lit("}"))
+    return joined.select("topic", "field", "check_type", "window_start", "value", F.when(status == "fail", fail).otherwise(warn).alias("threshold"), status.alias("status"), F.when(F.col("check_type") == "null_rate", required).otherwise(F.col("details")).alias("details"))
+
+
+def null_rate(windows: DataFrame, t: Thresholds, name: str) -> DataFrame:
+    return plain_rows(windows, t, [name], ("null_rate",))
+
+
+def freshness(windows: DataFrame, t: Thresholds) -> DataFrame:
+    return plain_rows(windows, t, [], ("freshness",))
 
 
-def structural(windows: DataFrame, t: Thresholds, topics: list[str]) -> DataFrame:
-    return _rows(windows, "structural", "", F.col("invalid") / F.col("checked"), _per_topic(t, topics, "structural", "warn", 0.0), _per_topic(t, topics, "structural", "fail", 0.01), F.col("checked") > 0)
+def structural(windows: DataFrame, t: Thresholds) -> DataFrame:
+    return plain_rows(windows, t, [], ("structural",))
 
 
-def type_drift_cold(windows: DataFrame, t: Thresholds, topics: list[str], name: str) -> DataFrame:
+def type_drift_cold(windows: DataFrame, t: Thresholds, name: str) -> DataFrame:
     """Type drift of a window against its own most frequent type, as before any history."""
-    counts = [F.col(f"{tag}_{name}") for tag in TAGS]
-    n = sum(counts[1:], counts[0])
-    return _rows(windows, "type_drift", name, 1 - F.greatest(*counts) / n, _per_topic(t, topics, "type_drift", "warn", 0.01, name), _per_topic(t, topics, "type_drift", "fail", 0.10, name), n > 0)
+    return plain_rows(windows, t, [name], ("type_drift",))
 
 
 # ---- checks with a history: plain functions over one series, run by operators.baseline ----
@@ -79,8 +117,8 @@ class Verdict:
     details: dict = field(default_factory=dict)
     extra: dict[str, float] = field(default_factory=dict)  # further samples by key
 
-    def details_json(self) -> str | None:
-        return None if self.status == "ok" else json.dumps(self.details, separators=(",", ":"))
+    def details_json(self) -> str:
+        return json.dumps(self.details, separators=(",", ":"))
 
 
 def classify(value: float, warn: float, fail: float) -> str:

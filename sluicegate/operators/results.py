@@ -22,10 +22,10 @@ def finite(x: Column) -> Column:
 
 
 def result_rows(judged: DataFrame, size_s: int, job_id: str) -> DataFrame:
-    """Rows of the results table; details of ok rows are dropped, baseline and percentiles come from the details."""
+    """Rows of the results table; details of ok rows are dropped, baseline and percentiles come from all details."""
     detail = lambda k: F.try_variant_get(F.try_parse_json("details"), f"$.{k}", "double")
-    return judged.withColumn("details", F.when(F.col("status") != "ok", F.col("details"))).select(
-        *SERIES, "window_start", (F.col("window_start") + F.expr(f"INTERVAL {size_s} SECONDS")).alias("window_end"), finite(F.col("value")).alias("value"), finite(F.col("threshold")).alias("threshold"), "status", "details",
+    return judged.select(
+        *SERIES, "window_start", (F.col("window_start") + F.expr(f"INTERVAL {size_s} SECONDS")).alias("window_end"), finite(F.col("value")).alias("value"), finite(F.col("threshold")).alias("threshold"), "status", F.when(F.col("status") != "ok", F.col("details")).alias("details"),
         F.coalesce(detail("baseline_rate"), detail("baseline")).alias("baseline"), detail("p50_ms").alias("p50_ms"), detail("p99_ms").alias("p99_ms"), F.lit(job_id).alias("job_id"),
     )
 

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.config import Thresholds
-from sluicegate.operators import baseline, checks, parse, results, windows
+from sluicegate.operators import baseline, checks, decode, parse, results, windows
 from sluicegate.plans import alerts, analytics
 from sluicegate.sources import records as record_sources
 from sluicegate.sources import topics
 from sluicegate.sources.fixtures import DUCK_RECORDS, event_records
+from sluicegate.sources.registry import schema_table
 from sluicegate.streaming.monitor import consumer_delay
 
 SIZE_S = 6 * 3600
@@ -155,12 +156,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("null_rate_windows", _check_sql("(count(*) - count(amount)) / count(*)::DOUBLE", "CASE WHEN topic = 'ev.view' THEN 0.10 ELSE 0.05 END", "0.20", "null_rate", "amount", "count(*) > 0"))
 def null_rate_windows(spark, sf_dir):
-    return _rounded(checks.null_rate(stats(spark, sf_dir), THRESHOLDS, THRESHOLDS.topics, "amount"))
+    return _rounded(checks.null_rate(stats(spark, sf_dir), THRESHOLDS, "amount"))
 
 
 @query("null_rate_precedence", _check_sql("(count(*) - count(user_id)) / count(*)::DOUBLE", "CASE topic WHEN 'ev.click' THEN 0.30 WHEN 'ev.view' THEN 0.10 ELSE 0.05 END", "CASE WHEN topic = 'ev.click' THEN 0.50 ELSE 0.20 END", "null_rate", "user_id", "count(*) > 0"))
 def null_rate_precedence(spark, sf_dir):
-    return _rounded(checks.null_rate(stats(spark, sf_dir), THRESHOLDS, THRESHOLDS.topics, "user_id"))
+    return _rounded(checks.null_rate(stats(spark, sf_dir), THRESHOLDS, "user_id"))
 
 
 @query("cardinality_exact", DUCK_PARSED + "SELECT topic, window_start, count(DISTINCT user_id) AS distinct_users FROM good GROUP BY ALL")
@@ -182,12 +183,12 @@ def freshness_percentiles(spark, sf_dir):
 
 @query("freshness_check", _check_sql("CAST(quantile_disc(late, 0.95) AS DOUBLE)", "30000", "120000", "freshness", "", "count(late) > 0"))
 def freshness_check(spark, sf_dir):
-    return _rounded(checks.freshness(stats(spark, sf_dir), THRESHOLDS, THRESHOLDS.topics))
+    return _rounded(checks.freshness(stats(spark, sf_dir), THRESHOLDS))
 
 
 @query("structural_rates", _check_sql("count(error) / count(*)::DOUBLE", "0", "0.01", "structural", "", "count(*) > 0"))
 def structural_rates(spark, sf_dir):
-    return _rounded(checks.structural(stats(spark, sf_dir), THRESHOLDS, THRESHOLDS.topics))
+    return _rounded(checks.structural(stats(spark, sf_dir), THRESHOLDS))
 
 
 @query("structural_top_errors", DUCK_PARSED + "SELECT topic, window_start, error, count(*) AS c FROM good WHERE error IS NOT NULL GROUP BY ALL")
@@ -202,7 +203,7 @@ def type_mix(spark, sf_dir):
 
 @query("type_drift_cold", _check_sql("1 - greatest(count(*) FILTER (WHERE amount_type = 'string'), count(*) FILTER (WHERE amount_type = 'number')) / count(amount_type)::DOUBLE", "0.01", "0.10", "type_drift", "amount", "count(amount_type) > 0"))
 def type_drift_cold(spark, sf_dir):
-    return _rounded(checks.type_drift_cold(stats(spark, sf_dir), THRESHOLDS, THRESHOLDS.topics, "amount"))
+    return _rounded(checks.type_drift_cold(stats(spark, sf_dir), THRESHOLDS, "amount"))
 
 
 @query("schema_key_presence", DUCK_PARSED + ", k AS (SELECT topic, window_start, unnest(json_keys(o)) AS key FROM good) SELECT topic, window_start, key, count(*) AS c FROM k GROUP BY ALL")
@@ -227,11 +228,10 @@ f(topic, rn, window_start, rate, threshold, status, streak, hist) AS (
 
 
 def _history(spark, sf_dir, check: str, thresholds: Thresholds = THRESHOLDS) -> DataFrame:
-    w, keys = with_silence(spark, sf_dir), None
+    w = with_silence(spark, sf_dir) if check == "volume" else stats(spark, sf_dir)
     if check == "schema_drift":
-        w, keys = stats(spark, sf_dir), windows.key_counts(good(spark, sf_dir), SIZE_S)
-    rows = baseline.samples(w, keys, FIELDS, DISTINCT).where(F.col("check_type") == check)
-    return baseline.judged(rows, thresholds, SIZE_S)
+        w = w.join(windows.key_counts(good(spark, sf_dir), SIZE_S), ["topic", "window_start"], "left")
+    return baseline.judged(baseline.samples(w, FIELDS, DISTINCT, [check]), thresholds, SIZE_S)
 
 
 def _judged(df: DataFrame) -> DataFrame:
@@ -259,12 +259,46 @@ def volume_seasonal(spark, sf_dir):
     return _judged(_history(spark, sf_dir, "volume", SEASONAL))
 
 
-@query("cardinality_drift")
+#: Folds of a series in order, as for the volume; the history learns from ok windows and after four bad ones in a row.
+DUCK_RECURSIVE = DUCK_PARSED.replace("WITH records", "WITH RECURSIVE records")
+DUCK_CARDINALITY = DUCK_RECURSIVE + """, seq AS (SELECT topic, window_start, count(DISTINCT user_id)::DOUBLE AS est, row_number() OVER (PARTITION BY topic ORDER BY window_start) AS rn FROM good GROUP BY topic, window_start HAVING count(user_id) > 0),
+f(topic, rn, window_start, est, base, status, streak, hist) AS (
+  SELECT DISTINCT topic, 0::BIGINT, NULL::TIMESTAMP, 0::DOUBLE, NULL::DOUBLE, 'ok', 0, []::DOUBLE[] FROM seq
+  UNION ALL
+  SELECT topic, rn, window_start, est, base, status, streak, CASE WHEN status = 'ok' OR streak > 4 THEN list_append(hist, est)[-30:] ELSE hist END
+  FROM (SELECT *, CASE WHEN status = 'ok' THEN 0 ELSE before + 1 END AS streak FROM (
+    SELECT *, CASE WHEN factor > 5 THEN 'fail' WHEN factor > 2 THEN 'warn' ELSE 'ok' END AS status FROM (
+      SELECT *, CASE WHEN len(hist) >= 5 AND base >= 10 THEN greatest(est / base, base / greatest(est, 1)) ELSE 1 END AS factor FROM (
+        SELECT s.topic, s.rn, s.window_start, s.est, f.streak AS before, f.hist, list_sum(f.hist) / len(f.hist) AS base FROM f JOIN seq s ON s.topic = f.topic AND s.rn = f.rn + 1) a) b) c) d)
+"""
+
+
+@query("cardinality_drift", DUCK_CARDINALITY + "SELECT topic, 'user_id' AS field, 'cardinality' AS check_type, window_start, est AS value, CASE status WHEN 'fail' THEN 5.0 WHEN 'warn' THEN 2.0 ELSE 0.0 END::DOUBLE AS threshold, status FROM f WHERE rn > 0")
 def cardinality_drift(spark, sf_dir):
     return _judged(_history(spark, sf_dir, "cardinality"))
 
 
-@query("type_drift")
+@query("cardinality_series", DUCK_CARDINALITY + "SELECT window_start AS time, topic, 'user_id distinct' AS metric, est AS value FROM f WHERE rn > 0 UNION ALL SELECT window_start, topic, 'user_id baseline', round(base, 1) FROM f WHERE rn > 0 AND base IS NOT NULL")
+def cardinality_series(spark, sf_dir):
+    rows = results.result_rows(_history(spark, sf_dir, "cardinality"), SIZE_S, "batch")
+    return analytics.series(rows, "cardinality", {"distinct": "value", "baseline": "baseline"})
+
+
+DUCK_TYPES = DUCK_RECURSIVE + """, typed AS (SELECT topic, window_start, unnest(['id', 'user_id', 'amount']) AS field, unnest([CASE WHEN id IS NOT NULL THEN 'string' END, CASE WHEN user_id IS NOT NULL THEN 'number' END, amount_type]) AS tag FROM good),
+seq AS (SELECT topic, field, window_start, count(*) FILTER (WHERE tag = 'string') AS s, count(*) FILTER (WHERE tag = 'number') AS m, row_number() OVER (PARTITION BY topic, field ORDER BY window_start) AS rn FROM typed GROUP BY topic, field, window_start HAVING count(tag) > 0),
+f(topic, field, rn, window_start, off, status, streak, hist) AS (
+  SELECT DISTINCT topic, field, 0::BIGINT, NULL::TIMESTAMP, 0::DOUBLE, 'ok', 0, []::INT[] FROM seq
+  UNION ALL
+  SELECT topic, field, rn, window_start, off, status, streak, CASE WHEN status = 'ok' OR streak > 4 THEN list_append(hist, own)[-30:] ELSE hist END
+  FROM (SELECT *, CASE WHEN status = 'ok' THEN 0 ELSE before + 1 END AS streak FROM (
+    SELECT *, CASE WHEN off > 0.10 THEN 'fail' WHEN off > 0.01 THEN 'warn' ELSE 'ok' END AS status FROM (
+      SELECT *, 1 - (CASE usual WHEN 0 THEN s ELSE m END) / (s + m)::DOUBLE AS off FROM (
+        SELECT *, CASE WHEN len(hist) < 5 THEN own WHEN 2 * list_sum(hist) > len(hist) THEN 1 ELSE 0 END AS usual FROM (
+          SELECT q.topic, q.field, q.rn, q.window_start, q.s, q.m, CASE WHEN q.s >= q.m THEN 0 ELSE 1 END AS own, f.streak AS before, f.hist FROM f JOIN seq q ON q.topic = f.topic AND q.field = f.field AND q.rn = f.rn + 1) a) b) c) d) e)
+"""
+
+
+@query("type_drift", DUCK_TYPES + "SELECT topic, field, 'type_drift' AS check_type, window_start, round(off, 9) AS value, CASE status WHEN 'fail' THEN 0.10 ELSE 0.01 END::DOUBLE AS threshold, status FROM f WHERE rn > 0")
 def type_drift(spark, sf_dir):
     return _judged(_history(spark, sf_dir, "type_drift"))
 
@@ -275,13 +309,12 @@ def schema_drift(spark, sf_dir):
 
 
 def all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every check's rows of every window, as rows of the results table."""
-    w = with_silence(spark, sf_dir)
-    keys = windows.key_counts(good(spark, sf_dir), SIZE_S)
-    out = baseline.judged(baseline.samples(w, keys, FIELDS, DISTINCT), THRESHOLDS, SIZE_S)
-    plain = [checks.null_rate(w, THRESHOLDS, THRESHOLDS.topics, f) for f in FIELDS] + [checks.freshness(w, THRESHOLDS, THRESHOLDS.topics), checks.structural(w, THRESHOLDS, THRESHOLDS.topics)]
-    for rows in plain:
-        out = out.unionByName(rows, allowMissingColumns=True)
+    """Every check's rows of every window, as rows of the results table. Records are read twice, for the statistics
+    and for the tallies of keys and errors; the small table of windows is kept for the session, as the spine, the
+    checks with and those without a history all start from it."""
+    w = stats(spark, sf_dir).join(windows.tallies(good(spark, sf_dir), SIZE_S), ["topic", "window_start"], "left").persist()
+    w = windows.with_silence(w, record_sources.window_spine(w.select("topic", "window_start"), SIZE_S))
+    out = baseline.judged(baseline.samples(w, FIELDS, DISTINCT), THRESHOLDS, SIZE_S).unionByName(checks.plain_rows(w, THRESHOLDS, FIELDS))
     return results.result_rows(out, SIZE_S, "batch")
 
 
@@ -290,6 +323,63 @@ def check_results_all(spark, sf_dir):
     return all_checks(spark, sf_dir).select("topic", "check_type", "field", "window_start", "window_end", F.round("value", 9).alias("value"), F.round("threshold", 9).alias("threshold"), "status", F.round("baseline", 4).alias("baseline"))
 
 
+@query("freshness_series", DUCK_PARSED + "SELECT window_start AS time, topic, unnest(['p50', 'p95', 'p99']) AS metric, unnest([round(quantile_disc(late, 0.5)), quantile_disc(late, 0.95), round(quantile_disc(late, 0.99))])::DOUBLE AS value FROM good GROUP BY topic, window_start HAVING count(late) > 0")
+def freshness_series(spark, sf_dir):
+    rows = results.result_rows(checks.freshness(stats(spark, sf_dir), THRESHOLDS), SIZE_S, "batch")
+    return analytics.series(rows, "freshness", {"p50": "p50_ms", "p95": "value", "p99": "p99_ms"})
+
+
+@query("violation_details", DUCK_PARSED + """, w AS (SELECT topic, window_start, count(*) AS n, count(*) - count(amount) AS nulls, count(error) AS invalid FROM good GROUP BY topic, window_start)
+SELECT topic, window_start, 'null_rate' AS check_type, '{"nulls":' || nulls || ',"total":' || n || ',"required":false}' AS details FROM w WHERE nulls / n::DOUBLE > CASE WHEN topic = 'ev.view' THEN 0.10 ELSE 0.05 END
+UNION ALL SELECT topic, window_start, 'structural', '{"checked":' || n || ',"invalid":' || invalid || ',"skipped":0}' FROM w WHERE invalid > 0""")
+def violation_details(spark, sf_dir):
+    rows = results.result_rows(checks.null_rate(stats(spark, sf_dir), THRESHOLDS, "amount").unionByName(checks.structural(stats(spark, sf_dir), THRESHOLDS)), SIZE_S, "batch")
+    return rows.where("details IS NOT NULL").select("topic", "window_start", "check_type", "details")
+
+
+# ---- framed payloads ----
+
+SENSOR = '{"type":"record","name":"Reading","fields":[{"name":"id","type":["null","string"]},{"name":"amount","type":"long"}]}'
+PING = 'syntax = "proto3"; message Ping { string id = 1; uint32 amount = 2; }'
+WRITERS = {7: SCHEMA}
+SCHEMAS = [(7, "JSON", '{"type":"object"}', None), (8, "AVRO", SENSOR, None), (9, "PROTOBUF", PING, None)]
+#: Bytes as hex: plain JSON, JSON with its writer's id, Avro (every tenth without an id), Protobuf, an id that no one
+#: knows (half of them with JSON behind it), a torn Avro body, a tombstone.
+FRAMES = """SELECT 'fr.' || event_type AS topic, event_id, CAST(event_id % 3 AS INT) AS source_partition, event_id AS source_offset, CAST(ts AS TIMESTAMP) AS ingest_ts, CASE event_id % 7
+  WHEN 0 THEN CAST('{{"id":"p","amount":' || (event_id % 60) || '}}' AS BINARY)
+  WHEN 1 THEN concat(unhex('0000000007'), CAST(CASE WHEN event_id % 2 = 0 THEN '{{"id":"j","amount":' || (event_id % 60) || '}}' ELSE '{{"id":"j","amount":-1}}' END AS BINARY))
+  WHEN 2 THEN unhex('0000000008' || CASE WHEN event_id % 10 = 0 THEN '00' ELSE '020261' END || lpad(hex(2 * (event_id % 60)), 2, '0'))
+  WHEN 3 THEN unhex('0000000009' || '00' || '0A0162' || '10' || lpad(hex(event_id % 60), 2, '0'))
+  WHEN 4 THEN concat(unhex('0000000063'), CASE WHEN event_id % 2 = 0 THEN CAST('{{"id":"u","amount":1}}' AS BINARY) ELSE unhex('0204') END)
+  WHEN 5 THEN unhex('000000000802') END AS value FROM {events}"""
+#: What those records are, worked out from their numbers.
+DUCK_FRAMES = """WITH r AS (SELECT 'fr.' || event_type AS topic, event_id, ts, event_id % 7 AS k, event_id % 60 AS a, event_id % 2 = 0 AS even, event_id % 10 = 0 AS tenth FROM events) """
+
+
+def framed(spark: SparkSession, sf_dir: str, registry_up: bool) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type")
+    frames = decode.decode(spark.sql(FRAMES, events=events), schema_table(spark, SCHEMAS), registry_up=registry_up)
+    return parse.parse(frames, THRESHOLDS, ["id", "amount"], ["id"], SCHEMA, writers=WRITERS)
+
+
+@query("parse_framed", DUCK_FRAMES + """SELECT topic, event_id AS source_offset, CASE k WHEN 0 THEN 'p' WHEN 1 THEN 'j' WHEN 2 THEN CASE WHEN NOT tenth THEN 'a' END WHEN 3 THEN 'b' END AS id, CASE WHEN k = 1 AND NOT even THEN '-1' ELSE a::VARCHAR END AS amount, CASE k WHEN 3 THEN 0 WHEN 1 THEN CASE WHEN even THEN 1 ELSE 2 END ELSE 1 END::BIGINT AS structural FROM r WHERE k < 4""")
+def parse_framed(spark, sf_dir):
+    item = lambda f: F.col("fields").getItem(f).alias(f)
+    return parse.analysed(framed(spark, sf_dir, True)).select("topic", "source_offset", item("id"), item("amount"), "structural")
+
+
+@query("dead_letter_framed", DUCK_FRAMES + """SELECT CASE k WHEN 4 THEN 'unknown_schema_id' WHEN 5 THEN 'avro_decode_failed' ELSE 'null_payload' END AS reason, topic, event_id AS source_offset FROM r WHERE k > 3
+UNION ALL SELECT 'required_field_missing', topic, event_id FROM r WHERE k = 2 AND tenth UNION ALL SELECT 'schema_violation', topic, event_id FROM r WHERE k = 1 AND NOT even""")
+def dead_letter_framed(spark, sf_dir):
+    return parse.dead_letters(framed(spark, sf_dir, True)).select("reason", "topic", "source_offset")
+
+
+@query("volume_undecoded", DUCK_FRAMES + """SELECT topic, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n, count(*) FILTER (WHERE NOT (k = 4 AND NOT even)) AS decoded, count(*) FILTER (WHERE k IN (0, 1, 3) OR (k = 2 AND NOT tenth) OR (k = 4 AND even)) AS present_id FROM r WHERE k < 5 GROUP BY ALL""")
+def volume_undecoded(spark, sf_dir):
+    """While the registry is away: what can't be read counts for the volume only."""
+    return windows.topic_windows(parse.analysed(framed(spark, sf_dir, False)), ["id"], SIZE_S).select("topic", "window_start", "n", "decoded", "present_id")
+
+
 # ---- the results table ----
 
 
@@ -429,7 +519,7 @@ def _table(name: str, table: str, ts: str | None, keys: str, column: str, null_w
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{keys} AS topic", f"{ts or FIXED_TS} AS ts", f"CASE WHEN {null_when} THEN NULL ELSE {column} END AS v")
         w = df.groupBy("topic", F.window("ts", size)["start"].alias("window_start")).agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("present_v"), F.countDistinct("v").alias("distinct_v"))
-        r = checks.null_rate(w, THRESHOLDS, [], "v").select("topic", "window_start", F.round("value", 6).alias("null_rate"), "status")
+        r = checks.null_rate(w.withColumn("decoded", F.col("n")), Thresholds(), "v").select("topic", "window_start", F.round("value", 6).alias("null_rate"), "status")
         return w.select("topic", "window_start", "n", "distinct_v").join(r, ["topic", "window_start"])
 
     query(name, f"WITH d AS ({sql}), v AS (SELECT topic, window_start, count(*) AS n, count(DISTINCT v) AS distinct_v, (count(*) - count(v)) / count(*)::DOUBLE AS r FROM d GROUP BY ALL) SELECT topic, window_start, n, distinct_v, round(r, 6) AS null_rate, CASE WHEN r > 0.2 THEN 'fail' WHEN r > 0.05 THEN 'warn' ELSE 'ok' END AS status FROM v")(run)

@@ -1,9 +1,10 @@
 """The monitor as Structured Streaming: parsed records and ticks in one watermarked window aggregation; closed windows
 are judged per micro-batch with the same fold as in batch, the state coming from the batch before.
 
-Batch n reads ``state/batch_id=n-1`` (the newest below n) and overwrites its own folders, so a replayed batch leaves
-the same tables. Only series with closed windows are in a batch's state; older ones are found in older batches, and
-every ``COMPACT_EVERY`` batches the whole state is written anew.
+Batch n reads the states of the batches below it and overwrites its own folders, so a replayed batch leaves the same
+tables. Only series with closed windows are in a batch's state; older ones are found in older batches, and every
+``COMPACT_EVERY`` batches the whole state is written anew, so no batch reads further back than that; what is older
+than the compaction before is deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.config import Thresholds
@@ -25,19 +26,20 @@ COMPACT_EVERY = 50
 
 def windowed(parsed: DataFrame, ticks: DataFrame | None, thresholds: Thresholds, fields: list[str]) -> DataFrame:
     """Streaming window statistics with sketches; ticks make empty windows close with n = 0."""
-    columns = ["topic", "ingest_ts", "event_ms", "from_payload", "fields", "types", "structural"]
+    columns = ["topic", "ingest_ts", "event_ms", "from_payload", "fields", "types", "structural", "undecoded"]
     rows = parsed.select(*columns, F.lit(False).alias("synthetic"))
     if ticks is not None:
         rows = rows.unionByName(ticks.select("topic", "ingest_ts", "synthetic"), allowMissingColumns=True)
     rows = rows.withWatermark("ingest_ts", f"{thresholds.disorder_ms} milliseconds")
     real = ~F.col("synthetic")
     late = F.when(F.col("from_payload"), F.greatest(F.unix_millis("ingest_ts") - F.col("event_ms"), F.lit(0)).cast("double"))
-    aggregates = [F.count_if(real).alias("n"), F.count(late).alias("measured"), F.expr("kll_sketch_agg_double(_late, 200)").alias("lags")]
+    aggregates = [F.count_if(real).alias("n"), F.count_if(real & ~F.col("undecoded")).alias("decoded"), F.count("_late").alias("measured"), F.max("_late").alias("max_ms"), F.count_if(F.col("from_payload") & (F.unix_millis("ingest_ts") < F.col("event_ms"))).alias("future"), F.expr("kll_sketch_agg_double(_late, 200)").alias("lags")]
+    aggregates += [F.count_if(F.col("structural") > 0).alias("checked"), F.count_if(F.col("structural") == 2).alias("invalid"), F.count_if(real & (F.col("structural") == 0)).alias("skipped")]
     for f in fields:
         value, tag = F.col("fields").getItem(f), F.col("types").getItem(f)
         aggregates += [F.count(value).alias(f"present_{f}"), F.hll_sketch_agg(value, 12).alias(f"hll_{f}"), *[F.count_if(tag == t).alias(f"{t}_{f}") for t in checks.TAGS]]
     grouped = rows.withColumn("_late", late).groupBy(F.window("ingest_ts", f"{thresholds.window_ms} milliseconds").alias("w"), "topic").agg(*aggregates)
-    out = grouped.withColumns({f"distinct_{f}": F.hll_sketch_estimate(f"hll_{f}") for f in fields} | {"p95_ms": F.when(F.col("measured") > 0, F.expr("kll_sketch_get_quantile_double(lags, 0.95D)"))})
+    out = grouped.withColumns({f"distinct_{f}": F.hll_sketch_estimate(f"hll_{f}") for f in fields} | {f"p{q}_ms": F.when(F.col("measured") > 0, F.expr(f"kll_sketch_get_quantile_double(lags, 0.{q}D)")) for q in (50, 95, 99)})
     return out.select(F.col("w.start").alias("window_start"), *[c for c in out.columns if c not in ("w", "lags") and not c.startswith("hll_")])
 
 
@@ -54,7 +56,7 @@ def newest_state(state: DataFrame, below: int) -> DataFrame:
 def judge_batch(closed: DataFrame, state: DataFrame, thresholds: Thresholds, batch: int, fields: list[str], distinct_fields: list[str]) -> DataFrame:
     """Verdicts and new states of the series that have closed windows: the result columns and state (null in all
     rows of a series but its last)."""
-    series = baseline.samples(closed, None, fields, distinct_fields)
+    series = baseline.samples(closed, fields, distinct_fields)
     keys = ["topic", "check_type", "field"]
     joined = series.join(newest_state(state, batch), keys, "left")
     size, history, rebaseline = thresholds.window_ms / 1000, thresholds.history_windows, thresholds.rebaseline_after
@@ -81,26 +83,47 @@ def sink(folder: str, thresholds: Thresholds, fields: list[str], distinct_fields
         closed.write.mode("overwrite").parquet(f"{folder}/windows/batch_id={batch}")
         closed = spark.read.parquet(f"{folder}/windows/batch_id={batch}")
         states = f"{folder}/state"
-        try:
-            state = spark.read.schema(STATE).parquet(f"{states}/*")
-        except Exception:  # noqa: BLE001  the first batch has none
-            state = spark.createDataFrame([], STATE)
+        before = earlier(spark, states, batch)
+        state = spark.read.schema(STATE).parquet(*before) if before else spark.createDataFrame([], STATE)
         path = f"{folder}/judged/batch_id={batch}"
         judge_batch(closed, state, thresholds, batch, fields, distinct_fields).write.mode("overwrite").parquet(path)
         judged = spark.read.parquet(path)
-        plain = judged.drop("state")
-        for f in fields:
-            plain = plain.unionByName(checks.null_rate(closed, thresholds, thresholds.topics, f), allowMissingColumns=True)
-        plain = plain.unionByName(checks.freshness(closed, thresholds, thresholds.topics), allowMissingColumns=True)
+        plain = judged.drop("state").unionByName(checks.plain_rows(closed, thresholds, fields))
         plain.write.mode("overwrite").parquet(f"{folder}/results/batch_id={batch}")
         new = judged.where("state IS NOT NULL").select("topic", "check_type", "field", "state", F.lit(batch).cast("long").alias("batch"))
         if batch and batch % COMPACT_EVERY == 0:
-            new = newest_state(state.where(F.col("batch") < batch).unionByName(new), batch + 1).withColumn("batch", F.lit(batch).cast("long"))
+            new = newest_state(state.unionByName(new), batch + 1).withColumn("batch", F.lit(batch).cast("long"))
         new.write.mode("overwrite").parquet(f"{states}/batch_id={batch}")
+        if batch and batch % COMPACT_EVERY == 0:  # neither this batch's replay nor a later one reads these
+            files = _files(spark, states)
+            for old in _folders(spark, states):
+                if _number(old) < batch - COMPACT_EVERY:
+                    files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
 
     return write
 
 
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _number(path: str) -> int:
+    return int(path.rpartition("=")[2])
+
+
+def _folders(spark: SparkSession, states: str) -> list[str]:
+    """The folders of states; a storage error is raised, not taken for a first batch."""
+    top, files = spark._jvm.org.apache.hadoop.fs.Path(states), _files(spark, states)
+    found = files.listStatus(top) if files.exists(top) else []
+    return sorted((p.getPath().toString() for p in found if p.getPath().getName().startswith("batch_id=")), key=_number)
+
+
+def earlier(spark: SparkSession, states: str, batch: int) -> list[str]:
+    """The folders that a batch reads: of the batches below it, from the last compaction on."""
+    since = (batch - 1) // COMPACT_EVERY * COMPACT_EVERY if batch else 0
+    return [p for p in _folders(spark, states) if since <= _number(p) < batch]
+
+
 def start(parsed: DataFrame, ticks: DataFrame | None, thresholds: Thresholds, fields: list[str], distinct_fields: list[str], folder: str, checkpoint: str, available_now: bool = False):
     """Starts the query. Append mode: a window is judged once, when the watermark passes its end."""
     writer = windowed(parsed, ticks, thresholds, fields).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink(folder, thresholds, fields, distinct_fields))
