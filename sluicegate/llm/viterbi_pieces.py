@@ -36,8 +36,7 @@ META = "▁"
 #: Zipf-Mandelbrot's shift, and what a byte piece costs below the rarest piece.
 SHIFT, BYTE_COST = 2.7, 10.0
 #: Bytes of the stretches whose ids are kept for replay (with about twenty times as much for the ids and the table).
-KEPT_BYTES = 1 << 20
-MISSING = (-2, 0)
+KEPT_BYTES = 3 << 20
 #: Scores are whole multiples of one over this, so sums are exact and ties are the same wherever a text is cut.
 SCALE = 1 << 20
 
@@ -62,99 +61,135 @@ class Pieces:
         total = sum(1 / (k + SHIFT) for k in range(1, len(normal) + 1))
         self.table: dict[str, tuple[int, int]] = {}
         for k, (i, piece) in enumerate(normal, 1):
-            for end in range(1, len(piece)):
-                self.table.setdefault(piece[:end], (-1, 0))
             self.table[piece] = (i, round(-SCALE * math.log((k + SHIFT) * total)))
         self.byte_score = round(SCALE * (-math.log((len(normal) + SHIFT) * total) - BYTE_COST))
         self.longest = max((len(p) for _, p in normal), default=1)
+        self.trie: dict = {}  # character -> [what may follow, id or -1, score]
+        for i, piece in normal:
+            level = self.trie
+            for c in piece[:-1]:
+                level = level.setdefault(c, [{}, -1, 0])[0]
+            level.setdefault(piece[-1], [{}, -1, 0])[1:] = self.table[piece]
         self.splits = not any(a != META and b == META for _, p in normal for a, b in zip(p, p[1:]))
         self.spelled = pa.array(self.bytes_of, pa.binary())
-        self.kept: dict[tuple[bool, bytes], array] = {}
+        self.kept: dict[bytes, bytes] = {}
         self.kept_bytes = 0
 
     def commits(self, chunks: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
         """Streams normalised text that comes in chunks; gives (characters, ids) at each commit."""
-        chunks, get, longest, inf = iter(chunks), self.table.get, self.longest, -math.inf
-        text, pos, reach, done, patience = "", 0, 0, False, 2 * longest
-        best, size, piece = [0], [0], [-1]  # of the best path to each boundary: score, and its last piece
+        chunks, trie, longest, inf, byte_score = iter(chunks), self.trie, self.longest, -math.inf, self.byte_score
+        text, n, done = "", 0, False
+        base = pos = reach = 0  # the window's begin in the text, the place that is pushed from, where pieces begun reach
+        best, size, piece = [0], [0], [-1]  # of the best path to each boundary from base on: score, and its last piece
+        patience = 2 * longest
         while True:
-            if not done and pos + longest > len(text):
+            if pos + longest > n and not done:
                 more = next(chunks, None)
                 done = more is None
-                text += more or ""
-                fresh = len(text) + 1 - len(best)
-                best += [inf] * fresh
-                size += [0] * fresh
-                piece += [-1] * fresh
+                text, pos, reach, base = text[base:] + (more or ""), pos - base, reach - base, 0
+                n = len(text)
                 continue
-            if pos:
-                at = pos if reach == pos else 0
-                if not at and pos >= patience:
-                    at = self._meeting(pos, reach, best, size)
-                    patience = 2 * longest if at else 2 * pos
+            if reach == pos:
+                if pos > base:
+                    yield pos - base, self._path(text, base, pos, size, piece)
+                    base, best, size, piece = pos, [0], [0], [-1]
+            elif pos - base >= patience:
+                at = self._meeting(pos - base, reach - base, best, size)
                 if at:
-                    yield at, self._path(text, at, size, piece)
-                    text, pos, reach = text[at:], pos - at, reach - at
-                    best, size, piece = best[at:], size[at:], piece[at:]
-            if pos == len(text):
+                    yield at, self._path(text, base, base + at, size, piece)
+                    base, best, size, piece = base + at, best[at:], size[at:], piece[at:]
+                patience = 2 * longest if at else 2 * (pos - base)
+            if pos == n:
                 if done:
                     return
                 continue
-            score = best[pos]
-            if score != inf:
-                end, entry, single = pos + 1, get(text[pos]), True
-                while entry is not None:
-                    i, s = entry
+            score = best[pos - base]
+            if score is not None:
+                level, end, single = trie, pos, True
+                while end < n:
+                    entry = level.get(text[end])
+                    if entry is None:
+                        break
+                    level, i, s = entry
+                    end += 1
                     if i >= 0:
-                        single &= end > pos + 1
-                        if score + s > best[end]:
-                            best[end], size[end], piece[end] = score + s, end - pos, i
+                        if end == pos + 1:
+                            single = False
                         if end > reach:
+                            gap = end - reach
+                            best += [None] * gap
+                            size += [0] * gap
+                            piece += [-1] * gap
                             reach = end
-                    end += 1
-                    if end > len(text):
-                        break
-                    entry = get(text[pos:end])
+                        s += score
+                        k = end - base
+                        old = best[k]
+                        if old is None or s > old:
+                            best[k], size[k], piece[k] = s, end - pos, i
                 if single:
-                    s = score + self.byte_score * len(text[pos].encode("utf-8", "surrogatepass"))
-                    if s > best[pos + 1]:
-                        best[pos + 1], size[pos + 1], piece[pos + 1] = s, 1, -1
-                    reach = max(reach, pos + 1)
+                    if pos + 1 > reach:
+                        best.append(None)
+                        size.append(0)
+                        piece.append(-1)
+                        reach = pos + 1
+                    s = score + byte_score * len(text[pos].encode("utf-8", "surrogatepass"))
+                    k = pos + 1 - base
+                    if best[k] is None or s > best[k]:
+                        best[k], size[k], piece[k] = s, 1, -1
             pos += 1
 
     def _meeting(self, pos: int, reach: int, best: list, size: list) -> int:
         """The last boundary that the paths of all live ends share (0: none but the start)."""
-        live = {e for e in range(pos, reach + 1) if best[e] > -math.inf}
+        live = {e for e in range(pos, reach + 1) if best[e] is not None}
         while len(live) > 1:  # the latest end steps back until all are one
             last = max(live)
             live.remove(last)
             live.add(last - size[last])
         return live.pop()
 
-    def _path(self, text: str, end: int, size: list, piece: list) -> list[int]:
+    def _path(self, text: str, base: int, end: int, size: list, piece: list) -> list[int]:
         out: list[int] = []
-        while end > 0:
-            i = piece[end]
-            end -= size[end]
-            out.extend((i,) if i >= 0 else [self.byte_id[b] for b in reversed(text[end].encode("utf-8", "surrogatepass"))])
+        while end > base:
+            k = end - base
+            i = piece[k]
+            end -= size[k]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [self.byte_id[b] for b in reversed(text[end].encode("utf-8", "surrogatepass"))]
         out.reverse()
         return out
 
-    def _stretch(self, key: bytes, first: bool) -> array:
-        """Ids of what lies between two places where every stream commits; ``first``: at the start of a text."""
-        ids = self.kept.get((first, key))
-        if ids is None:
-            if key == META.encode():
-                ids = array("i", [self.byte_id[b] for b in key])
-            else:
-                text = key.decode("utf-8", "surrogatepass").replace(" ", META)
-                ids = array("i", [i for _, part in self.commits([META + text if first else text]) for i in part])
+    def _stretches(self, keys: list[bytes]) -> list[bytes]:
+        """Ids (as four bytes each) of what lies between two places where every stream commits. Those that aren't kept
+        are one stream: each begins with a space behind another character, where all paths meet."""
+        kept, joined, alone = self.kept, [], []
+        for k in keys:
+            if k not in kept:
+                (joined if self.splits and k[:1] == b" " and k[-1:] != b" " else alone).append(k)
+        found: dict[bytes, bytes] = {}
+        streams = [[k] for k in alone] + ([joined] if joined else [])
+        for some in streams:
+            if some == [META.encode()]:
+                found[some[0]] = array("i", [self.byte_id[b] for b in some[0]]).tobytes()
+                continue
+            texts = [k.decode("utf-8", "surrogatepass").replace(" ", META) for k in some]
+            which, left, ids = 0, len(texts[0]), array("i")
+            for characters, part in self.commits(texts):
+                ids.extend(part)
+                left -= characters
+                if not left:
+                    found[some[which]], which, ids = ids.tobytes(), which + 1, array("i")
+                    left = len(texts[which]) if which < len(texts) else 0
+        out = [found[k] if k in found else kept[k] for k in keys]
+        if self.kept_bytes > KEPT_BYTES:
+            self.kept, self.kept_bytes = {}, 0
+        for k, ids in found.items():
             if self.kept_bytes > KEPT_BYTES:
-                self.kept.clear()
-                self.kept_bytes = 0
-            self.kept[first, key] = ids
-            self.kept_bytes += len(key)
-        return ids
+                break
+            self.kept[k] = ids
+            self.kept_bytes += len(k)
+        return out
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and where each text's ids begin (one entry more than texts)."""
@@ -178,19 +213,18 @@ class Pieces:
         runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         code = runs.indices.to_numpy().astype(np.int64) * 2 + first[starts]
         present, code = np.unique(code, return_inverse=True)
-        keys = runs.dictionary.take(pa.array(present // 2)).to_pylist()
-        own = [self._stretch(k, bool(c & 1)) for k, c in zip(keys, present.tolist(), strict=True)]
-        size = np.array([len(x) for x in own], np.int64)
+        keys = [b" " + k if c & 1 else k for k, c in zip(runs.dictionary.take(pa.array(present // 2)).to_pylist(), present.tolist(), strict=True)]
+        own = self._stretches(keys)
+        size = np.array([len(x) // 4 for x in own], np.int64)
         flat = np.frombuffer(b"".join(own), np.int32) if size.any() else np.zeros(0, np.int32)
         ids = flat[ragged((np.cumsum(size) - size)[code], size[code])]
         ends = np.concatenate([[0], np.cumsum(size[code])])
         offsets = ends[np.searchsorted(starts, at)]
-        alone = np.intersect1d(meta, at[:-1][filled])  # texts that begin with a meta symbol: their space is a stretch of its own
-        if len(alone):
-            space = self._stretch(b"", True)
-            texts_at = np.flatnonzero(filled & np.isin(at[:-1], alone))
-            ids = np.insert(ids, np.repeat(offsets[texts_at], len(space)), np.tile(np.array(space, np.int32), len(texts_at)))
-            offsets = offsets + len(space) * np.concatenate([[0], np.cumsum(np.isin(np.arange(len(texts)), texts_at))])
+        alone = np.isin(at[:-1], meta) & filled  # texts that begin with a meta symbol: their space is a stretch of its own
+        if alone.any():
+            space = np.frombuffer(self._stretches([b" "])[0], np.int32)
+            ids = np.insert(ids, np.repeat(offsets[:-1][alone], len(space)), np.tile(space, int(alone.sum())))
+            offsets = offsets + len(space) * np.concatenate([[0], np.cumsum(alone)])
         return ids, offsets
 
     def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -223,7 +257,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            for part in slices(batch):
                 pieces = pieces or Pieces(model)
                 texts = part.column("text")
                 ids, offsets = pieces.encode_all(texts)
