@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +27,12 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A new folder name below ``spark.checkpoint.dir``; a temporary folder only where that is unset and
+    the driver is the only executor, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + os.path.join(tempfile.gettempdir(), "sluicegate-shared")
         spark.conf.set("spark.checkpoint.dir", top)
     if "://" not in top:
@@ -52,6 +57,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the shuffle files of finished jobs removed that nothing refers to any more; Spark does so when the driver's
+    garbage is collected, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it; any executor can call it."""
     return pafs.FileSystem.from_uri(uri)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from sluicegate.llm.common import discard, documents, hash_words, materialise, mix, ngram_hashes, ragged, released, slices, small_batches, words
+from sluicegate.llm.common import discard, documents, hash_words, materialise, mix, ngram_hashes, release, released, slices, small_batches, words
 
 SHINGLE, PERCENT, GROUPS = 5, 75, 128
 #: Texts of the sample that ranks frequent shingles, least count in it, and ranked shingles at most.
@@ -276,6 +276,7 @@ def dealt(roles: DataFrame, nodes: DataFrame, judge: type, contents) -> DataFram
     ordered = rows.repartition("c", "block", "salt").sortWithinPartitions("c", "block", "salt", F.col("kind") > MEMBER, "node", "kind")
     out = materialise(ordered.mapInArrow(_verify(judge), judge.schema), f"jaccard-{judge.__name__.lower()}")
     discard(salts, wanted)
+    release(out.sparkSession)
     return out
 
 
@@ -489,6 +490,7 @@ def candidates(live: DataFrame, comps: DataFrame, sized: DataFrame, widely: bool
     spread = spread.select("first", "part", "node", "pos", "n", "comp", "main", "blocks", (F.col("part") == F.col("own")).alias("home"), "vec")
     roles = materialise(spread.repartition("first", "part").sortWithinPartitions("first", "part").mapInArrow(_search(widely), ROLE), "jaccard-roles")
     discard(labelled)
+    release(live.sparkSession)
     return roles
 
 
@@ -515,6 +517,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     fines = materialise(rep.select("node", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "fine").alias("own")), "jaccard-fine")
     posts = rep.select(F.posexplode("first").alias("pos", "first"), "node").select("first", "node", "pos")
     live = materialise(posts.repartition("first").sortWithinPartitions("first", "node").mapInArrow(_shared_posts, "first long, node long, pos int, head long"), "jaccard-posts")
+    release(docs.sparkSession)
     comps, more = components(verified(heads(live, sized), docs, nodes, fines)), True
     for widely in [False] * REPEATS + [True]:
         if widely or more:

@@ -12,8 +12,8 @@ further. Patterns with ``CONFIDENCE`` name the candidates they reach, with the p
 
 Quantifiers are possessive where that changes nothing, so no text makes the regex engine recurse or go back far.
 
-Cases: a null text is an empty one; rows equal in doc_id and text get the same spans; ties between kinds go to the
-first in the order email, ip, card, phone; an empty table gives no rows. Only doc_id and text are read.
+Cases: a null text is an empty one; rows equal in doc_id and text get the same spans; of several kinds that patterns give
+a place the most confident one's counts, ties going to the first in the order email, ip, card, phone; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicegate.llm.common import documents, materialise, row_key
+from sluicegate.llm.common import discard, documents, materialise, row_key
 from sluicegate.llm.line_dedup import SPACE
 from sluicegate.llm.quality_rules import let
 
@@ -128,7 +128,7 @@ def discover(table: DataFrame) -> DataFrame:
     # patterns with fewer instances than the support can never get it; the others and their candidates are scored
     patterns = materialise(seeds.where(F.col("n") >= SUPPORT), "pii-patterns")
     links = materialise(pairs.where("kind = -1").select("pattern", "instance").join(patterns.select("pattern"), "pattern"), "pii-links")
-    scores = None
+    scores, done = None, [graph, patterns, links]
     for r in range(ROUNDS):
         if scores is None:
             known = patterns.select("*", *[F.lit(0).alias(f"a{k}") for k in kinds], *[F.lit(0.0).alias(f"m{k}") for k in kinds])
@@ -143,8 +143,11 @@ def discover(table: DataFrame) -> DataFrame:
         confidence = materialise(confidence, f"pii-confidence{r}")
         scored = links.join(confidence, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"), F.min(F.struct(-F.col("confidence"), "of"))["of"].alias("as"))
         scores = materialise(scored, f"pii-scores{r}")
+        done += [confidence, scores]
     reached = graph.where("kind = -1").join(confidence.where(F.col("confidence") >= CONFIDENCE), "pattern").join(scores.where(F.col("score") >= CONFIDENCE), "instance")
-    return reached.groupBy("_k1", "_k2", "start", "end").agg(F.min("of").alias("kind"))
+    found = materialise(reached.groupBy("_k1", "_k2", "start", "end").agg(F.min_by("of", F.struct(-F.col("confidence"), "of")).alias("kind")), "pii-found")
+    discard(*done)
+    return found
 
 
 def _count(spans: Column, kind: int) -> Column:
