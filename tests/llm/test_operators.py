@@ -518,26 +518,50 @@ def test_pieces_of_a_stream_equal_those_of_the_whole_text(pieces):
         t = "".join(RNG.choice("abcdetion  é漢😀\n.,the") for _ in range(RNG.choice([3, 20, 300])))
         normal = meta + t.replace(" ", meta)
         want = viterbi(pieces, normal)
-        assert pieces.encode(t) == want == [i for _, part in pieces.commits([normal[:7], normal[7:]]) for i in part]
+        assert pieces.encode(t) == want == streamed(pieces, [normal[:7], normal[7:]])[1]
         assert pieces.decode(want) == t
     for t in ("a▁b ▁", "▁", "▁▁x", " ", "  two  spaces  "):
         assert pieces.decode(pieces.encode(t)) == t
 
 
-def test_streams_of_real_texts_commit_in_a_bounded_window(pieces):
+def streamed(pieces, chunks):
+    """Commits, ids and characters of a stream."""
+    parts = list(pieces.commits(chunks))
+    return sum(n for n, _, _ in parts), [int(i) for _, ids, _ in parts for i in ids], sum(int(x.sum()) for _, _, x in parts)
+
+
+def test_streams_of_real_texts_commit_again_and_again(pieces, monkeypatch):
     import pyarrow.parquet as pq
 
     texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
-    texts = [t for t in texts if t][:60] + ["A" * 3000, "ab" * 2000]
-    for t in texts:
-        normal = viterbi_pieces.META + t.replace(" ", viterbi_pieces.META)
-        parts = list(pieces.commits(normal[k : k + 50] for k in range(0, len(normal), 50)))
-        assert sum(n for n, _ in parts) == len(normal) and (len(set(t)) < 3 or max(n for n, _ in parts) <= 2 * pieces.longest)
-        assert (len(set(t)) < 3 or len(parts) >= len(normal) // 16) and [i for _, p in parts for i in p] == pieces.encode(t) == viterbi(pieces, normal)
-
-
-def test_kept_stretches_are_bounded(pieces, monkeypatch):
-    monkeypatch.setattr(viterbi_pieces, "KEPT_BYTES", 50)
-    t = " ".join(WORDS[:100])
-    want = viterbi(pieces, viterbi_pieces.META + t.replace(" ", viterbi_pieces.META))
-    assert pieces.encode(t) == want and pieces.kept_bytes <= 60
+    texts = [t for t in texts if t][:60]
+    for patience in (1 << 12, 64):
+        monkeypatch.setattr(viterbi_pieces, "PATIENCE", patience)
+        for t in texts:
+            normal = viterbi_pieces.META + t.replace(" ", viterbi_pieces.META)
+            commits, ids, characters = streamed(pieces, (normal[k : k + 50] for k in range(0, len(normal), 50)))
+            assert ids == pieces.encode(t) == viterbi(pieces, normal) and characters == len(normal)
+            assert commits >= normal.count(viterbi_pieces.META) - normal.count(viterbi_pieces.META * 2)
+            held, whole = 0, 0  # a window isn't kept beyond what no boundary cuts
+            for _, _, x in pieces.commits([normal[k : k + 50] for k in range(0, len(normal), 50)]):
+                whole += int(x.sum())
+                held = max(held, int(x.sum()))
+            assert whole == len(normal) and held <= 50 + max(map(len, normal.split(viterbi_pieces.META))) + 2 * pieces.longest
+
+
+def test_streams_without_a_boundary(pieces, monkeypatch):
+    """Long texts in which pieces always reach across: their paths are walked back, or kept if they never meet."""
+    for patience in (1 << 12, 40):
+        monkeypatch.setattr(viterbi_pieces, "PATIENCE", patience)
+        for t in ("A" * 3000, "ab" * 1500, "-=" * 700 + "é" * 50, "".join(RNG.choice("inter") for _ in range(2500)), "______" * 200 + "x"):
+            commits, ids, characters = streamed(pieces, (t[k : k + 33] for k in range(0, len(t), 33)))
+            assert ids == viterbi(pieces, t) and characters == len(t) and commits >= 1
+            assert pieces.decode(pieces.encode(t)) == t
+
+
+def test_slices_of_many_texts(pieces):
+    texts = [None, "", "a", " ", "▁", "▁ a", "b ▁", "a  b", *BASE, "x " * 100, "漢字 と かな", "\n\n", None]
+    ids, at = pieces.encode_all(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == (pieces.encode(t) if t else [])
+    assert pieces.decode_all(ids, at).to_pylist() == [(t or "").encode() for t in texts]
