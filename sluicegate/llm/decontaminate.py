@@ -24,19 +24,20 @@ from __future__ import annotations
 
 import pickle
 import string
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sluicegate.llm.common import documents, ngram_hashes, open_fs, released, shared_dir, slices, small_batches, words
 
-PASS_ITEMS, BLOCK_ITEMS, CHUNK = 2000, 16, 64
+PASS_ITEMS, BLOCK_ITEMS, CHUNK = 2000, 4, 64
 K1, B = 1.2, 0.75
 #: Share of an item's weight from which it is retrieved, and shares of trigrams from which a leak is certain.
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
@@ -107,8 +108,10 @@ class ItemIndex:
         hashed = lambda own: np.array([xxh64_intdigest(w) for w in own], np.uint64)
         self.parts = [tuple(trigrams(hashed(p)) for p in split_item(t)) for _, _, t in texts]
 
-    def wand(self, terms: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[tuple[int, float]], int]:
-        """All (item, score) that reach the threshold for distinct terms, by block-max WAND; and the postings read."""
+    def wand(self, terms: np.ndarray, threshold: float = THRESHOLD, live: np.ndarray | None = None) -> tuple[list[tuple[int, float]], int]:
+        """All (item, score) that reach the threshold for distinct terms, by block-max WAND; and the postings read.
+        ``live``: the blocks whose maxima are known to reach it, in order; others are skipped without a look."""
+        begins = None if live is None else (live * BLOCK_ITEMS).tolist()
         end, low = len(self.ids), threshold - SLACK
         lists = [(*self.postings[t], self.term_max[t], self.block_max[t]) for t in terms.tolist()]
         place, item = [0] * len(lists), [x[0][0] for x in lists]
@@ -132,6 +135,15 @@ class ItemIndex:
                 pivot += 1
             block = at // BLOCK_ITEMS
             here = order[: pivot + 1]
+            if begins is not None:
+                n = bisect_right(begins, at) - 1
+                if n < 0 or begins[n] != block * BLOCK_ITEMS:
+                    if n + 1 == len(begins):
+                        return out, read
+                    for k in here:
+                        move(k, begins[n + 1])
+                    order.sort(key=item.__getitem__)
+                    continue
             if sum(float(lists[k][3][block]) for k in here) < low:
                 to = (block + 1) * BLOCK_ITEMS
                 if pivot + 1 < len(order):
@@ -159,9 +171,9 @@ class Passages:
     def __init__(self, texts: pa.Array, size: int) -> None:
         flat, at = words(texts, unicode=True)
         coded = flat.dictionary_encode()
-        self.names = [w.strip(STRIP) for w in coded.dictionary.to_pylist()]
+        self.names = pc.utf8_trim(coded.dictionary, STRIP)
         code = coded.indices.to_numpy() if len(flat) else np.zeros(0, np.int64)
-        full = np.array([bool(w) for w in self.names], bool)[code]  # words of punctuation only are none
+        full = (pc.binary_length(self.names).to_numpy(zero_copy_only=False) > 0)[code]  # words of punctuation only are none
         self.at = np.concatenate([[0], np.cumsum(full)])[at]
         self.code, self.size = code[full], size
         chunks = -(-np.diff(self.at) // size)  # of each text
@@ -174,7 +186,7 @@ class Passages:
     def words_of(self, k: int) -> np.ndarray:
         """Hashes of the words of the passage that begins with chunk k."""
         if self.hashes is None:
-            self.hashes = np.array([xxh64_intdigest(w) for w in self.names], np.uint64)
+            self.hashes = np.array([xxh64_intdigest(w) for w in self.names.to_pylist()], np.uint64)
         r = self.text[k]
         s = self.at[r] + (k - self.first[r]) * self.size
         return self.hashes[self.code[s : min(s + 2 * self.size, self.at[r + 1])]]
@@ -184,7 +196,8 @@ def find_leaks(index: ItemIndex, passages: Passages) -> Iterator[tuple[int, int,
     """(row, item, score, question overlap, answer overlap) of each verified passage."""
     if not len(passages.code) or not index.ids:
         return
-    term = np.array([index.terms.get(w, -1) for w in passages.names], np.int64)[passages.code]
+    own = pc.index_in(passages.names, value_set=pa.array(list(index.terms), pa.string()))  # terms are numbered in this order
+    term = pc.fill_null(own, -1).to_numpy(zero_copy_only=False).astype(np.int64)[passages.code]
     known = term >= 0
     pairs = np.unique(passages.chunk[known] * len(index.terms) + term[known])
     c, t = pairs // len(index.terms), pairs % len(index.terms)
@@ -201,8 +214,9 @@ def find_leaks(index: ItemIndex, passages: Passages) -> Iterator[tuple[int, int,
         if len(has):
             bound[has - s] = np.add.reduceat(index.block_max[t[start[s] : start[last]]], start[has] - start[s], axis=0)
             pair = bound[: e - s] + np.where(follows[s:e, None], bound[1 : e - s + 1], 0)
-            for k in s + np.flatnonzero((pair >= THRESHOLD - SLACK).any(1)):
-                for item, score in index.wand(np.unique(t[start[k] : start[k + 2 if follows[k] else k + 1]]))[0]:
+            enough = pair >= THRESHOLD - SLACK
+            for k in s + np.flatnonzero(enough.any(1)):
+                for item, score in index.wand(np.unique(t[start[k] : start[k + 2 if follows[k] else k + 1]]), live=np.flatnonzero(enough[k - s]))[0]:
                     here = passages.words_of(k)
                     q, a = (float(np.isin(p, ngram_hashes(here, n)).mean()) if len(p) else 1.0 for n, p in index.parts[item])
                     if q >= QUESTION and a >= ANSWER:
