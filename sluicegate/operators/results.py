@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.operators.checks import named, ordinal
@@ -63,3 +63,38 @@ def status_gauge(results: DataFrame) -> DataFrame:
 def purge(table: DataFrame, column: str, now: Column, days: int) -> DataFrame:
     """What stays: rows not older than ``days``. A filter on the partition column prunes files."""
     return table.where(F.col(column) >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+# ---- the table itself: files by day of the window and by batch ----
+
+
+def write_results(rows: DataFrame, path: str, batch: int) -> None:
+    """Adds a batch of result rows. A batch that is written again replaces its own files only; rows of the same key
+    from later batches win when the table is read."""
+    dated = rows.withColumns({"window_date": F.to_date("window_start"), "batch_id": F.lit(batch).cast("long"), "ingested_at": F.current_timestamp()})
+    # one file for each day: a batch holds a few windows
+    dated.repartition("window_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_date", "batch_id").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each key. Filters on window_start read the days in question only if window_date is filtered
+    too (see ``between_days``)."""
+    return upsert(spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long")), "batch_id").drop("window_date")
+
+
+def between_days(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
+    """The newest rows of windows that start on the given days; other days' files aren't read."""
+    rows = spark.read.parquet(path).where(F.col("window_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return upsert(rows.withColumn("batch_id", F.col("batch_id").cast("long")), "batch_id").drop("window_date")
+
+
+def purge_results(spark: SparkSession, path: str, before: str) -> int:
+    """Deletes the days before a date; gives the number of rows that went."""
+    n = spark.read.parquet(path).where(F.col("window_date") < F.lit(before).cast("date")).count()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.listStatus(jvm.Path(path)):
+        name = f.getPath().getName()
+        if name.startswith("window_date=") and name.partition("=")[2] < before:
+            files.delete(f.getPath(), True)
+    return n

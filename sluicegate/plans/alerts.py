@@ -35,6 +35,40 @@ def monitor_alerts(last_window_end: Column, now: Column, lag_rows: Column, delay
     return source.select(F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("alertname")).withColumn("severity", F.lit("critical"))
 
 
+#: How long each rule of the monitor must hold before it fires, in seconds.
+HOLD_S = {"QualityMonitorStalled": 60, "QualityMonitorMissing": 300, "QualityMonitorLagging": 120, "QualityMonitorBehind": 120}
+#: Seconds that a new group of notifications waits, between its changes, and until an unchanged one is sent again.
+GROUP_WAIT_S, GROUP_INTERVAL_S, REPEAT_S = 10, 60, 4 * 3600
+
+
+def monitor_firing(samples: DataFrame) -> DataFrame:
+    """Firings of the monitor's rules over samples (ts, last_window_end, lag_rows, delay_ms): a rule that holds in all
+    samples for its time fires at the first sample after that, until the first one in which it doesn't hold."""
+    age = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("last_window_end").cast("timestamp"))
+    holds = {"QualityMonitorStalled": age > STALLED_S, "QualityMonitorMissing": F.col("last_window_end").isNull(), "QualityMonitorLagging": F.col("lag_rows") > LAG_ROWS, "QualityMonitorBehind": F.col("delay_ms") > BEHIND_MS}
+    rules = F.array(*[F.struct(F.lit(n).alias("alertname"), F.coalesce(c, F.lit(False)).alias("holds"), F.lit(HOLD_S[n]).alias("hold_s")) for n, c in holds.items()])
+    w = Window.partitionBy("alertname").orderBy("ts")
+    rows = samples.select("ts", F.inline(rules)).withColumn("_cut", (~F.col("holds")).cast("int")).withColumn("_run", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_next", F.lead("ts").over(w))
+    held = rows.where("holds").withColumn("_since", F.min("ts").over(Window.partitionBy("alertname", "_run")))
+    lasted = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("_since").cast("timestamp"))
+    fired = held.groupBy("alertname", "_run").agg(F.min("_since").alias("pending_since"), F.min(F.when(lasted >= F.col("hold_s"), F.col("ts"))).alias("starts_at"), F.max_by("_next", "ts").alias("ends_at"))
+    return fired.where("starts_at IS NOT NULL").drop("_run").withColumn("severity", F.lit("critical"))
+
+
+def notifications(firings: DataFrame, until: Column) -> DataFrame:
+    """(alertname, topic, sent_at, alerts): firings (alertname, topic, starts_at) are sent together by alert and topic.
+    A group's first message waits, later ones go at its intervals when something is new, and a group without news is
+    sent again after a while, up to ``until``."""
+    seconds = lambda c: F.unix_timestamp(c.cast("timestamp"))
+    group = Window.partitionBy("alertname", "topic")
+    first = seconds(F.min("starts_at").over(group)) + GROUP_WAIT_S
+    step = F.greatest(F.ceil((seconds(F.col("starts_at")) - first) / GROUP_INTERVAL_S), F.lit(0))
+    news = firings.withColumn("_sent", first + step * GROUP_INTERVAL_S).groupBy("alertname", "topic", "_sent").agg(F.count(F.lit(1)).alias("alerts"))
+    end = F.coalesce(F.lead("_sent").over(group.orderBy("_sent")) - 1, seconds(until))
+    again = news.withColumn("_end", end).withColumn("_at", F.explode(F.sequence("_sent", F.greatest("_end", "_sent"), F.lit(REPEAT_S).cast("long"))))
+    return again.select("alertname", "topic", F.timestamp_seconds("_at").alias("sent_at"), F.when(F.col("_at") == F.col("_sent"), F.col("alerts")).otherwise(0).alias("alerts"))
+
+
 def inhibited(alerts: DataFrame) -> DataFrame:
     """Warnings go where a critical alert has the same topic, check and field."""
     critical = alerts.where("severity = 'critical'").select(*SERIES).distinct()

@@ -169,6 +169,16 @@ def cardinality_exact(spark, sf_dir):
     return stats(spark, sf_dir).select("topic", "window_start", F.col("distinct_user_id").alias("distinct_users"))
 
 
+@query("sketches_merged", DUCK_PARSED + "SELECT topic, count(*) AS days, sum(n)::BIGINT AS n, true AS hll_within, true AS kll_within FROM (SELECT topic, date_trunc('day', ingest_ts) AS d, count(*) AS n FROM good GROUP BY ALL) x GROUP BY topic")
+def sketches_merged(spark, sf_dir):
+    """Daily HLL and KLL states merged to one for each topic, held against exact figures of all its records."""
+    rows = good(spark, sf_dir).select("topic", F.date_trunc("day", "ingest_ts").alias("d"), F.col("fields").getItem("user_id").alias("u"), (F.unix_millis("ingest_ts") - F.col("event_ms")).cast("double").alias("late"))
+    daily = rows.groupBy("topic", "d").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("u", 12).alias("h"), F.expr("kll_sketch_agg_double(late, 200)").alias("k"))
+    merged = daily.groupBy("topic").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("h")).alias("e"), F.expr("kll_sketch_get_quantile_double(kll_merge_agg_double(k), 0.95D)").alias("q"))
+    exact = rows.groupBy("topic").agg(F.countDistinct("u").alias("u"), F.expr("percentile_disc(0.93) WITHIN GROUP (ORDER BY late)").alias("lo"), F.expr("percentile_disc(0.97) WITHIN GROUP (ORDER BY late)").alias("hi"))
+    return merged.join(exact, "topic").select("topic", "days", "n", (F.abs(F.col("e") - F.col("u")) <= 0.06 * F.col("u")).alias("hll_within"), F.col("q").between(F.col("lo"), F.col("hi")).alias("kll_within"))
+
+
 @query("cardinality_hll_error_bound", "SELECT 'ev.' || event_type AS topic, true AS within FROM events GROUP BY event_type")
 def cardinality_hll_error_bound(spark, sf_dir):
     rows = good(spark, sf_dir).select("topic", F.col("fields").getItem("id").alias("id"))
@@ -486,9 +496,39 @@ _add("alert_dedupe", DUCK_EVENTS + "SELECT fingerprint, 'firing' AS status, star
 _add("alert_history", DUCK_EVENTS + f"SELECT fingerprint, severity, topic, starts_at, ends_at AS resolved_at, epoch(coalesce(ends_at, {DUCK_NOW}) - starts_at)::DOUBLE AS duration_s, CASE WHEN ends_at IS NULL THEN 'FIRING' ELSE 'resolved' END AS state FROM once", lambda r: alerts.history(alerts.first_of_each(_events(r), "seq"), F.expr(NOW)).select("fingerprint", "severity", "topic", "starts_at", "resolved_at", "duration_s", "state"))
 _add("alerts_per_hour", DUCK_EVENTS + "SELECT date_trunc('hour', starts_at) AS time, severity AS metric, count(*) AS alerts FROM once GROUP BY ALL", lambda r: alerts.alerts_per_hour(alerts.first_of_each(_events(r), "seq")))
 
+_add("alert_notifications", DUCK_EVENTS + f""", f AS (SELECT severity AS alertname, topic, epoch(starts_at)::BIGINT AS s FROM once), g AS (SELECT *, min(s) OVER (PARTITION BY alertname, topic) + 10 AS first FROM f),
+n AS (SELECT alertname, topic, first + greatest(ceil((s - first) / 60.0), 0)::BIGINT * 60 AS sent, count(*) AS alerts FROM g GROUP BY ALL),
+e AS (SELECT *, coalesce(lead(sent) OVER (PARTITION BY alertname, topic ORDER BY sent) - 1, epoch({DUCK_NOW})::BIGINT) AS until FROM n),
+r AS (SELECT *, unnest(range(sent, greatest(until, sent) + 1, 14400)) AS t FROM e) SELECT alertname, topic, make_timestamp(t * 1000000) AS sent_at, CASE WHEN t = sent THEN alerts ELSE 0 END AS alerts FROM r""", lambda r: alerts.notifications(alerts.first_of_each(_events(r), "seq").where("status = 'firing'").select(F.col("severity").alias("alertname"), "topic", "starts_at"), F.expr(NOW)))
+
 # ---- sources and the monitor itself ----
 
 
+@query("monitor_firing", """WITH x AS (SELECT ts, event_id, CASE WHEN event_id % 13 > 9 THEN NULL ELSE epoch(date_trunc('second', ts)) - (event_id % 17) * 40 END AS seen, event_id % 29 * 1000 AS lag, event_id % 11 * 10000 AS delay FROM events),
+r AS (SELECT ts, event_id, unnest(['QualityMonitorStalled', 'QualityMonitorMissing', 'QualityMonitorLagging', 'QualityMonitorBehind']) AS alertname, unnest([coalesce(epoch(date_trunc('second', ts)) - seen > 300, false), seen IS NULL, lag > 10000, delay > 60000]) AS holds, unnest([60, 300, 120, 120]) AS hold FROM x),
+t AS (SELECT *, epoch(date_trunc('second', ts)) AS s, sum((NOT holds)::INT) OVER (PARTITION BY alertname ORDER BY ts) AS run, lead(ts) OVER (PARTITION BY alertname ORDER BY ts) AS nxt FROM r),
+h AS (SELECT *, min(s) OVER (PARTITION BY alertname, run) AS since FROM t WHERE holds)
+SELECT alertname, min(ts) AS pending_since, min(ts) FILTER (WHERE s - since >= hold) AS starts_at, arg_max(coalesce(nxt, TIMESTAMP '1970-01-01'), ts) AS ends_at, 'critical' AS severity FROM h GROUP BY alertname, run HAVING bool_or(s - since >= hold)""")
+def monitor_firing(spark, sf_dir):
+    samples = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("ts", "CASE WHEN event_id % 13 > 9 THEN NULL ELSE timestamp_seconds(unix_timestamp(CAST(ts AS TIMESTAMP)) - (event_id % 17) * 40) END AS last_window_end", "event_id % 29 * 1000 AS lag_rows", "event_id % 11 * 10000 AS delay_ms")
+    return alerts.monitor_firing(samples).withColumn("ends_at", F.coalesce("ends_at", F.expr("TIMESTAMP_NTZ'1970-01-01'")))
+
+
+@query("registry_status_latest", "SELECT CASE event_id % 5 WHEN 0 THEN 'down' ELSE 'up' END AS state FROM events ORDER BY ts DESC, event_type LIMIT 1")
+def registry_status_latest(spark, sf_dir):
+    beats = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("job_id"), "ts", F.lit("1").alias("version"), F.lit("up").alias("kafka_status"), F.when(F.col("event_id") % 5 == 0, "down").otherwise("up").alias("registry_status"), F.col("event_id").alias("seq"))
+    return analytics.newest_heartbeat(record_sources.heartbeats(beats), "registry_status")
+
+
+@query("timestamps_parsed", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1700000000 + event_id WHEN 1 THEN 1700000000000 + event_id WHEN 2 THEN 1700000000 + event_id WHEN 3 THEN 1700000 + event_id END * CASE WHEN event_id % 6 IN (0, 2, 3) THEN 1000 ELSE 1 END AS event_ms,
+CASE WHEN event_id % 6 = 4 THEN 'bad_timestamp' END AS reason FROM events WHERE event_id % 6 <> 5""")
+def timestamps_parsed(spark, sf_dir):
+    """Event times in seconds, milliseconds, ISO texts, texts of digits, and none that can be read, at a nested path."""
+    body = "concat('{\"meta\":{\"at\":', CASE event_id % 6 WHEN 0 THEN string(1700000000 + event_id) WHEN 1 THEN string(1700000000000 + event_id) WHEN 2 THEN concat('\"', date_format(timestamp_seconds(1700000000 + event_id), \"yyyy-MM-dd'T'HH:mm:ss'Z'\"), '\"') WHEN 3 THEN concat('\"', 1700000 + event_id, '\"') ELSE '\"soon\"' END, '}}')"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 6 <> 5").selectExpr("'t' AS topic", "event_id", "ts AS ingest_ts", f"{body} AS value")
+    return parse.parse(rows, Thresholds({"event_time_field": "meta.at"}), []).select("event_id", "event_ms", F.col("reject.reason").alias("reason"))
+
+
 @query("topic_select", "SELECT DISTINCT 'ev.' || event_type AS topic FROM events WHERE regexp_full_match('ev.' || event_type, 'ev[.].*') AND NOT regexp_full_match('ev.' || event_type, 'ev[.]s.*') AND event_type <> 'error' ORDER BY topic LIMIT 3")
 def topic_select(spark, sf_dir):
     return topics.discover_topics(event_records(spark, sf_dir), "ev[.].*", "ev[.]s.*", "ev.error", limit=3)
