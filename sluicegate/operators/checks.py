@@ -9,6 +9,7 @@ import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,6 +126,11 @@ def classify(value: float, warn: float, fail: float) -> str:
     return "fail" if value > fail else "warn" if value > warn else "ok"
 
 
+def half_up(x: float, digits: int) -> float:
+    """As details print numbers: halves of the shortest decimal form go away from zero."""
+    return float(Decimal(repr(float(x))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def _mean(x: list[float]) -> float:
     return sum(x) / len(x) if x else math.nan
 
@@ -133,14 +139,14 @@ def volume(count: int, window_s: float, history: list[float], prior: list[float]
     """Drop below the mean rate of the history, or of the same slot's earlier cycles when these are given."""
     rate, base = count / window_s, _mean(prior if prior is not None else history)
     warm = prior is not None or len(history) >= p["min_history"]
-    drop = max(0.0, (1 - rate / base) * 100) if warm and base > 0 else 0.0
+    drop = round(max(0.0, (1 - rate / base) * 100), 9) if warm and base > 0 else 0.0  # the last digits depend on the order of sums
     if count == 0 and p["fail_on_zero"]:
         status = "fail"
     else:
         status = classify(drop, p["warn_drop_pct"], p["fail_drop_pct"])
     pct = {"fail": p["fail_drop_pct"], "warn": p["warn_drop_pct"]}.get(status)
     threshold = base * (1 - pct / 100) if pct is not None and warm and base > 0 else 0.0
-    details = {"count": count, "window_sec": window_s, "baseline_rate": None if math.isnan(base) else round(base, 4), "drop_pct": round(drop, 1), "history_windows": len(history), "warming_up": not warm, "baseline_source": "seasonal" if prior is not None else "recent"}
+    details = {"count": count, "window_sec": window_s, "baseline_rate": None if math.isnan(base) else half_up(base, 4), "drop_pct": half_up(drop, 1), "history_windows": len(history), "warming_up": not warm, "baseline_source": "seasonal" if prior is not None else "recent"}
     return Verdict(rate, threshold, status, rate, details)
 
 
@@ -150,7 +156,7 @@ def cardinality(estimate: float, history: list[float], p: dict) -> Verdict:
     factor = max(estimate / base, base / max(estimate, 1.0)) if warm else 1.0
     status = classify(factor, p["warn_ratio"], p["fail_ratio"])
     threshold = {"ok": 0.0, "warn": p["warn_ratio"], "fail": p["fail_ratio"]}[status]
-    details = {"estimate": round(estimate), "baseline": None if math.isnan(base) else round(base, 1), "factor": round(factor, 2), "direction": "up" if warm and estimate >= base else "down", "history_windows": len(history), "warming_up": not warm}
+    details = {"estimate": round(estimate), "baseline": None if math.isnan(base) else half_up(base, 1), "factor": half_up(factor, 2), "direction": "up" if warm and estimate >= base else "down", "history_windows": len(history), "warming_up": not warm}
     return Verdict(estimate, threshold, status, estimate, details)
 
 

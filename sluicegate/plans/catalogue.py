@@ -224,14 +224,14 @@ def schema_key_presence(spark, sf_dir):
 # ---- checks with a baseline ----
 
 DUCK_VOLUME_FOLD = f"""{DUCK_PARSED.replace('WITH records', 'WITH RECURSIVE records')}{DUCK_SPINE}, seq AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY window_start) AS rn, n / {SIZE_S}.0::DOUBLE AS rate FROM vol),
-f(topic, rn, window_start, rate, threshold, status, streak, hist) AS (
-  SELECT topic, 0::BIGINT, NULL::TIMESTAMP, 0::DOUBLE, 0::DOUBLE, 'ok', 0, []::DOUBLE[] FROM span
+f(topic, rn, window_start, rate, threshold, status, streak, hist, base) AS (
+  SELECT topic, 0::BIGINT, NULL::TIMESTAMP, 0::DOUBLE, 0::DOUBLE, 'ok', 0, []::DOUBLE[], NULL::DOUBLE FROM span
   UNION ALL
   SELECT topic, rn, window_start, rate, CASE WHEN status <> 'ok' AND warm THEN base * (1 - (CASE status WHEN 'fail' THEN 60 ELSE 30 END) / 100.0::DOUBLE) ELSE 0 END, status, streak,
-    CASE WHEN status = 'ok' OR streak > 4 THEN list_append(hist, rate)[-30:] ELSE hist END
+    CASE WHEN status = 'ok' OR streak > 4 THEN list_append(hist, rate)[-30:] ELSE hist END, base
   FROM (SELECT *, CASE WHEN status = 'ok' THEN 0 ELSE before + 1 END AS streak FROM (
     SELECT *, CASE WHEN rate = 0 OR fall > 60 THEN 'fail' WHEN fall > 30 THEN 'warn' ELSE 'ok' END AS status FROM (
-      SELECT *, CASE WHEN warm THEN greatest(0, (1 - rate / base) * 100) ELSE 0 END AS fall FROM (
+      SELECT *, CASE WHEN warm THEN round(greatest(0, (1 - rate / base) * 100), 9) ELSE 0 END AS fall FROM (
         SELECT s.topic, s.rn, s.window_start, s.rate, f.streak AS before, f.hist, list_sum(f.hist) / len(f.hist) AS base, len(f.hist) >= 5 AND list_sum(f.hist) > 0 AS warm
         FROM f JOIN seq s ON s.topic = f.topic AND s.rn = f.rn + 1) a) b) c) d)
 """
@@ -264,7 +264,24 @@ def volume_rebaseline(spark, sf_dir):
     return streaks.groupBy("topic", "status").agg(F.count(F.lit(1)).alias("windows"), F.max("streak").alias("longest"))
 
 
-@query("volume_seasonal")
+#: As the volume's fold, with a list of learned rates for each of the four windows of a day.
+DUCK_SEASONAL = f"""{DUCK_PARSED.replace('WITH records', 'WITH RECURSIVE records')}{DUCK_SPINE}, seq AS (SELECT *, 1 + (extract(hour FROM window_start) // 6)::INT AS slot, row_number() OVER (PARTITION BY topic ORDER BY window_start) AS rn, n / {SIZE_S}.0::DOUBLE AS rate FROM vol),
+f(topic, rn, window_start, rate, threshold, status, streak, hist, seasons) AS (
+  SELECT topic, 0::BIGINT, NULL::TIMESTAMP, 0::DOUBLE, 0::DOUBLE, 'ok', 0, []::DOUBLE[], [[], [], [], []]::DOUBLE[][] FROM span
+  UNION ALL
+  SELECT topic, rn, window_start, rate, CASE WHEN status <> 'ok' AND warm THEN base * (1 - (CASE status WHEN 'fail' THEN 60 ELSE 30 END) / 100.0::DOUBLE) ELSE 0 END, status, streak,
+    CASE WHEN status = 'ok' OR streak > 4 THEN list_append(hist, rate)[-30:] ELSE hist END,
+    list_transform([1, 2, 3, 4], lambda i: CASE WHEN i = slot AND (status = 'ok' OR streak > 4) THEN list_append(seasons[i], rate)[-7:] ELSE seasons[i] END)
+  FROM (SELECT *, CASE WHEN status = 'ok' THEN 0 ELSE before + 1 END AS streak FROM (
+    SELECT *, CASE WHEN rate = 0 OR fall > 60 THEN 'fail' WHEN fall > 30 THEN 'warn' ELSE 'ok' END AS status FROM (
+      SELECT *, CASE WHEN warm THEN round(greatest(0, (1 - rate / base) * 100), 9) ELSE 0 END AS fall FROM (
+        SELECT *, (len(own) > 0 OR len(hist) >= 5) AND base > 0 AS warm FROM (
+          SELECT *, CASE WHEN len(own) > 0 THEN list_sum(own) / len(own) ELSE list_sum(hist) / len(hist) END AS base FROM (
+            SELECT s.topic, s.rn, s.window_start, s.rate, s.slot, f.streak AS before, f.hist, f.seasons, f.seasons[s.slot] AS own FROM f JOIN seq s ON s.topic = f.topic AND s.rn = f.rn + 1) a) b) c) d) e) g)
+"""
+
+
+@query("volume_seasonal", DUCK_SEASONAL + "SELECT topic, '' AS field, 'volume' AS check_type, window_start, round(rate, 9) AS value, round(threshold, 9) AS threshold, status FROM f WHERE rn > 0")
 def volume_seasonal(spark, sf_dir):
     return _judged(_history(spark, sf_dir, "volume", SEASONAL))
 
@@ -313,7 +330,22 @@ def type_drift(spark, sf_dir):
     return _judged(_history(spark, sf_dir, "type_drift"))
 
 
-@query("schema_drift")
+#: The names of all keys that the records have; the lists learn each one's share of the records.
+DUCK_KEYS = ["id", "user_id", "amount", "event_time", "note", "channel"]
+DUCK_SCHEMAS = DUCK_RECURSIVE + f""", seq AS (SELECT topic, window_start, [{', '.join(f"count(*) FILTER (WHERE json_exists(o, '$.{k}')) / count(*)::DOUBLE" for k in DUCK_KEYS)}] AS r, row_number() OVER (PARTITION BY topic ORDER BY window_start) AS rn FROM good GROUP BY topic, window_start),
+f(topic, rn, window_start, value, status, streak, seen, known) AS (
+  SELECT DISTINCT topic, 0::BIGINT, NULL::TIMESTAMP, 0::DOUBLE, 'ok', 0, 0, [[], [], [], [], [], []]::DOUBLE[][] FROM seq
+  UNION ALL
+  SELECT topic, rn, window_start, value, status, streak, CASE WHEN status = 'ok' OR streak > 4 THEN least(seen + 1, 30) ELSE seen END,
+    CASE WHEN status = 'ok' OR streak > 4 THEN list_transform([1, 2, 3, 4, 5, 6], lambda i: CASE WHEN r[i] > 0 OR len(known[i]) > 0 THEN list_append(known[i], r[i])[-30:] ELSE known[i] END) ELSE known END
+  FROM (SELECT *, CASE WHEN status = 'ok' THEN 0 ELSE before + 1 END AS streak FROM (
+    SELECT *, CASE WHEN value > 3 THEN 'fail' WHEN value > 0 THEN 'warn' ELSE 'ok' END AS status FROM (
+      SELECT s.topic, s.rn, s.window_start, s.r, f.streak AS before, f.seen, f.known, CASE WHEN f.seen < 5 THEN 0 ELSE len(list_filter([1, 2, 3, 4, 5, 6], lambda i: CASE WHEN len(f.known[i]) = 0 THEN s.r[i] >= 0.05 ELSE list_sum(f.known[i]) / len(f.known[i]) >= 0.5 AND s.r[i] < 0.01 END)) END::DOUBLE AS value
+      FROM f JOIN seq s ON s.topic = f.topic AND s.rn = f.rn + 1) a) b) c)
+"""
+
+
+@query("schema_drift", DUCK_SCHEMAS + "SELECT topic, '' AS field, 'schema_drift' AS check_type, window_start, value, CASE status WHEN 'fail' THEN 3 ELSE 0 END::DOUBLE AS threshold, status FROM f WHERE rn > 0")
 def schema_drift(spark, sf_dir):
     return _judged(_history(spark, sf_dir, "schema_drift"))
 
@@ -328,9 +360,19 @@ def all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.result_rows(out, SIZE_S, "batch")
 
 
-@query("check_results_all")
+def _check_parts() -> str:
+    """All rows of all checks in SQL: the statement of each check as a subquery."""
+    rows = "topic, check_type, field, window_start, value, threshold, status"
+    plain = [SQL[n] for n in ("null_rate_windows", "freshness_check", "structural_rates")] + [SQL["null_rate_precedence"], SQL["null_rate_windows"].replace("count(amount)", "count(id)").replace("'amount' AS field", "'id' AS field")]
+    parts = [f"SELECT {rows}, NULL::DOUBLE AS baseline FROM ({x})" for x in (*plain, SQL["type_drift"], SQL["schema_drift"])]
+    parts.append(f"SELECT {rows}, baseline FROM ({DUCK_VOLUME_FOLD} SELECT topic, '' AS field, 'volume' AS check_type, window_start, rate AS value, threshold, status, round(base, 4) AS baseline FROM f WHERE rn > 0)")
+    parts.append(f"SELECT {rows}, baseline FROM ({DUCK_CARDINALITY} SELECT topic, 'user_id' AS field, 'cardinality' AS check_type, window_start, est AS value, CASE status WHEN 'fail' THEN 5.0 WHEN 'warn' THEN 2.0 ELSE 0.0 END::DOUBLE AS threshold, status, round(base, 1) AS baseline FROM f WHERE rn > 0)")
+    return " UNION ALL ".join(parts)
+
+
+@query("check_results_all", f"SELECT topic, check_type, field, window_start, window_start + INTERVAL '6 hours' AS window_end, round(value, 6) AS value, round(threshold, 6) AS threshold, status, baseline FROM ({_check_parts()}) x")
 def check_results_all(spark, sf_dir):
-    return all_checks(spark, sf_dir).select("topic", "check_type", "field", "window_start", "window_end", F.round("value", 9).alias("value"), F.round("threshold", 9).alias("threshold"), "status", F.round("baseline", 4).alias("baseline"))
+    return all_checks(spark, sf_dir).select("topic", "check_type", "field", "window_start", "window_end", F.round("value", 6).alias("value"), F.round("threshold", 6).alias("threshold"), "status", F.round("baseline", 4).alias("baseline"))
 
 
 @query("freshness_series", DUCK_PARSED + "SELECT window_start AS time, topic, unnest(['p50', 'p95', 'p99']) AS metric, unnest([round(quantile_disc(late, 0.5)), quantile_disc(late, 0.95), round(quantile_disc(late, 0.99))])::DOUBLE AS value FROM good GROUP BY topic, window_start HAVING count(late) > 0")

@@ -24,7 +24,7 @@ def test_volume_against_history(rate):
     status = "fail" if rate == 0 else level(drop, 30, 60)
     assert v.status == status and v.value == pytest.approx(rate) and v.sample == v.value
     assert v.threshold == pytest.approx({"ok": 0.0, "warn": 7 * 0.7, "fail": 7 * 0.4}[status])
-    assert v.details["drop_pct"] == round(drop, 1) and v.details["baseline_source"] == "recent" and not v.details["warming_up"]
+    assert v.details["drop_pct"] == pytest.approx(drop, abs=0.051) and v.details["baseline_source"] == "recent" and not v.details["warming_up"]
 
 
 def test_volume_without_history_and_with_a_season():
@@ -41,7 +41,7 @@ def test_volume_without_history_and_with_a_season():
 def test_cardinality(estimate, mean):
     v = checks.cardinality(float(estimate), [mean - 4.0, mean + 4.0, float(mean), float(mean), float(mean)], C)
     factor = max(estimate / mean, mean / max(estimate, 1)) if mean >= 10 else 1.0
-    assert v.status == level(factor, 2, 5) and v.details["factor"] == round(factor, 2) and v.threshold == {"ok": 0, "warn": 2, "fail": 5}[v.status]
+    assert v.status == level(factor, 2, 5) and v.details["factor"] == pytest.approx(factor, abs=0.0051) and v.threshold == {"ok": 0, "warn": 2, "fail": 5}[v.status]
     assert mean < 10 or v.details["direction"] == ("up" if estimate >= mean else "down")
     assert checks.cardinality(float(estimate), [float(mean)] * 4, C).status == "ok"
 
@@ -149,3 +149,7 @@ def test_topics():
     assert lister.refresh(120_000) == ["q3", "q9"] and not answers[1:]  # a failed listing changes nothing
     with pytest.raises(ValueError):
         preflight(["web_hits"], ["web_hits", "app_x"])
+
+
+def test_details_round_halves_up():
+    assert [checks.half_up(x, 1) for x in (16.25, 16.35, 0.05, 2.0, 16.249)] == [16.3, 16.4, 0.1, 2.0, 16.2]
