@@ -19,6 +19,7 @@ SECONDS_BELOW = 100_000_000_000
 #: How far event times may lie ahead of now.
 AHEAD_MS = 24 * 3_600_000
 DETAIL = 200
+DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
 
 
 def event_time_ms(value: Column, tag: Column) -> Column:
@@ -62,6 +63,8 @@ def parse(records: DataFrame, thresholds: Thresholds, fields: list[str] | dict[s
     ``decode.decode`` adds to records is used where it is there: its rejects come first, undecoded records pass with
     volume only, Avro is valid by construction, Protobuf isn't checked, and framed JSON is checked by its writer's
     schema (``writers``, by id)."""
+    if records.sparkSession.conf.get(DUPLICATES, None) is None:
+        records.sparkSession.conf.set(DUPLICATES, "true")  # of equal keys the last counts; text behind a document is passed over anyway
     schema = json.loads(schema) if isinstance(schema, str) else schema
     decoded, writers = {"text", "kind", "undecoded", "reject"} <= set(records.columns), writers or {}
     own_fields, own_required = fields, required
@@ -114,7 +117,7 @@ def parse(records: DataFrame, thresholds: Thresholds, fields: list[str] | dict[s
             "from_payload": usable & F.col("_event").isNotNull(),
             "fields": F.when(usable, pairs(as_text)).when(analysed, nothing),
             "types": F.when(usable, pairs(doc.tag)).when(analysed, nothing),
-            "keys": F.when(usable, F.json_object_keys(text)),
+            "keys": F.when(usable, F.array_distinct(F.json_object_keys(text))),
             "structural": F.when(analysed, F.when(undecoded | ~checked, 0).when(bad.isNull(), 1).otherwise(2)).cast("tinyint"),
             "structural_error": F.when(usable, bad),
             "undecoded": undecoded,

@@ -8,7 +8,7 @@ import pytest
 
 from sluicegate.functions import avro, protobuf
 from sluicegate.operators.decode import decode
-from sluicegate.sources.registry import AWAY, FOUND, MISSING, Breaker, ConfluentClient, Schemas, schema_table
+from sluicegate.sources.registry import AWAY, FOUND, MISSING, ApicurioClient, Breaker, ConfluentClient, Schemas, schema_table
 
 PARCEL = """syntax = "proto3";
 package post;
@@ -130,3 +130,24 @@ def test_registry_states():
     assert not b.allows()
     now[0] = 71.0
     assert b.allows() and not b.allows()
+
+
+def test_the_other_registry_gives_newest_versions_only():
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        return {"type": "object"}
+
+    client = ApicurioClient("http://r/apis/v3/", "post", fetch)
+    state, found = Schemas(client).latest("parcels/value")
+    assert state == FOUND and found.kind == "JSON" and json.loads(found.text) == {"type": "object"} and not client.supports_ids
+    assert asked == ["http://r/apis/v3/groups/post/artifacts/parcels%2Fvalue/versions/branch=latest/content"] and client.ping()
+
+
+def test_references_are_followed():
+    texts = {("places", 1): {"schema": PLACES, "schemaType": "PROTOBUF"}}
+    client = ConfluentClient("http://r", lambda url: texts["places", 1] if "/subjects/places/versions/1" in url else {"schema": PARCEL, "schemaType": "PROTOBUF", "references": [{"name": "places.proto", "subject": "places", "version": 1}]})
+    schemas = Schemas(client)
+    state, found = schemas.by_id(23)
+    assert state == FOUND and schemas.imports(found) == {"places.proto": PLACES}
