@@ -76,16 +76,23 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def released(run):
-    """run over batches, with the memory that it has used given back to the system at its end: Python workers serve
-    one task after another, and what each leaves behind would add up."""
+    """run over batches, with the memory that it has used given back to the system now and then and at its end: Python
+    workers serve one task after another, and what each leaves behind would add up."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for k, out in enumerate(run(batches), 1):
+                yield out
+                del out
+                if k % 16 == 0:
+                    give_back()
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

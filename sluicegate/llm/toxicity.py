@@ -111,36 +111,44 @@ def train(docs: DataFrame, labels: DataFrame, folder: str | None = None) -> str:
     if model["fitted"]:
         counts = used.mapInArrow(_counts, f"v long, w long, {', '.join(f'{c} long' for c in CELLS)}").groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in CELLS])
         counts, rows = materialise(counts, "toxicity-counts"), []
+        thirds = [[j for j in range(FOLDS) if j != k] for k in range(FOLDS)]
+        model["known"] = ratios(counts, [*thirds, list(range(FOLDS))], folder)
+        discard(counts)
+        _save(folder, model)
         for k in range(FOLDS):
-            _save(f"{folder}/fold{k}", ratios(counts, [j for j in range(FOLDS) if j != k], f"{folder}/fold{k}"))
-            seen = used.where(F.col("fold") == k).mapInArrow(_features_of(f"{folder}/fold{k}"), "x array<double>, toxic int")
+            seen = used.where(F.col("fold") == k).mapInArrow(_features_of(folder, k), "x array<double>, toxic int")
             rows += [tuple(r) for r in seen.collect()]  # bounded by the sample
         x, y = np.array([r[0] for r in rows]).reshape(-1, FEATURES), np.array([r[1] for r in rows], float)
         w = np.array(fit(np.column_stack([x, y])))
         w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(x @ w[:-1] + w[-1], y)
-        model |= ratios(counts, range(FOLDS), folder) | {"w": w.tolist()}
-        discard(counts)
+        model["w"] = w.tolist()
     discard(used)
     _save(folder, model)
     return folder
 
 
-def ratios(counts: DataFrame, folds: Iterable[int], folder: str) -> dict:
-    """Writes the models of the given folds' counts as log-likelihood ratios of all beginnings known (that of others
-    is 0). Gives their shards."""
-    summed = lambda c: sum((F.col(f"{c}{k}") for k in folds), F.lit(0))
-    pairs = materialise(counts.select("v", "w", summed("t").alias("t"), summed("o").alias("o"), (summed("t") + summed("o")).alias("s")).where("s > 0"), "toxicity-pairs")
-    n = pairs.agg(*[x.alias(f"{c}{k}") for c in "tos" for k, x in enumerate(of_counts(c), 1)]).first()
-    d = {c: discounts({f"n{k}": n[f"{c}{k}"] for k in (1, 2, 3, 4)}) for c in "tos"}
+def ratios(counts: DataFrame, models: list[list[int]], folder: str) -> list[dict]:
+    """Writes models, each of the counts of its folds, as log-likelihood ratios r0, r1 and so on of all beginnings known
+    (0 where a model doesn't know one). One pass serves all models. Gives the shards."""
+    numbers = range(len(models))
+    summed = lambda c, m: sum((F.col(f"{c}{k}") for k in models[m]), F.lit(0))
+    pairs = counts.select("v", "w", *[x for m in numbers for x in (summed("t", m).alias(f"t_{m}"), summed("o", m).alias(f"o_{m}"), (summed("t", m) + summed("o", m)).alias(f"s_{m}"))])
+    names = [f"{c}_{m}" for m in numbers for c in "tos"]
+    n = pairs.agg(*[x.alias(f"{c}_{k}") for c in names for k, x in enumerate(of_counts(c), 1)]).first()
+    d = {c: discounts({f"n{k}": n[f"{c}_{k}"] for k in (1, 2, 3, 4)}) for c in names}
     cut = lambda c: F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[c][0]).when(F.col(c) == 2, d[c][1]).otherwise(d[c][2])
-    contexts = materialise(pairs.groupBy("v").agg(*[F.sum(c).alias(f"n{c}") for c in "tos"], *[F.sum(cut(c)).alias(f"g{c}") for c in "tos"]), "toxicity-contexts")
-    # what a model leaves to the one below it, in a context; the same for both classes, so what is unknown favours none
-    left = lambda c: F.col(f"g{c}") / F.col(f"n{c}")
-    shared = (F.col("s") - cut("s")) / F.col("ns") + left("s") * ANY_CHARACTER
-    p = lambda c: F.when(F.col(f"n{c}") > F.col(f"g{c}"), (F.col(c) - cut(c)) / (F.col(f"n{c}") - F.col(f"g{c}")) * (1 - left("s")) + left("s") * F.col("shared")).otherwise(F.col("shared"))
-    known = pairs.join(contexts, "v").withColumn("shared", shared).select("w", (F.log(p("t")) - F.log(p("o"))).alias("ratio"))
-    shards = {"known": write_arrays(known, "w", {"ratio": "<f8"}, f"{folder}/known")}
-    discard(pairs, contexts)
+    contexts = pairs.groupBy("v").agg(*[F.sum(c).alias(f"n{c}") for c in names], *[F.sum(cut(c)).alias(f"g{c}") for c in names])
+    joined, out = pairs.join(contexts, "v"), []
+    for m in numbers:
+        t, o, s = f"t_{m}", f"o_{m}", f"s_{m}"
+        # what a model leaves to the one below it, in a context; the same for both classes, so what is unknown favours none
+        left = F.col(f"g{s}") / F.col(f"n{s}")
+        shared = (F.col(s) - cut(s)) / F.col(f"n{s}") + left * ANY_CHARACTER
+        p = lambda c: F.when(F.col(f"n{c}") > F.col(f"g{c}"), (F.col(c) - cut(c)) / (F.col(f"n{c}") - F.col(f"g{c}")) * (1 - left) + left * shared).otherwise(shared)  # noqa: E731, B023
+        out.append(F.when(F.col(s) > 0, F.log(p(t)) - F.log(p(o))).otherwise(0.0).alias(f"r{m}"))
+    known = materialise(joined.select("w", *out), "toxicity-ratios")
+    shards = write_arrays(known, "w", {f"r{m}": "<f8" for m in numbers}, f"{folder}/known")
+    discard(known)
     return shards
 
 
@@ -179,18 +187,19 @@ def fit(rows: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> list[float]:
     return [*raw.tolist(), float(w[-1] - (raw * mean).sum())]
 
 
-def features(folder: str) -> Callable[[pa.Array], np.ndarray]:
-    """For texts: the log-likelihood ratios of the most telling words, the mean of all, and the log of their number."""
+def features(folder: str, model: int = FOLDS) -> Callable[[pa.Array], np.ndarray]:
+    """For texts, by one of the models: the log-likelihood ratios of the most telling words, the mean of all, and the log of their number."""
     fs, top = open_fs(folder)
     with fs.open_input_stream(f"{top}/model.json") as f:
         m = json.loads(f.read())
-    known = Arrays(f"{folder}/known", m["known"], "w", {"ratio": "<f8"})
+    column = f"r{model}"
+    known = Arrays(f"{folder}/known", m["known"], "w", {column: "<f8"})
 
     def of(texts: pa.Array) -> np.ndarray:
         names, text, word = word_sets(texts)
         at, _, own = beginnings(names)
         own, place = np.unique(own, return_inverse=True)
-        ratio = np.bincount(at, known.get(own)["ratio"][place], len(names))[word]
+        ratio = np.bincount(at, known.get(own)[column][place], len(names))[word]
         order = np.lexsort((-ratio, text))
         text, ratio = text[order], ratio[order]
         n = np.bincount(text, minlength=len(texts))
@@ -201,12 +210,12 @@ def features(folder: str) -> Callable[[pa.Array], np.ndarray]:
     return of
 
 
-def _features_of(folder: str):
+def _features_of(folder: str, model: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = None
         for batch in batches:
             for part in slices(batch):
-                of = of or features(folder)
+                of = of or features(folder, model)
                 x = of(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), part.column("toxic").cast(pa.int32())], ["x", "toxic"])
 

@@ -36,7 +36,7 @@ META = "▁"
 #: Zipf-Mandelbrot's shift, and what a byte piece costs below the rarest piece.
 SHIFT, BYTE_COST = 2.7, 10.0
 #: Characters of a chunk of the stream, and of a window from which paths are walked back.
-CHUNK, PATIENCE = 1 << 16, 1 << 12
+CHUNK, PATIENCE = 1 << 15, 1 << 12
 #: Scores are whole multiples of one over this, so sums are exact and ties are the same wherever a text is cut.
 SCALE = 1 << 20
 
@@ -319,7 +319,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            for part in slices(batch, limit=1 << 19):
                 pieces = pieces or Pieces(model)
                 texts = part.column("text")
                 ids, offsets = pieces.encode_all(texts)
