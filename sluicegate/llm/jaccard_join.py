@@ -517,6 +517,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     fines = materialise(rep.select("node", F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "fine").alias("own")), "jaccard-fine")
     posts = rep.select(F.posexplode("first").alias("pos", "first"), "node").select("first", "node", "pos")
     live = materialise(posts.repartition("first").sortWithinPartitions("first", "node").mapInArrow(_shared_posts, "first long, node long, pos int, head long"), "jaccard-posts")
+    rows = materialise(table.select("doc_id", "n", "s1", "s2"), "jaccard-rows")
+    discard(table)  # what is read from here on is written by itself
     release(docs.sparkSession)
     comps, more = components(verified(heads(live, sized), docs, nodes, fines)), True
     for widely in [False] * REPEATS + [True]:
@@ -531,7 +533,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     labelled = nodes.join(comps, "node", "left").select("n", "s1", "s2", "id", F.coalesce("label", "node").alias("label"))
     named = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     final = materialise(labelled.join(named, "label").select("n", "s1", "s2", "component_id"), "jaccard-components")
-    return table.select("doc_id", "n", "s1", "s2").join(final, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(final, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
