@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicegate.llm import decontaminate, jaccard_join, line_dedup, toxicity, viterbi_pieces
-from sluicegate.llm.common import materialise
+from sluicegate.llm.common import discard, materialise
 
 #: SQL has no form of the models and of the encoding; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and all else in one struct, so that no operator's own column meets one of the same name."""
-    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    """doc_id, text and all else in one struct, so that no operator's own column meets one of the same name. The text
+    is not in the struct: it is nearly all of a row, and would be written and shuffled twice."""
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"]
     return docs.select("doc_id", "text", F.struct(*rest).alias("_rest"))
 
 
@@ -76,6 +77,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)  # what the next stages read is written by itself
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

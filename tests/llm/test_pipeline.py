@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -122,6 +123,25 @@ def test_stages(spark, sf):
     assert Counter(r["doc_id"] for r in last) == Counter(r[0] for r in not_leaked(rows)) and all(r["round_trip"] for r in last)
 
 
+def test_copy_of_the_rows_holds_each_text_once(spark, sf, monkeypatch):
+    size = lambda top: sum(f.stat().st_size for f in Path(top.removeprefix("file://")).rglob("*.parquet"))
+    tables, write = {}, corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: tables.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame([(k, sentence(400), "en", "h") for k in range(300)], "doc_id long, text string, lang string, source string").repartition(3)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, sf).count() == 300
+    plain = write(docs, "plain")
+    assert size(tables["pipeline-rows"].written) < 1.2 * size(plain.written)
+
+
+def test_run_keeps_only_the_table_of_the_last_stage(spark, sf, monkeypatch):
+    tables, write = {}, corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: tables.setdefault(name, write(df, name)))
+    out = corpus_pipeline.run(spark, sf)
+    names = [f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES[:-1]]
+    assert [n for n in names if Path(tables[n].written.removeprefix("file://")).exists()] == names[-1:]
+    assert out.where("round_trip").count() == tables[names[-1]].count() > 0
+
+
 def test_whole_pipeline(spark, sf):
     rows = without_common_lines(not_toxic(ROWS))
     out = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect())
